@@ -15,7 +15,9 @@ def edit_distance(left: str | Column, right: str | Column) -> Column:
     return F.levenshtein(_col(left), _col(right))
 
 
-def edit_similarity(left: str | Column, right: str | Column, divisor: str = "right") -> Column:
+def edit_similarity(
+    left: str | Column, right: str | Column, divisor: str = "right", distance: str | Column | None = None
+) -> Column:
     """``max(0, 1 - distance / length)``; 0.0 when the divisor text is empty.
 
     Metric runs pass the source as ``left`` and the generated text as ``right``,
@@ -23,16 +25,18 @@ def edit_similarity(left: str | Column, right: str | Column, divisor: str = "rig
 
     The distance is at least the difference of the lengths. Where that alone
     reaches the divisor the result is 0.0, and where the texts are equal it is
-    1.0, without the quadratic distance.
+    1.0, without the quadratic distance. A ``distance`` column already at hand
+    is used instead of computing it again.
     """
     left, right = _col(left), _col(right)
     if divisor not in ("left", "right"):
         raise ValueError("divisor is 'left' or 'right'")
     size = F.length(right if divisor == "right" else left)
+    measured = edit_distance(left, right) if distance is None else _col(distance)
     gap = F.abs(F.length(left) - F.length(right))
     return (
         F.when(size == 0, F.lit(0.0))
         .when(left == right, F.lit(1.0))
         .when(gap >= size, F.lit(0.0))
-        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - edit_distance(left, right) / size))
+        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - measured / size))
     )

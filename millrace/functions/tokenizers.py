@@ -11,13 +11,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+IDS = ArrayType(IntegerType())
 
 
 def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(IDS)
 def _byte_ids(texts: pa.Array) -> pa.Array:
     # The buffers of a string array already are its UTF-8 bytes and row offsets.
     binary = texts.cast(pa.large_binary())
@@ -81,7 +84,7 @@ class FileTokenizer:
     def encode(self, text: str | Column) -> Column:
         path = self.path
 
-        @F.arrow_udf("array<int>")
+        @F.arrow_udf(IDS)
         def ids(texts: pa.Array) -> pa.Array:
             tokenizer = _load(path)
             encoded = tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)

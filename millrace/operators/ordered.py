@@ -29,6 +29,18 @@ def digest_bucket(column: str | Column, digits: int = 4) -> Column:
     return F.substring(col, 1, digits)
 
 
+def spread(scanned: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a scan over at least as many tasks as there are cores.
+
+    For work whose cost is in the rows rather than in reading them. A scan of
+    many files already has enough tasks and is returned as it is.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    if scanned.rdd.getNumPartitions() >= cores:
+        return scanned
+    return scanned.repartition(cores, *keys)
+
+
 def with_positions(
     df: DataFrame,
     keys: Sequence[str],

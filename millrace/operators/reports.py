@@ -25,20 +25,21 @@ def leaderboard(
     percent = [
         F.struct(
             F.lit(metric).alias("metric"),
-            *[F.round(F.col(f"{level}_{metric}") * 100, 4).alias(level) for level in OPT_LEVELS],
+            *[(F.col(f"{level}_{metric}") * 100).alias(level) for level in OPT_LEVELS],
         )
         for metric in metrics
     ]
     long = levels.select(bits, model, F.inline(F.array(*percent)))
     present = F.filter(F.array(*OPT_LEVELS), lambda value: value.isNotNull())
     mean = F.aggregate(present, F.lit(0.0), lambda acc, value: acc + value) / F.size(present)
-    scored = long.withColumn("AVG", F.round(mean, 4))
-    rivals = Window.partitionBy("metric", bits)
     columns = (*OPT_LEVELS, "AVG")
+    exact = long.withColumn("AVG", mean)
+    scored = exact.withColumns({column: F.round(column, 4) for column in columns})
+    rivals = Window.partitionBy("metric", bits)
     return scored.select(
         "*",
         *[
-            F.coalesce(F.rank().over(rivals.orderBy(F.col(c).desc_nulls_last())) == 1, F.lit(False)).alias(f"best_{c}")
+            (F.col(c).isNotNull() & (F.rank().over(rivals.orderBy(F.col(c).desc_nulls_last())) == 1)).alias(f"best_{c}")
             for c in columns
         ],
     )
