@@ -215,12 +215,12 @@ def samples_with_real_data(spark, sf_dir):
 @query(
     "functions_in_position_range",
     f"""with s as ({SAMPLES}), numbered as (select doc_id, func, row_number() over (order by doc_id) - 1 as pos from s)
-    select * from numbered where pos >= 200 and pos < least(200 + 300, 5000)""",
+    select * from numbered where pos >= 100 and pos < least(100 + 300, 5000)""",
 )
 def functions_in_position_range(spark, sf_dir):
     names = bind(spark, sf_dir, SAMPLES).select("doc_id", "func")
     numbered = with_positions(names, [], ["doc_id"], id_bucket("doc_id"))
-    return filters.position_range(numbered, start=2, count=3)
+    return filters.position_range(numbered, start=1, count=3)
 
 
 @query(

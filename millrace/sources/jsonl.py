@@ -15,14 +15,14 @@ def _path_part(from_end: int) -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -from_end)
 
 
-def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Stripped, non-blank lines of the ``.jsonl`` files below ``folder``.
+def read_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
+    """Stripped, non-blank lines of the files below ``folder``.
 
     Rows have ``value``, ``file_name``, ``folder``, ``part`` (the text after the
     folder's last underscore) and ``line_no``, which grows along each file:
     files are split between tasks at byte offsets, and the split's start leads.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
     # Task-local ids grow within a split, and the split's offset orders the splits.
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = lines.select(
@@ -41,15 +41,17 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_samples(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_samples(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """Canonical objects of a JSONL folder, and the quarantined lines."""
-    lines = read_lines(spark, folder)
+    lines = read_lines(spark, folder, glob)
     return canonical(lines, "value", keep=("folder", "part", "file_name", "line_no"))
 
 
-def read_typed(spark: SparkSession, folder: str, schema: str, required: Sequence[str]) -> DataFrame:
-    """JSONL rows under an explicit schema; a file set lacking a column is an error."""
-    good, _ = read_samples(spark, folder)
+def read_typed(
+    spark: SparkSession, folder: str, schema: str, required: Sequence[str], glob: str = "*.jsonl"
+) -> DataFrame:
+    """JSONL rows under an explicit schema; a row lacking a required column is an error."""
+    good, _ = read_samples(spark, folder, glob)
     rows = good.withColumn("_row", F.from_json("canonical", schema, {"mode": "FAILFAST"}))
     keys = F.json_object_keys("canonical")
     missing = F.array_except(F.array(*[F.lit(name) for name in required]), keys)
@@ -65,12 +67,12 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Whole files with their name and the name of their folder."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .text(path)
-        .select("value", F.col("_metadata.file_name").alias("file_name"))
+        .text(path, wholetext=True)
+        .select("value", F.col("_metadata.file_name").alias("file_name"), _path_part(2).alias("folder"))
     )
 
 
@@ -89,24 +91,38 @@ def read_membership(spark: SparkSession, path: str, glob: str = "*.json") -> Dat
 
 
 def read_name_list(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """Names of a Python-style list file, with their position in the list."""
-    quoted = F.regexp_extract_all("value", F.lit(r"'([^'\\]*)'|\"([^\"\\]*)\""), F.lit(0))
-    names = F.transform(quoted, lambda q: q.substr(F.lit(2), F.length(q) - 2))
+    """Names of Python-style list files, with their position in the list."""
+    quoted = F.regexp_extract_all("value", F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""), F.lit(0))
+    names = F.transform(
+        quoted, lambda q: F.regexp_replace(q.substr(F.lit(2), F.length(q) - 2), r"\\(.)", "$1")
+    )
     return _whole(spark, path, glob).select("file_name", F.posexplode(names).alias("pos", "func"))
 
 
-def read_entity_texts(spark: SparkSession, path: str, suffix: str, key: str = "func", text: str = "text") -> DataFrame:
-    """One text per entity, from files named ``<entity><suffix>``."""
-    name = F.col("file_name").substr(F.lit(1), F.length("file_name") - len(suffix))
-    return _whole(spark, path, f"*{suffix}").select(name.alias(key), F.col("value").alias(text))
+def _entity_files(spark: SparkSession, path: str, glob: str, named_by: str) -> DataFrame:
+    """Whole files with ``name``: the file's, or that of its ``key=name`` folder."""
+    if named_by == "file":
+        return _whole(spark, path, glob).withColumnRenamed("file_name", "name")
+    return _whole(spark, path).withColumn("name", F.regexp_replace("folder", "^[^=]*=", ""))
+
+
+def read_entity_texts(
+    spark: SparkSession, path: str, suffix: str, key: str = "func", text: str = "text", named_by: str = "file"
+) -> DataFrame:
+    """One text per entity, from files (or folders) named ``<entity><suffix>``."""
+    name = F.col("name").substr(F.lit(1), F.length("name") - len(suffix))
+    files = _entity_files(spark, path, f"*{suffix}", named_by).filter(F.endswith("name", F.lit(suffix)))
+    return files.select(name.alias(key), F.col("value").alias(text))
 
 
-def read_level_texts(spark: SparkSession, path: str, tail: str = ".c", text: str = "text") -> DataFrame:
-    """Texts of files named ``<entity>_<level><tail>``, as ``func, opts, text``."""
+def read_level_texts(
+    spark: SparkSession, path: str, tail: str = ".c", text: str = "text", named_by: str = "file"
+) -> DataFrame:
+    """Texts named ``<entity>_<level><tail>``, as ``func, opts, text``."""
     pattern = rf"^(.*)_(O[0-3]){tail.replace('.', '[.]')}$"
-    files = _whole(spark, path, f"*{tail}").filter(F.col("file_name").rlike(pattern))
+    files = _entity_files(spark, path, f"*{tail}", named_by).filter(F.col("name").rlike(pattern))
     return files.select(
-        F.regexp_extract("file_name", pattern, 1).alias("func"),
-        F.regexp_extract("file_name", pattern, 2).alias("opts"),
+        F.regexp_extract("name", pattern, 1).alias("func"),
+        F.regexp_extract("name", pattern, 2).alias("opts"),
         F.col("value").alias(text),
     )

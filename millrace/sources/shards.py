@@ -24,7 +24,7 @@ def read_packed(spark: SparkSession, paths: str | Sequence[str], mode: str = "tr
         shard = spark.read.parquet(path)
         if "dataset" in shard.columns:
             shard = shard.filter(F.col("dataset") == MODES[mode])
-            if not shard.inputFiles() or shard.isEmpty():
+            if shard.isEmpty():
                 continue
             shard = shard.drop("dataset")
         found.append(shard)
