@@ -11,6 +11,7 @@ from millrace.functions import templates
 from millrace.operators import filters, packing, prompts, sharding
 from millrace.operators.ordered import spread
 from millrace.operators.tokens import tokenise, training_rows
+from millrace.session import cut_lineage
 from millrace.sinks.tables import shard_name
 
 PACK_LENGTH = 512
@@ -354,7 +355,7 @@ from packed
 
 
 def packed_samples(spark, sf_dir, keep_residual=True):
-    """Samples to packed rows in one plan, units by document number."""
+    """Samples to packed rows, units by document number; the tokens are stored once."""
     rows = training_rows(_prompted(spark, sf_dir)).select(
         F.col("doc_id").alias("row_id"),
         (F.col("doc_id") % 3).cast("int").alias("part"),
@@ -363,7 +364,7 @@ def packed_samples(spark, sf_dir, keep_residual=True):
         "labels",
         "seq_length",
     )
-    return packing.pack(rows, 4096, keep_residual=keep_residual)
+    return packing.pack(cut_lineage(rows, "tokens"), 4096, keep_residual=keep_residual)
 
 
 def _packed_digest(packed):

@@ -145,7 +145,7 @@ def entity_text_files(spark, sf_dir):
     deps_path, generated_path = scratch_path(spark, "deps"), scratch_path(spark, "generated")
     # Without the last line end, which the text writer adds, the texts are as given.
     for rows, path in ((deps, deps_path), (generated, generated_path)):
-        rows.write.option("lineSep", "\n").partitionBy("entity").text(path)
+        rows.repartition("entity").write.partitionBy("entity").text(path)
     read_deps = jsonl.read_entity_texts(spark, deps_path, "_64_deps.c", text="deps", named_by="folder")
     read_generated = jsonl.read_level_texts(spark, generated_path, text="gen", named_by="folder")
     joined = matching.with_generated(read_deps, read_generated)

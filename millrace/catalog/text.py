@@ -10,7 +10,7 @@ from millrace.functions import text
 from millrace.functions.codescan import target_function
 from millrace.functions.jsontext import data_mapping, graph_mapping, python_json, same_output, wrap_strings
 from millrace.operators import filters
-from millrace.operators.ordered import id_bucket, with_positions
+from millrace.operators.ordered import id_bucket, spread, with_positions
 
 # The stripped characters as a DuckDB string literal.
 SPACES = "'" + text.WHITESPACE + "'"
@@ -21,6 +21,11 @@ def _digest(name: str):
     return F.md5(F.col(name).cast("binary")).alias(name)
 
 
+def _code(spark, sf_dir):
+    """Programs and answers, spread for the work on whole texts."""
+    return spread(bind(spark, sf_dir, CODE), "doc_id")
+
+
 def fence(column: str, body: str) -> str:
     pattern = f"'```[^\\n]*\\n({body})```'"
     return f"""trim(case when regexp_matches({column}, {pattern}) then regexp_extract({column}, {pattern}, 1)
@@ -37,7 +42,7 @@ LAST = fence("gen", "[\\s\\S]*")
     md5(replace(replace(gen, '```c', ''), '```', '')) as marks_removed from c""",
 )
 def fenced_code(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).select(
+    rows = _code(spark, sf_dir).select(
         "doc_id",
         text.fenced_code("gen").alias("first_fence"),
         text.fenced_code("gen", greedy=True).alias("to_last_fence"),
@@ -53,7 +58,7 @@ def fenced_code(spark, sf_dir):
     md5(replace(replace(replace({FIRST}, '__fastcall', ''), '__cdecl', ''), '__usercall', '')) as bare from c""",
 )
 def calling_conventions_removed(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).select(
+    rows = _code(spark, sf_dir).select(
         "doc_id",
         text.without_conventions(text.fenced_code("gen", greedy=True), spaced=True).alias("spaced"),
         text.without_conventions(text.fenced_code("gen")).alias("bare"),
@@ -80,7 +85,7 @@ def _eight_times(line: str) -> str:
     from aimed""",
 )
 def first_function_renamed(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).withColumn("decom", text.fenced_code("gen"))
+    rows = _code(spark, sf_dir).withColumn("decom", text.fenced_code("gen"))
     renamed = rows.select("doc_id", text.rename_first_function("decom", "c_func").alias("renamed"))
     return renamed.select("doc_id", _digest("renamed"))
 
@@ -97,7 +102,7 @@ def first_function_renamed(spark, sf_dir):
 )
 def includes_hoisted(spark, sf_dir):
     program, bare = text.combined_program("c_func", "c_test", "gen")
-    rows = bind(spark, sf_dir, CODE).select("doc_id", program.alias("program"), bare.alias("bare"))
+    rows = _code(spark, sf_dir).select("doc_id", program.alias("program"), bare.alias("bare"))
     return rows.select("doc_id", _digest("program"), _digest("bare"))
 
 
@@ -106,7 +111,7 @@ def includes_hoisted(spark, sf_dir):
     f"with c as ({CODE}) select doc_id, md5(c_test || chr(10) || c_func) as program from c",
 )
 def dependencies_joined(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE)
+    rows = _code(spark, sf_dir)
     return rows.select("doc_id", text.with_dependencies("c_test", "c_func").alias("program")).select("doc_id", _digest("program"))
 
 
@@ -120,7 +125,7 @@ def dependencies_joined(spark, sf_dir):
     from kept""",
 )
 def lines_mentioning_function(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).withColumn("program", text.with_dependencies("c_func", "c_test"))
+    rows = _code(spark, sf_dir).withColumn("program", text.with_dependencies("c_func", "c_test"))
     return rows.select("doc_id", "opts", text.lines_mentioning("program", "func").alias("decom"))
 
 
@@ -132,7 +137,7 @@ def lines_mentioning_function(spark, sf_dir):
     select * from picked where decom is not null""",
 )
 def first_nonempty_text(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE)
+    rows = _code(spark, sf_dir)
     mentioned = F.when(F.contains("gen", "func"), F.col("func"))
     fallback = F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.col("opts"))
     picked = rows.select("doc_id", text.first_nonempty(mentioned, fallback).alias("decom"))
@@ -146,7 +151,7 @@ def first_nonempty_text(spark, sf_dir):
     from c""",
 )
 def wrapper_repointed(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).select("doc_id", text.repoint_include("wrapper", "/work/f.c").alias("wrapper"))
+    rows = _code(spark, sf_dir).select("doc_id", text.repoint_include("wrapper", "/work/f.c").alias("wrapper"))
     return rows.select("doc_id", _digest("wrapper"))
 
 
@@ -158,7 +163,7 @@ def wrapper_repointed(spark, sf_dir):
     from code""",
 )
 def optimized_code_applied(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).select(
+    rows = _code(spark, sf_dir).select(
         "doc_id", text.optimized_code("answer").alias("code"), text.apply_optimized("answer", "c_func").alias("kept")
     )
     return rows.select("doc_id", "code", _digest("kept"))
@@ -166,14 +171,14 @@ def optimized_code_applied(spark, sf_dir):
 
 @query("conflicts_renamed")
 def conflicts_renamed(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE)
+    rows = _code(spark, sf_dir)
     dependencies = F.concat(F.lit("static int g2__bench (int x) {\n}\nint g7__bench(void) {\n}\n"), F.col("c_test"))
     return rows.select("doc_id", F.md5(text.rename_conflicts(dependencies, "gen")).alias("renamed"))
 
 
 @query("target_functions")
 def target_functions(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).withColumn("decom", text.fenced_code("gen"))
+    rows = _code(spark, sf_dir).withColumn("decom", text.fenced_code("gen"))
     chosen = rows.select("doc_id", target_function("decom", "func").alias("chosen"))
     return chosen.select("doc_id", F.md5("chosen.text").alias("text"), "chosen.renamed", "chosen.candidates")
 
@@ -228,7 +233,7 @@ def functions_in_position_range(spark, sf_dir):
     f"""with c as ({CODE}) select opts, count(*) as kept from c where length(gen) > 4000 or doc_id % 5 <> 0 group by opts""",
 )
 def generations_present(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).withColumn(
+    rows = _code(spark, sf_dir).withColumn(
         "gen", F.when((F.length("gen") > 4000) | (F.col("doc_id") % 5 != 0), F.col("gen")).otherwise("")
     )
     kept, _ = filters.generated_only(rows, "gen")
@@ -241,7 +246,7 @@ def generations_present(spark, sf_dir):
     from c group by opts""",
 )
 def generations_missing(spark, sf_dir):
-    rows = bind(spark, sf_dir, CODE).withColumn(
+    rows = _code(spark, sf_dir).withColumn(
         "gen", F.when((F.length("gen") > 4000) | (F.col("doc_id") % 5 != 0), F.col("gen")).otherwise("")
     )
     _, skipped = filters.generated_only(rows, "gen")

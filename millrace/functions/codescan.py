@@ -6,7 +6,8 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from millrace.functions.arrow import arrow_function
 
 # Words that look like calls but are not.
 KEYWORDS = {"if", "for", "while", "switch", "return", "sizeof", "do", "else", "case", "catch"}
@@ -93,9 +94,8 @@ def target_function(text: str | Column, name: str | Column, pick: str = "last")
         raise ValueError("pick is 'last' or 'longest'")
     type_ = pa.struct([("text", pa.string()), ("renamed", pa.bool_()), ("candidates", pa.int32())])
 
-    @F.arrow_udf(RESULT)
     def scan(texts: pa.Array, names: pa.Array) -> pa.Array:
         rows = zip(texts.to_pylist(), names.to_pylist())
         return pa.array([None if t is None else select_function(t, n, pick) for t, n in rows], type_)
 
-    return scan(text, name)
+    return arrow_function(scan, RESULT)(text, name)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.arrow import arrow_function, text_function
 from millrace.functions.text import strip
 
 # The serialised columns and the descriptive keys of the prompts.
@@ -43,16 +44,6 @@ def _loads(text):
         return None
 
 
-def _text_udf(convert):
-    """Arrow UDF applying ``convert`` to each text; a null or unusable text gives null."""
-
-    @F.arrow_udf("string")
-    def render(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else convert(t) for t in texts.to_pylist()], pa.string())
-
-    return render
-
-
 def python_json(document: str | Column, ascii_only: bool = True) -> Column:
     """Re-serialise with ``", "`` and ``": "``; ``ascii_only`` escapes the rest.
 
@@ -66,19 +57,18 @@ def python_json(document: str | Column, ascii_only: bool = True) -> Column:
         except ValueError:
             return None
 
-    return _text_udf(convert)(document)
+    return text_function(convert)(document)
 
 
 def python_object(fields: Mapping[str, str]) -> Column:
     """A JSON object of text columns under the given names, in order."""
     names = list(fields)
 
-    @F.arrow_udf("string")
     def render(*columns: pa.Array) -> pa.Array:
         rows = zip(*[column.to_pylist() for column in columns])
         return pa.array([json.dumps(dict(zip(names, row))) for row in rows], pa.string())
 
-    return render(*fields.values())
+    return arrow_function(render, "string")(*fields.values())
 
 
 def _selector(keys: Mapping[str, str], defaults: Mapping[str, object]):
@@ -91,7 +81,7 @@ def _selector(keys: Mapping[str, str], defaults: Mapping[str, object]):
             return None
         return json.dumps({name: known[key] for name, key in keys.items()})
 
-    return _text_udf(convert)
+    return text_function(convert)
 
 
 def data_mapping(document: str | Column, keys: Mapping[str, str] = DATA_KEYS) -> Column:
@@ -129,7 +119,7 @@ def canonical(lines: DataFrame, raw: str = "value", keep: Sequence[str] = ()) ->
         return json.dumps(row, ensure_ascii=False)
 
     stripped = lines.withColumn(raw, strip(raw)).filter(F.length(raw) > 0)
-    rewritten = stripped.withColumn("canonical", _text_udf(convert)(F.col(raw)))
+    rewritten = stripped.withColumn("canonical", text_function(convert)(F.col(raw)))
     good = rewritten.filter(F.col("canonical").isNotNull()).select(*keep, "canonical")
     bad = rewritten.filter(F.col("canonical").isNull()).select(*keep, F.col(raw).alias("rejected"))
     return good, bad
@@ -148,7 +138,7 @@ def wrap_strings(document: str | Column) -> Column:
             return None
         return json.dumps({k: [v] if isinstance(v, str) else v for k, v in row.items()}, ensure_ascii=False)
 
-    return _text_udf(convert)(document)
+    return text_function(convert)(document)
 
 
 def _same(observed, expected) -> bool:
@@ -181,7 +171,6 @@ def same_output(observed: str | Column, expected: str | Column) -> Column:
     compared as text, as an empty output file is.
     """
 
-    @F.arrow_udf("boolean")
     def compare(left: pa.Array, right: pa.Array) -> pa.Array:
         def parsed(text):
             return json.loads(text) if text else text
@@ -194,4 +183,4 @@ def same_output(observed: str | Column, expected: str | Column) -> Column:
                 out.append(None)
         return pa.array(out, pa.bool_())
 
-    return compare(observed, expected)
+    return arrow_function(compare, "boolean")(observed, expected)

@@ -43,18 +43,27 @@ def fenced_code(text: str | Column, greedy: bool = False) -> Column:
     The content starts on the line after the opening fence and ends at the next
     fence, or with ``greedy`` at the last.
     """
-    text = _col(text)
-    opened = F.locate(FENCE, text)
-    tail = text.substr(opened + 3, F.length(text))
-    newline = F.locate("\n", tail)
-    body = tail.substr(newline + 1, F.length(tail))
-    if greedy:
-        after_last = F.substring_index(body, FENCE, -1)
-        size = F.when(F.contains(body, F.lit(FENCE)), F.length(body) - F.length(after_last) - 3).otherwise(-1)
-    else:
-        size = F.locate(FENCE, body) - 1
-    found = (opened > 0) & (newline > 0) & (size >= 0)
-    return strip(F.when(found, body.substr(F.lit(1), size)).otherwise(text))
+    def content(text: Column, body: Column) -> Column:
+        """``body`` starts after the opening line; null where there is none."""
+        if greedy:
+            end = F.length(body) - F.length(F.substring_index(body, FENCE, -1)) - 3
+        else:
+            end = F.locate(FENCE, body) - 1
+        return F.when(F.contains(body, F.lit(FENCE)), body.substr(F.lit(1), end)).otherwise(text)
+
+    def after(text: Column, mark: str) -> Column:
+        """The text after the first ``mark``, null without it."""
+        at = F.locate(mark, text)
+        return F.when(at > 0, text.substr(at + len(mark), F.length(text)))
+
+    # Each part is bound before use, or it would be cut anew for every mention.
+    found = bind(
+        _col(text),
+        lambda text: bind(
+            after(text, FENCE), lambda tail: bind(after(tail, "\n"), lambda body: content(text, body))
+        ),
+    )
+    return strip(found)
 
 
 def without_fence_marks(text: str | Column) -> Column:
@@ -106,7 +115,7 @@ def rename_first_function(text: str | Column, source: str | Column, name: str =
 
 def rename_conflicts(dependencies: str | Column, text: str | Column) -> Column:
     """Point calls at ``X__bench`` for every ``X__bench(...) {`` the dependencies define."""
-    defined = F.regexp_extract_all(_col(dependencies), F.lit(r"(?U)(\w+)__bench *\([^\n]*?\) *\{"), F.lit(1))
+    defined = F.regexp_extract_all(_col(dependencies), F.lit(r"(?U)(?<!\w)(\w+)__bench *\([^\n]*?\) *\{"), F.lit(1))
     return F.aggregate(
         defined,
         _col(text),

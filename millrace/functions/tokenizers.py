@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from millrace.functions.arrow import arrow_function
+
 IDS = ArrayType(IntegerType())
 
 
@@ -20,7 +22,6 @@ def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-@F.arrow_udf(IDS)
 def _byte_ids(texts: pa.Array) -> pa.Array:
     # The buffers of a string array already are its UTF-8 bytes and row offsets.
     binary = texts.cast(pa.large_binary())
@@ -40,7 +41,7 @@ class ByteTokenizer:
     bos, eos, pad, unk = 256, 257, 258, 259
 
     def encode(self, text: str | Column) -> Column:
-        return _byte_ids(text)
+        return arrow_function(_byte_ids, IDS)(text)
 
     def count(self, text: str | Column) -> Column:
         return F.octet_length(_col(text))
@@ -49,16 +50,16 @@ class ByteTokenizer:
         """Text of byte ids; the special ids have no text."""
         unk, bos, eos = self.unk, self.bos, self.eos
 
-        @F.arrow_udf("string")
         def render(rows: pa.Array) -> pa.Array:
             marks = {bos: b"<s>", eos: b"</s>", unk: b"<unk>"}
             table = [bytes([i]) if i < 256 else marks.get(i, b"") for i in range(260)]
-            return pa.array(
-                [None if r is None else b"".join(table[i] for i in r).decode("utf-8", "replace") for r in rows.to_pylist()],
-                pa.string(),
-            )
 
-        return render(ids)
+            def text(row):
+                return None if row is None else b"".join(map(table.__getitem__, row)).decode("utf-8", "replace")
+
+            return pa.array(map(text, rows.to_pylist()), pa.string())
+
+        return arrow_function(render, "string")(ids)
 
 
 _LOADED: dict[str, object] = {}
@@ -84,13 +85,12 @@ class FileTokenizer:
     def encode(self, text: str | Column) -> Column:
         path = self.path
 
-        @F.arrow_udf(IDS)
         def ids(texts: pa.Array) -> pa.Array:
             tokenizer = _load(path)
             encoded = tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
             return pa.array([e.ids for e in encoded], pa.list_(pa.int32()))
 
-        return ids(text)
+        return arrow_function(ids, IDS)(text)
 
     def count(self, text: str | Column) -> Column:
         return F.size(self.encode(text))
@@ -98,9 +98,12 @@ class FileTokenizer:
     def decode(self, ids: str | Column) -> Column:
         path = self.path
 
-        @F.arrow_udf("string")
         def render(rows: pa.Array) -> pa.Array:
             tokenizer = _load(path)
-            return pa.array([None if r is None else tokenizer.decode(r, skip_special_tokens=False) for r in rows.to_pylist()], pa.string())
 
-        return render(ids)
+            def text(row):
+                return None if row is None else tokenizer.decode(row, skip_special_tokens=False)
+
+            return pa.array(map(text, rows.to_pylist()), pa.string())
+
+        return arrow_function(render, "string")(ids)

@@ -223,8 +223,8 @@ def chat_training_rows(
         F.length("text") > 0, F.concat(tokenizer.encode("text"), F.array(F.lit(tokenizer.eos)))
     ).otherwise(F.array().cast("array<int>"))
     ids = F.concat(tokenizer.encode(head), F.array(F.lit(tokenizer.bos)), body)
-    members = F.sort_array(F.collect_list(F.struct("pos", ids.alias("ids"), "speaker")))
-    rows = kept.groupBy("conv_id").agg(members.alias("_members"), F.max("target_turns").alias("target_turns"))
+    members = F.sort_array(F.collect_list(F.struct("pos", "ids", "speaker")))
+    rows = kept.withColumn("ids", ids).groupBy("conv_id").agg(members.alias("_members"), F.max("target_turns").alias("target_turns"))
     first_side = F.when(F.col("_members")[0]["speaker"] == ROLES[0], F.lit(1)).otherwise(F.lit(0))
 
     def marks(token: int) -> Column:

@@ -41,6 +41,20 @@ def spread(scanned: DataFrame, *keys: str) -> DataFrame:
     return scanned.repartition(cores, *keys)
 
 
+def bucket_sizes(
+    df: DataFrame, keys: Sequence[str], bucket: Column, running: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Rows, and sums of the ``running`` values, per key and bucket."""
+    return (
+        df.withColumn("_bucket", bucket)
+        .groupBy(*keys, "_bucket")
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.sum(value).alias(f"_sum_{name}") for name, value in (running or {}).items()],
+        )
+    )
+
+
 def with_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,27 +63,27 @@ def with_positions(
     position: str = "pos",
     running: Mapping[str, str] | None = None,
     count: str | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its key, in ``order``.
 
     ``bucket`` must not decrease along ``order`` and must split a key into
     bounded groups. ``running`` maps a new column to a value column whose sum
     over the rows up to and including this one it holds; ``count`` names a
-    column for the key's row count.
+    column for the key's row count. ``sizes`` are the ``bucket_sizes`` if the
+    caller has them.
     """
     running = dict(running or {})
-    keys = list(keys)
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(value).alias(f"_sum_{name}") for name, value in running.items()],
-    )
+    if sizes is None:
+        sizes = bucket_sizes(df, keys, bucket, running)
     # One row per bucket here, so a key's window is about rows / bucket size.
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # As one struct the group joins null keys too, and rows partitioned for the
+    # join already are for the window.
+    group = F.struct(*keys, "_bucket").alias("_group")
     offsets = sizes.select(
-        *[F.col(key).alias(f"_key_{key}") for key in keys],
-        F.col("_bucket").alias("_key_bucket"),
+        group,
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         *[
             F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}")
@@ -77,12 +91,9 @@ def with_positions(
         ],
         *([F.sum("_rows").over(by_key).alias(count)] if count else []),
     )
-    matches = F.col("_bucket").eqNullSafe(F.col("_key_bucket"))
-    for key in keys:
-        matches = matches & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy("_group").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(offsets, matches)
+    placed = df.withColumn("_bucket", bucket).select(*df.columns, group).join(offsets, "_group")
     return placed.select(
         *[F.col(name) for name in df.columns],
         (F.col("_before") + F.row_number().over(inside) - 1).cast("bigint").alias(position),

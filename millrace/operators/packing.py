@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.filters import all_masked
-from millrace.operators.ordered import id_bucket, with_positions
+from millrace.operators.ordered import bucket_sizes, id_bucket, with_positions
 
 UNIT = ("part", "split")
 BUFFER_FACTOR = 16
@@ -138,15 +138,17 @@ def plan_packing(
     ``max_length`` has a bin to itself and leaves the open bin alone.
     """
     unit = list(unit)
-    histogram = lengths.groupBy(*unit, "seq_length").agg(F.count(F.lit(1)).alias("_rows"))
+    run = [*unit, "seq_length"]
+    bucket = bucket if bucket is not None else id_bucket(row_id)
+    # One aggregate of the rows serves both the histogram and the ranks.
+    sizes = bucket_sizes(lengths, run, bucket)
+    histogram = sizes.groupBy(*run).agg(F.sum("_rows").alias("_rows"))
     runs = packing_segments(histogram, max_length, buffer_factor, unit)
-    ranked = with_positions(
-        lengths, [*unit, "seq_length"], [row_id], bucket if bucket is not None else id_bucket(row_id), "_rank"
-    )
+    ranked = with_positions(lengths, run, [row_id], bucket, "_rank", sizes=sizes)
     # The run table is one row per unit and length, and the optimizer sizes it.
-    matches = F.col("seq_length") == F.col("_run_length")
-    for name in unit:
-        matches = matches & F.col(name).eqNullSafe(F.col(f"_run_{name}"))
+    matches = F.struct(*unit, F.col("seq_length").cast("bigint")) == F.struct(
+        *[f"_run_{name}" for name in unit], "_run_length"
+    )
     own = F.filter("segments", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["last"]))[0]
     placed = ranked.join(runs, matches).withColumn("_s", own)
     offset = F.col("_rank") - F.col("_s.first")
