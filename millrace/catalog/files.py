@@ -129,26 +129,30 @@ def name_list_files(spark, sf_dir):
 
 @query(
     "entity_text_files",
-    "select concat('fn', s_suppkey) as func, 'int deps;' || chr(10) || s_name as deps, "
-    "'O' || (s_suppkey % 4) as opts, 'int gen;' || s_name as gen from supplier",
+    """with deps as (select concat('fn', s_nationkey) as func, string_agg(s_name, chr(10) order by s_suppkey) as deps
+         from supplier group by s_nationkey),
+    generated as (select concat('fn', s_nationkey) as func, concat('O', s_suppkey % 4) as opts,
+         string_agg('int ' || s_name, chr(10) order by s_suppkey) as gen from supplier group by s_nationkey, s_suppkey % 4)
+    select g.func, d.deps, g.opts, g.gen from generated g join deps d on d.func = g.func""",
 )
 def entity_text_files(spark, sf_dir):
-    suppliers = load(spark, sf_dir, "supplier")
-    func = F.concat(F.lit("fn"), F.col("s_suppkey").cast("string"))
+    """Suppliers as the lines of their nation's files, one file per entity (and level)."""
+    func = F.concat(F.lit("fn"), F.col("s_nationkey").cast("string"))
     level = F.concat(F.lit("O"), (F.col("s_suppkey") % 4).cast("string"))
-    deps = suppliers.select(
-        F.concat(func, F.lit("_64_deps.c")).alias("entity"), F.concat(F.lit("int deps;\n"), F.col("s_name")).alias("value")
-    )
-    generated = suppliers.select(
-        F.concat(func, F.lit("_"), level, F.lit(".c")).alias("entity"), F.concat(F.lit("int gen;"), F.col("s_name")).alias("value")
-    )
-    deps_path, generated_path = scratch_path(spark, "deps"), scratch_path(spark, "generated")
-    # Without the last line end, which the text writer adds, the texts are as given.
-    for rows, path in ((deps, deps_path), (generated, generated_path)):
-        rows.repartition("entity").write.partitionBy("entity").text(path)
-    read_deps = jsonl.read_entity_texts(spark, deps_path, "_64_deps.c", text="deps", named_by="folder")
-    read_generated = jsonl.read_level_texts(spark, generated_path, text="gen", named_by="folder")
-    joined = matching.with_generated(read_deps, read_generated)
+    suppliers = load(spark, sf_dir, "supplier")
+    layouts = {
+        "deps": (F.concat(func, F.lit("_64_deps.c")), F.col("s_name")),
+        "generated": (F.concat(func, F.lit("_"), level, F.lit(".c")), F.concat(F.lit("int "), F.col("s_name"))),
+    }
+    paths = {}
+    for name, (entity, line) in layouts.items():
+        paths[name] = scratch_path(spark, name)
+        lines = suppliers.select(entity.alias("entity"), "s_suppkey", line.alias("value"))
+        ordered = lines.repartition("entity").sortWithinPartitions("entity", "s_suppkey").drop("s_suppkey")
+        ordered.write.partitionBy("entity").text(paths[name])
+    deps = jsonl.read_entity_texts(spark, paths["deps"], "_64_deps.c", text="deps", named_by="folder")
+    generated = jsonl.read_level_texts(spark, paths["generated"], text="gen", named_by="folder")
+    joined = matching.with_generated(deps, generated)
     return joined.select("func", F.rtrim("deps", F.lit("\n")).alias("deps"), "opts", F.rtrim("gen", F.lit("\n")).alias("gen"))
 
 

@@ -29,7 +29,11 @@ def _col(value: str | Column) -> Column:
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value`` evaluated once, for use inside lambdas over its parts."""
+    """``body`` of ``value``, which is evaluated once.
+
+    Lambdas inside ``body`` must not mention its argument: Spark does not run a
+    Python function over such an expression.
+    """
     return F.transform(F.array(value), body)[0]
 
 
@@ -43,7 +47,9 @@ def fenced_code(text: str | Column, greedy: bool = False) -> Column:
     The content starts on the line after the opening fence and ends at the next
     fence, or with ``greedy`` at the last.
     """
-    def content(text: Column, body: Column) -> Column:
+    text = _col(text)
+
+    def content(body: Column) -> Column:
         """``body`` starts after the opening line; null where there is none."""
         if greedy:
             end = F.length(body) - F.length(F.substring_index(body, FENCE, -1)) - 3
@@ -57,13 +63,8 @@ def fenced_code(text: str | Column, greedy: bool = False) -> Column:
         return F.when(at > 0, text.substr(at + len(mark), F.length(text)))
 
     # Each part is bound before use, or it would be cut anew for every mention.
-    found = bind(
-        _col(text),
-        lambda text: bind(
-            after(text, FENCE), lambda tail: bind(after(tail, "\n"), lambda body: content(text, body))
-        ),
-    )
-    return strip(found)
+    tail = after(text, FENCE)
+    return strip(bind(bind(tail, lambda tail: after(tail, "\n")), content))
 
 
 def without_fence_marks(text: str | Column) -> Column:
@@ -93,24 +94,24 @@ def rename_first_function(text: str | Column, source: str | Column, name: str =
     def renamed(line: Column) -> Column:
         return F.array_join(F.split(line, CALL_LIKE, RENAMED_CALLS + 1), f" {name}(")
 
-    def rewrite(lines: Column, target: Column) -> Column:
-        return F.transform(
-            lines,
-            lambda line, index: F.when(index + 1 == target, renamed(line))
-            .when(((target == 0) | (index + 1 < target)) & repeated_include(line), F.lit(""))
-            .otherwise(line),
-        )
-
     def has_calls(line: Column) -> Column:
         return ~repeated_include(line) & line.rlike(CALL_LIKE)
 
-    return bind(
-        F.split(_col(text), "\n"),
-        lambda lines: bind(
-            F.array_position(F.transform(lines, has_calls), True),
-            lambda target: F.array_join(rewrite(lines, target), "\n"),
-        ),
-    )
+    def blanked(line: Column) -> Column:
+        return F.when(repeated_include(line), F.lit("")).otherwise(line)
+
+    def aimed(lines: Column) -> Column:
+        target = F.array_position(F.transform(lines, has_calls), True).cast("int")
+        return F.struct(lines.alias("lines"), target.alias("target"), F.size(lines).alias("size"))
+
+    def rewritten(found: Column) -> Column:
+        lines, target, size = found["lines"], found["target"], found["size"]
+        before = F.when(target == 0, size).otherwise(target - 1)
+        hit = F.transform(F.slice(lines, before + 1, F.least(target, F.lit(1))), renamed)
+        after = F.slice(lines, before + 2, size)
+        return F.array_join(F.concat(F.transform(F.slice(lines, 1, before), blanked), hit, after), "\n")
+
+    return bind(bind(F.split(_col(text), "\n"), aimed), rewritten)
 
 
 def rename_conflicts(dependencies: str | Column, text: str | Column) -> Column:
@@ -179,19 +180,13 @@ def lines_mentioning(text: str | Column, name: str | Column) -> Column:
     """Lines of ``text`` that contain ``name``, with their line ends."""
     name = _col(name)
 
-    def ended(line: Column, last: Column) -> Column:
-        return F.concat(line, F.when(last, F.lit("")).otherwise(F.lit("\n")))
-
-    return bind(
-        F.split(_col(text), "\n"),
-        lambda lines: F.array_join(
-            F.filter(
-                F.transform(lines, lambda line, index: ended(line, index + 1 == F.size(lines))),
-                lambda line: F.contains(line, name),
-            ),
-            "",
-        ),
-    )
+    def kept(lines: Column) -> Column:
+        size = F.size(lines)
+        ended = F.transform(F.slice(lines, 1, size - 1), lambda line: F.concat(line, F.lit("\n")))
+        whole = F.concat(ended, F.slice(lines, size, 1))
+        return F.array_join(F.filter(whole, lambda line: F.contains(line, name)), "")
+
+    return bind(F.split(_col(text), "\n"), kept)
 
 
 def first_nonempty(*texts: str | Column) -> Column:

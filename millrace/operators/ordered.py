@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 ID_BUCKET_ROWS = 1 << 20
 
 
+def whole(left: Column, right: Column) -> Column:
+    """Integer quotient, exact for any bigint."""
+    return F.call_function("div", left, right)
+
+
 def id_bucket(column: str | Column, width: int = ID_BUCKET_ROWS) -> Column:
-    """Bucket of a unique integer id: never more than ``width`` rows, in id order."""
-    col = F.col(column) if isinstance(column, str) else column
-    return F.floor(col / F.lit(width)).cast("bigint")
+    """Bucket of a unique integer id, in id order: ``width`` ids each, twice that at 0."""
+    return whole(F.col(column) if isinstance(column, str) else column, F.lit(width))
 
 
 def digest_bucket(column: str | Column, digits: int = 4) -> Column:
@@ -64,6 +68,7 @@ def with_positions(
     running: Mapping[str, str] | None = None,
     count: str | None = None,
     sizes: DataFrame | None = None,
+    per_key: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its key, in ``order``.
 
@@ -71,7 +76,8 @@ def with_positions(
     bounded groups. ``running`` maps a new column to a value column whose sum
     over the rows up to and including this one it holds; ``count`` names a
     column for the key's row count. ``sizes`` are the ``bucket_sizes`` if the
-    caller has them.
+    caller has them. The columns of ``per_key``, one row per key, are added too:
+    they join the buckets, not the rows, so a hot key does not skew that join.
     """
     running = dict(running or {})
     if sizes is None:
@@ -90,7 +96,12 @@ def with_positions(
             for name in running
         ],
         *([F.sum("_rows").over(by_key).alias(count)] if count else []),
+        *([F.struct(*keys).alias("_key")] if per_key is not None else []),
     )
+    added = []
+    if per_key is not None:
+        added = [name for name in per_key.columns if name not in keys]
+        offsets = offsets.join(per_key.select(F.struct(*keys).alias("_key"), *added), "_key", "left")
     inside = Window.partitionBy("_group").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     placed = df.withColumn("_bucket", bucket).select(*df.columns, group).join(offsets, "_group")
@@ -102,4 +113,5 @@ def with_positions(
             for name, value in running.items()
         ],
         *([F.col(count)] if count else []),
+        *added,
     )

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.filters import all_masked
-from millrace.operators.ordered import bucket_sizes, id_bucket, with_positions
+from millrace.operators.ordered import bucket_sizes, id_bucket, whole, with_positions
 
 UNIT = ("part", "split")
 BUFFER_FACTOR = 16
@@ -109,16 +109,15 @@ def packing_segments(
         runs: dict[int, list] = {}
         for segment in layout(pairs, max_length, buffer_factor):
             runs.setdefault(segment["length"], []).append({name: segment[name] for name in fields})
-        out = pd.DataFrame({"_run_length": list(runs), "segments": list(runs.values())})
+        out = pd.DataFrame({"seq_length": list(runs), "segments": list(runs.values())})
         for name, value in zip(unit, keys):
-            out[f"_run_{name}"] = value
+            out[name] = value
         return out
 
     types = dict(histogram.dtypes)
-    key_schema = ", ".join(f"_run_{name} {types[name]}" for name in unit)
+    keys = ", ".join(f"{name} {types[name]}" for name in (*unit, "seq_length"))
     nested = ", ".join(piece.replace(" ", ": ", 1) for piece in SEGMENT.split(", "))
-    schema = f"{key_schema}, _run_length bigint, segments array<struct<{nested}>>"
-    return histogram.groupBy(*unit).applyInPandas(per_unit, schema)
+    return histogram.groupBy(*unit).applyInPandas(per_unit, f"{keys}, segments array<struct<{nested}>>")
 
 
 def plan_packing(
@@ -143,26 +142,19 @@ def plan_packing(
     # One aggregate of the rows serves both the histogram and the ranks.
     sizes = bucket_sizes(lengths, run, bucket)
     histogram = sizes.groupBy(*run).agg(F.sum("_rows").alias("_rows"))
-    runs = packing_segments(histogram, max_length, buffer_factor, unit)
-    ranked = with_positions(lengths, run, [row_id], bucket, "_rank", sizes=sizes)
-    # The run table is one row per unit and length, and the optimizer sizes it.
-    matches = F.struct(*unit, F.col("seq_length").cast("bigint")) == F.struct(
-        *[f"_run_{name}" for name in unit], "_run_length"
-    )
+    segments = packing_segments(histogram, max_length, buffer_factor, unit)
+    placed = with_positions(lengths, run, [row_id], bucket, "_rank", sizes=sizes, per_key=segments)
     own = F.filter("segments", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["last"]))[0]
-    placed = ranked.join(runs, matches).withColumn("_s", own)
-    offset = F.col("_rank") - F.col("_s.first")
-    at = F.pmod(offset, F.col("_s.period"))
+    found = placed.withColumn("_s", own).withColumn("_offset", F.col("_rank") - F.col("_s.first"))
+    at = F.pmod("_offset", F.col("_s.period"))
     joins_open = at < F.col("_s.room")
     beyond = at - F.col("_s.room")
-    bin_ = F.when(joins_open, F.col("_s.bin")).otherwise(
-        F.col("_s.after") + 1 + F.floor(beyond / F.col("_s.fit"))
-    )
+    bin_ = F.when(joins_open, F.col("_s.bin")).otherwise(F.col("_s.after") + 1 + whole(beyond, F.col("_s.fit")))
     pos = F.when(joins_open, F.col("_s.members") + at).otherwise(F.pmod(beyond, F.col("_s.fit")))
     return (
-        placed.withColumn("buffer", F.col("_s.buffer") + F.floor(offset / F.col("_s.period")))
-        .withColumn("bin", bin_.cast("bigint"))
-        .withColumn("pos", pos.cast("bigint"))
+        found.withColumn("buffer", F.col("_s.buffer") + whole(F.col("_offset"), F.col("_s.period")))
+        .withColumn("bin", bin_)
+        .withColumn("pos", pos)
         .withColumn("residual", ~F.col("_s.alone") & (F.col("bin") == F.col("_s.open_bin")))
         .select(*lengths.columns, "buffer", "bin", "pos", "residual")
     )
