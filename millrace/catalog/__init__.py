@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from millrace.catalog import batches, chats, corpus, files, scoring, text
+from millrace.catalog import batches, chats, corpus, files, flows, scoring, text
 from millrace.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "batches", "chats", "corpus", "files", "scoring", "text"]
+__all__ = ["ORACLES", "QUERIES", "batches", "chats", "corpus", "files", "flows", "scoring", "text"]

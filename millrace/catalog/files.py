@@ -19,11 +19,11 @@ from millrace.sources import jsonl, shards
 
 # Samples as raw lines; some are blank and some are broken.
 RAW_LINES = f"""
-select doc_id, concat('new_input_', cast(doc_id % 4 as varchar(20))) as folder,
-       case when doc_id % 9 = 0 then '   '
-            when doc_id % 10 = 0 then concat('{{"func":"', func, '", "data":')
+select concat('new_input_', cast(doc_id % 4 as varchar(20))) as input_folder,
+       case when folder = 'src9' then '   '
+            when folder = 'src4' then concat('{{"func":"', func, '", "data":')
             else concat('  {{"func":"', func, '","arch":"', arch, '","data":', data, ',"assemgraph":', assemgraph_com,
-                        ',"assemgraph_com":', assemgraph_com, case when doc_id % 4 = 0 then ',"asm_obj":"nop"' else '' end,
+                        ',"assemgraph_com":', assemgraph_com, case when arch = 'x86' then ',"asm_obj":"nop"' else '' end,
                         '}} ') end as value
 from ({SAMPLES}) s
 """
@@ -31,7 +31,7 @@ from ({SAMPLES}) s
 
 def _raw_folder(spark, sf_dir):
     path = scratch_path(spark, "lines")
-    bind(spark, sf_dir, RAW_LINES).select("folder", "value").write.partitionBy("folder").text(path)
+    bind(spark, sf_dir, RAW_LINES).select(F.col("input_folder").alias("folder"), "value").write.partitionBy("folder").text(path)
     return path
 
 
@@ -39,11 +39,11 @@ def _raw_folder(spark, sf_dir):
     "canonical_samples",
     f"""with s as ({SAMPLES}), spaced as (select *,
       replace(replace(replace(replace(data, ':', ': '), ',', ', '), '1.50', '1.5'), '2e3', '2000.0') as d,
-      replace(replace(assemgraph_com, ':', ': '), ',', ', ') as g from s where doc_id % 9 <> 0 and doc_id % 10 <> 0)
+      replace(replace(assemgraph_com, ':', ': '), ',', ', ') as g from s where s.folder not in ('src9', 'src4'))
     select concat('folder=new_input_', doc_id % 4) as folder, cast(doc_id % 4 as varchar) as part,
       concat('{{"func": "', func, '", "arch": "', arch, '", "data": "', replace(d, '"', '\\"'), '", "assemgraph": "',
         replace(g, '"', '\\"'), '", "assemgraph_com": "', replace(g, '"', '\\"'),
-        case when doc_id % 4 = 0 then '", "asm_obj": "nop"}}' else '", "asm_obj": ""}}' end) as canonical
+        case when arch = 'x86' then '", "asm_obj": "nop"}}' else '", "asm_obj": ""}}' end) as canonical
     from spaced""",
 )
 def canonical_samples(spark, sf_dir):
@@ -54,7 +54,7 @@ def canonical_samples(spark, sf_dir):
 @query(
     "rejected_lines",
     f"""with s as ({SAMPLES}) select cast(doc_id % 4 as varchar) as part, concat('{{"func":"', func, '", "data":') as rejected
-    from s where doc_id % 9 <> 0 and doc_id % 10 = 0""",
+    from s where s.folder = 'src4'""",
 )
 def rejected_lines(spark, sf_dir):
     _, bad = jsonl.read_samples(spark, _raw_folder(spark, sf_dir), glob="*.txt")
@@ -64,8 +64,8 @@ def rejected_lines(spark, sf_dir):
 @query(
     "canonical_samples_stored",
     f"""with s as ({SAMPLES}) select concat('folder=new_input_', doc_id % 4) as folder, func,
-      case when doc_id % 4 = 0 then 'nop' else '' end as asm_obj, arch
-    from s where doc_id % 9 <> 0 and doc_id % 10 <> 0""",
+      case when arch = 'x86' then 'nop' else '' end as asm_obj, arch
+    from s where s.folder not in ('src9', 'src4')""",
 )
 def canonical_samples_stored(spark, sf_dir):
     good, _ = jsonl.read_samples(spark, _raw_folder(spark, sf_dir), glob="*.txt")

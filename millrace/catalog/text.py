@@ -230,11 +230,11 @@ def functions_in_position_range(spark, sf_dir):
 
 @query(
     "generations_present",
-    f"""with c as ({CODE}) select opts, count(*) as kept from c where length(gen) > 4000 or doc_id % 5 <> 0 group by opts""",
+    f"""with c as ({CODE}) select opts, count(*) as kept from c where contains(gen, '```') group by opts""",
 )
 def generations_present(spark, sf_dir):
     rows = _code(spark, sf_dir).withColumn(
-        "gen", F.when((F.length("gen") > 4000) | (F.col("doc_id") % 5 != 0), F.col("gen")).otherwise("")
+        "gen", F.when(F.contains("gen", F.lit(text.FENCE)), F.col("gen")).otherwise("")
     )
     kept, _ = filters.generated_only(rows, "gen")
     return kept.groupBy("opts").agg(F.count(F.lit(1)).alias("kept"))
@@ -242,12 +242,12 @@ def generations_present(spark, sf_dir):
 
 @query(
     "generations_missing",
-    f"""with c as ({CODE}) select opts, count(*) filter (not (length(gen) > 4000 or doc_id % 5 <> 0)) as skipped
+    f"""with c as ({CODE}) select opts, count(*) filter (not contains(gen, '```')) as skipped
     from c group by opts""",
 )
 def generations_missing(spark, sf_dir):
     rows = _code(spark, sf_dir).withColumn(
-        "gen", F.when((F.length("gen") > 4000) | (F.col("doc_id") % 5 != 0), F.col("gen")).otherwise("")
+        "gen", F.when(F.contains("gen", F.lit(text.FENCE)), F.col("gen")).otherwise("")
     )
     _, skipped = filters.generated_only(rows, "gen")
     return skipped

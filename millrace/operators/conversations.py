@@ -214,7 +214,7 @@ def chat_training_rows(
     between the sides, starting with the human unless the assistant speaks
     first; labels are kept from each assistant mark to its end mark. Where the
     marks do not come out as one pair per turn pair, or nothing fits, all
-    columns are null.
+    columns are null. ``category`` names a column of the turns.
     """
     tokenizer = tokenizer or ByteTokenizer()
     kept = fitting_turns(turns, max_length, tokenizer, system)
@@ -241,7 +241,8 @@ def chat_training_rows(
         first_side.alias("_skip"),
     )
     marked = flat.withColumn("_starts", marks(tokenizer.bos)).withColumn("_ends", marks(tokenizer.eos))
-    everyone = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_turns"))
+    named = F.min_by(category, "turn") if category else F.lit("None")
+    everyone = turns.groupBy("conv_id").agg(F.min("turn").alias("_first"), named.alias("_category"))
     joined = everyone.join(marked, "conv_id", "left")
     matched = (F.size("_starts") == F.col("target_turns")) & (F.size("_ends") == F.col("target_turns"))
     # With the leading mark every position is one further on.
@@ -266,5 +267,5 @@ def chat_training_rows(
         tokenizer.decode(F.col("input_ids")).alias("inputs_decode"),
         tokenizer.decode(seen).alias("labels_decode"),
         "seq_length",
-        F.when(matched, F.lit(category or "None")).alias("seq_category"),
+        F.when(matched, F.coalesce("_category", F.lit("None"))).alias("seq_category"),
     )

@@ -14,9 +14,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 ID_BUCKET_ROWS = 1 << 20
 
 
+def with_range_bucket(df: DataFrame, *order: str, bucket: str = "range_bucket") -> DataFrame:
+    """``df`` stored in ``order``, with the number of each row's range as a bucket.
+
+    For orders without a computable bucket, such as names. The ranges come from
+    a sample, so the rows are written out: every later read sees the same ones.
+    """
+    ranged = df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id())
+    return cut_lineage(ranged, "ranges")
+
+
 def whole(left: Column, right: Column) -> Column:
     """Integer quotient, exact for any bigint."""
     return F.call_function("div", left, right)

@@ -130,8 +130,8 @@ def plan_packing(
 ) -> DataFrame:
     """Place every row: add ``buffer``, ``bin``, ``pos`` and ``residual``.
 
-    ``lengths`` has the unit columns, a unique integer ``row_id`` and
-    ``seq_length``; equal lengths keep ``row_id`` order. ``residual`` marks rows
+    ``lengths`` has the unit columns, an integer ``row_id`` unique in its unit,
+    and ``seq_length`` of at least 1; equal lengths keep ``row_id`` order. ``residual`` marks rows
     of a bin still open when its buffer filled up: the reference drops those,
     ``packed_rows`` keeps them unless told otherwise. A row longer than
     ``max_length`` has a bin to itself and leaves the open bin alone.
@@ -169,8 +169,10 @@ def pack(
     keep_residual: bool = True,
     seed: int = 0,
     strict: bool = False,
+    ids: str = "input_ids",
+    labels: str = "labels",
 ) -> DataFrame:
-    """Packed ``input_ids`` and ``labels``, shuffled within each buffer.
+    """Packed ids and labels, shuffled within each buffer.
 
     ``tokens`` is read twice, once for its lengths alone, so it should be a
     stored table or pass through ``cut_lineage``. Bins and buffers are bounded
@@ -180,11 +182,9 @@ def pack(
     unit = list(unit)
     lengths = tokens.select(*unit, row_id, "seq_length")
     plan = plan_packing(lengths, max_length, buffer_factor, unit, row_id)
-    placed = tokens.select(row_id, "input_ids", "labels").join(plan, row_id)
-    cut = placed.withColumn("input_ids", F.slice("input_ids", 1, max_length)).withColumn(
-        "labels", F.slice("labels", 1, max_length)
-    )
-    useless = (F.col("seq_length") > max_length) & all_masked("labels")
+    placed = tokens.select(*unit, row_id, ids, labels).join(plan, [*unit, row_id])
+    cut = placed.withColumn(ids, F.slice(ids, 1, max_length)).withColumn(labels, F.slice(labels, 1, max_length))
+    useless = (F.col("seq_length") > max_length) & all_masked(labels)
     if strict:
         message = F.format_string("row of %d tokens has only masked labels", F.col("seq_length"))
         keep = F.when(useless, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
@@ -192,7 +192,7 @@ def pack(
         keep = ~useless
     if not keep_residual:
         keep = keep & ~F.col("residual")
-    members = F.sort_array(F.collect_list(F.struct("pos", "input_ids", "labels")))
+    members = F.sort_array(F.collect_list(F.struct("pos", ids, labels)))
     # Partitioned by buffer once, for both the bins and their order in it.
     bins = (
         cut.filter(keep)
@@ -206,8 +206,8 @@ def pack(
         "buffer",
         "bin",
         (F.row_number().over(in_buffer) - 1).alias("shuffle_pos"),
-        flatten_members("_members", "input_ids").alias("input_ids"),
-        flatten_members("_members", "labels").alias("labels"),
+        flatten_members("_members", ids).alias(ids),
+        flatten_members("_members", labels).alias(labels),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +58,23 @@ def slice_starts(bins: int) -> list[int]:
 
 
 def assign_slices(
-    rows: DataFrame, bins: int = 4, part: str = "part", order: str = "row_id", bucket: Column | None = None
+    rows: DataFrame,
+    bins: int = 4,
+    part: str = "part",
+    order: str | Sequence[str] = "row_id",
+    bucket: Column | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Percent slice of each row in its part, as ``split``.
 
     A slice starts at its percentage of the part's rows, rounded half to even.
+    ``position`` names a column for the row's place in its part.
     """
-    numbered = with_positions(
-        rows, [part], [order], bucket if bucket is not None else id_bucket(order), "_pos", count="_rows"
-    )
+    columns = [order] if isinstance(order, str) else list(order)
+    by = bucket if bucket is not None else id_bucket(columns[0])
+    numbered = with_positions(rows, [part], columns, by, "_pos", count="_rows")
+    if position:
+        numbered = numbered.withColumn(position, F.col("_pos"))
     starts = F.array(*[F.bround(F.col("_rows") * start / 100.0) for start in slice_starts(bins)])
     reached = F.filter(starts, lambda start: start <= F.col("_pos"))
     return numbered.withColumn("split", F.size(reached) - 1).drop("_pos", "_rows")
