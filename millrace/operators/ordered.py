@@ -57,20 +57,6 @@ def spread(scanned: DataFrame, *keys: str) -> DataFrame:
     return scanned.repartition(cores, *keys)
 
 
-def bucket_sizes(
-    df: DataFrame, keys: Sequence[str], bucket: Column, running: Mapping[str, str] | None = None
-) -> DataFrame:
-    """Rows, and sums of the ``running`` values, per key and bucket."""
-    return (
-        df.withColumn("_bucket", bucket)
-        .groupBy(*keys, "_bucket")
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.sum(value).alias(f"_sum_{name}") for name, value in (running or {}).items()],
-        )
-    )
-
-
 def with_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,51 +65,60 @@ def with_positions(
     position: str = "pos",
     running: Mapping[str, str] | None = None,
     count: str | None = None,
-    sizes: DataFrame | None = None,
     per_key: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its key, in ``order``.
 
     ``bucket`` must not decrease along ``order`` and must split a key into
-    bounded groups. ``running`` maps a new column to a value column whose sum
+    bounded groups; a null key or bucket is an error. ``running`` maps a new column to a value column whose sum
     over the rows up to and including this one it holds; ``count`` names a
-    column for the key's row count. ``sizes`` are the ``bucket_sizes`` if the
-    caller has them. The columns of ``per_key``, one row per key, are added too:
-    they join the buckets, not the rows, so a hot key does not skew that join.
+    column for the key's row count. The columns of ``per_key``, one row per key,
+    are added too: they join the buckets, not the rows, so a hot key does not
+    skew that join.
     """
     running = dict(running or {})
-    if sizes is None:
-        sizes = bucket_sizes(df, keys, bucket, running)
+    sizes = (
+        df.withColumn("_bucket", bucket)
+        .groupBy(*keys, "_bucket")
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.sum(value).alias(f"_sum_{name}") for name, value in running.items()],
+        )
+    )
     # One row per bucket here, so a key's window is about rows / bucket size.
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # As one struct the group joins null keys too, and rows partitioned for the
-    # join already are for the window.
-    group = F.struct(*keys, "_bucket").alias("_group")
     offsets = sizes.select(
-        group,
+        *[F.col(key).alias(f"_of_{key}") for key in [*keys, "_bucket"]],
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         *[
             F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}")
             for name in running
         ],
         *([F.sum("_rows").over(by_key).alias(count)] if count else []),
-        *([F.struct(*keys).alias("_key")] if per_key is not None else []),
     )
     added = []
     if per_key is not None:
         added = [name for name in per_key.columns if name not in keys]
-        offsets = offsets.join(per_key.select(F.struct(*keys).alias("_key"), *added), "_key", "left")
-    inside = Window.partitionBy("_group").orderBy(*order)
+        renamed = per_key.select(*[F.col(key).alias(f"_of_{key}") for key in keys], *added)
+        offsets = offsets.join(renamed, [f"_of_{key}" for key in keys], "left")
+    # The window comes before the join, which then finds the rows partitioned
+    # and sorted as it needs them.
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = df.withColumn("_bucket", bucket).select(*df.columns, group).join(offsets, "_group")
+    ranked = df.withColumn("_bucket", bucket).select(
+        *df.columns,
+        "_bucket",
+        (F.row_number().over(inside) - 1).alias("_in_bucket"),
+        *[F.sum(value).over(upto).alias(f"_upto_{name}") for name, value in running.items()],
+    )
+    same = [F.col(key) == F.col(f"_of_{key}") for key in [*keys, "_bucket"]]
+    placed = ranked.join(offsets, same, "left")
+    start = F.when(F.col("_before").isNull(), F.raise_error(F.lit("null key or bucket"))).otherwise(F.col("_before"))
     return placed.select(
         *[F.col(name) for name in df.columns],
-        (F.col("_before") + F.row_number().over(inside) - 1).cast("bigint").alias(position),
-        *[
-            (F.col(f"_before_{name}") + F.sum(value).over(upto)).alias(name)
-            for name, value in running.items()
-        ],
+        (start + F.col("_in_bucket")).cast("bigint").alias(position),
+        *[(F.col(f"_before_{name}") + F.col(f"_upto_{name}")).alias(name) for name in running],
         *([F.col(count)] if count else []),
         *added,
     )

@@ -14,14 +14,16 @@ Ranks come from ``with_positions``, which splits a hot length over many tasks.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.filters import all_masked
-from millrace.operators.ordered import bucket_sizes, id_bucket, whole, with_positions
+from millrace.operators.ordered import id_bucket, whole, with_positions
 
 UNIT = ("part", "split")
 BUFFER_FACTOR = 16
@@ -37,6 +39,10 @@ SEGMENT = (
     "members bigint, room bigint, fit bigint, alone boolean, open_bin bigint"
 )
 
+ARROW_TYPES = {"bigint": pa.int64(), "boolean": pa.bool_()}
+# A run of more rows than this is ranked in buckets, by several tasks.
+HOT_RUN = 1 << 20
+
 
 def layout(histogram: Sequence[tuple[int, int]], max_length: int, buffer_factor: int = BUFFER_FACTOR):
     """Segments of one unit from its ascending ``(length, count)`` pairs."""
@@ -101,23 +107,27 @@ def packing_segments(
 
     A group is one unit's histogram: one row per distinct length.
     """
-    fields = [piece.split()[0] for piece in SEGMENT.split(", ")]
-
-    def per_unit(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("seq_length")
-        pairs = list(zip(ordered["seq_length"].astype(int).tolist(), ordered["_rows"].astype(int).tolist()))
-        runs: dict[int, list] = {}
-        for segment in layout(pairs, max_length, buffer_factor):
-            runs.setdefault(segment["length"], []).append({name: segment[name] for name in fields})
-        out = pd.DataFrame({"seq_length": list(runs), "segments": list(runs.values())})
-        for name, value in zip(unit, keys):
-            out[name] = value
-        return out
-
     types = dict(histogram.dtypes)
     keys = ", ".join(f"{name} {types[name]}" for name in (*unit, "seq_length"))
     nested = ", ".join(piece.replace(" ", ": ", 1) for piece in SEGMENT.split(", "))
-    return histogram.groupBy(*unit).applyInPandas(per_unit, f"{keys}, segments array<struct<{nested}>>")
+
+    def per_unit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq_length")
+        segments = layout(
+            list(zip(rows["seq_length"].to_pylist(), rows["_rows"].to_pylist())), max_length, buffer_factor
+        )
+        fields = [piece.split() for piece in SEGMENT.split(", ")]
+        structs = pa.StructArray.from_arrays(
+            [pa.array([s[name] for s in segments], ARROW_TYPES[type_]) for name, type_ in fields],
+            names=[name for name, _ in fields],
+        )
+        # Segments come in the order of the lengths, a few for each.
+        per_length = Counter(s["length"] for s in segments)
+        ends = np.cumsum([0, *(per_length[length] for length in rows["seq_length"].to_pylist())])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+        return rows.select([*unit, "seq_length"]).append_column("segments", lists)
+
+    return histogram.groupBy(*unit).applyInArrow(per_unit, f"{keys}, segments array<struct<{nested}>>")
 
 
 def plan_packing(
@@ -127,6 +137,7 @@ def plan_packing(
     unit: Sequence[str] = UNIT,
     row_id: str = "row_id",
     bucket: Column | None = None,
+    hot_run: int = HOT_RUN,
 ) -> DataFrame:
     """Place every row: add ``buffer``, ``bin``, ``pos`` and ``residual``.
 
@@ -139,11 +150,14 @@ def plan_packing(
     unit = list(unit)
     run = [*unit, "seq_length"]
     bucket = bucket if bucket is not None else id_bucket(row_id)
-    # One aggregate of the rows serves both the histogram and the ranks.
-    sizes = bucket_sizes(lengths, run, bucket)
-    histogram = sizes.groupBy(*run).agg(F.sum("_rows").alias("_rows"))
+    histogram = lengths.groupBy(*run).agg(F.count(F.lit(1)).alias("_rows"))
     segments = packing_segments(histogram, max_length, buffer_factor, unit)
-    placed = with_positions(lengths, run, [row_id], bucket, "_rank", sizes=sizes, per_key=segments)
+    # Only hot runs are cut into buckets; the others are one group, bucket -1.
+    # A hot run has over hot_run rows, so there are at most rows / hot_run of them.
+    hot = histogram.filter(F.col("_rows") > hot_run).select(F.struct(*run).alias("_hot"))
+    marked = lengths.join(F.broadcast(hot), F.struct(*run) == F.col("_hot"), "left")
+    split = marked.select(*lengths.columns, F.when(F.col("_hot").isNotNull(), bucket).otherwise(-1).alias("_range"))
+    placed = with_positions(split, run, [row_id], F.col("_range"), "_rank", per_key=segments)
     own = F.filter("segments", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["last"]))[0]
     found = placed.withColumn("_s", own).withColumn("_offset", F.col("_rank") - F.col("_s.first"))
     at = F.pmod("_offset", F.col("_s.period"))

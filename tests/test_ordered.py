@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from millrace.operators.ordered import digest_bucket, id_bucket, with_positions
 
 def test_positions_equal_windows_on_a_hot_key(spark):
     frame = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"),
         ((F.col("id") * 7919) % 3001).alias("n"),
         (F.col("id") % 11).alias("v"),
     )
@@ -30,3 +31,9 @@ def test_last_write(spark):
     rows = [("a", 1, "f1", 5), ("a", 2, "f2", 1), ("a", 3, "f1", 9), ("b", 4, "f0", 0)]
     frame = spark.createDataFrame(rows, "k string, v int, f string, line int")
     assert {r.k: r.v for r in last_write(frame, ["k"], ["f", "line"]).collect()} == {"a": 2, "b": 4}
+
+
+def test_null_key_is_an_error(spark):
+    frame = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
+    with pytest.raises(Exception, match="null key or bucket"):
+        with_positions(frame, ["k"], ["n"], id_bucket("n")).collect()

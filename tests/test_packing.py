@@ -77,12 +77,12 @@ def test_layout_by_hand():
                       (1, 0, 0, True), (1, 1, 0, False)]
 
 
-@pytest.mark.parametrize("width", [7, 1 << 20])
-def test_plan_on_skewed_units(spark, width):
+@pytest.mark.parametrize("width, hot_run", [(7, 0), (7, 100), (64, 1 << 20)])
+def test_plan_on_skewed_units(spark, width, hot_run):
     # Unit 0 and length 40 hold most rows, and their ranks span many small buckets.
     rows = [(i, 0 if i % 3 else 1, 0, 40 if i % 2 else 1 + i % 90) for i in range(1500)]
     frame = spark.createDataFrame(rows, "row_id bigint, part int, split int, seq_length int")
-    plan = packing.plan_packing(frame, 64, bucket=id_bucket("row_id", width)).collect()
+    plan = packing.plan_packing(frame, 64, bucket=id_bucket("row_id", width), hot_run=hot_run).collect()
     assert len(plan) == len(rows)
     for part in (0, 1):
         mine = sorted((r for r in rows if r[1] == part), key=lambda r: (r[3], r[0]))
