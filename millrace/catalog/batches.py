@@ -89,8 +89,8 @@ def padded_sql(side: str, width: str) -> str:
     wide as (select *, max(len(ids)) over (partition by epoch, rank, batch) as longest from cut),
     padded as (select *, {filled("ids", "4")} as input_ids, {filled("labs", "-100")} as labels from wide)
     select epoch, rank, batch, batch_pos, md5(array_to_string(input_ids, ',')) as input_ids,
-      md5(array_to_string(labels, ',')) as labels, len(list_filter(input_ids, lambda t: t <> 4)) as attended,
-      len(input_ids) as width
+      md5(array_to_string(labels, ',')) as labels, cast(len(list_filter(input_ids, lambda t: t <> 4)) as int) as attended,
+      cast(len(input_ids) as int) as width
     from padded"""
 
 

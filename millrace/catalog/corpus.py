@@ -176,8 +176,9 @@ def array_digest(name: str):
 
 @query(
     "tokenised_samples",
-    f"""with {TOKENS} select doc_id, source_length, seq_length, md5({csv("input_ids")}) as input_ids,
-    md5({csv("labels")}) as labels, len(list_filter(labels, lambda l: l = -100)) as masked from tokens""",
+    f"""with {TOKENS} select doc_id, cast(source_length as int) as source_length, cast(seq_length as int) as seq_length,
+    md5({csv("input_ids")}) as input_ids, md5({csv("labels")}) as labels,
+    cast(len(list_filter(labels, lambda l: l = -100)) as int) as masked from tokens""",
 )
 def tokenised_samples(spark, sf_dir):
     rows = tokenise(_prompted(spark, sf_dir))
@@ -193,11 +194,12 @@ def tokenised_samples(spark, sf_dir):
 
 @query(
     "rows_within_label_budget",
-    f"""with {TOKENS} select doc_id, seq_length, md5({csv("input_ids")}) as input_ids, md5({csv("labels")}) as labels
-    from tokens where len(list_filter(labels, lambda l: l = -100)) < 900 and seq_length > 1""",
+    f"""with {TOKENS} select doc_id, cast(seq_length as int) as seq_length, md5({csv("input_ids")}) as input_ids,
+    md5({csv("labels")}) as labels
+    from tokens where len(list_filter(labels, lambda l: l = -100)) < 700 and seq_length > 1""",
 )
 def rows_within_label_budget(spark, sf_dir):
-    rows = prompts.without_source_columns(training_rows(_prompted(spark, sf_dir), budget=900))
+    rows = prompts.without_source_columns(training_rows(_prompted(spark, sf_dir), budget=700))
     return rows.select("doc_id", "seq_length", array_digest("input_ids"), array_digest("labels"))
 
 
@@ -226,7 +228,7 @@ def trainable_lengths(spark, sf_dir):
 
 @query(
     "label_budget",
-    f"""with {SHORT_TOKENS} select row_id, len(list_filter(labels, lambda l: l = -100)) as masked from short
+    f"""with {SHORT_TOKENS} select row_id, cast(len(list_filter(labels, lambda l: l = -100)) as int) as masked from short
     where len(list_filter(labels, lambda l: l = -100)) < 250""",
 )
 def label_budget(spark, sf_dir):
@@ -347,8 +349,8 @@ kept as (select doc_id as row_id, cast(doc_id % 3 as int) as part, cast(doc_id %
 packed as (select part, split, buffer, bin, sum(k.seq_length) as tokens,
    string_agg({csv("k.input_ids")}, ',' order by pos) as input_ids, string_agg({csv("k.labels")}, ',' order by pos) as labels
    from plan join kept k using (part, split, row_id) {{where}} group by part, split, buffer, bin)
-select part, split, buffer, bin, row_number() over (partition by part, split, buffer order by md5(concat_ws(':', '0',
-   part, split, buffer, bin))) - 1 as shuffle_pos, cast(tokens as int) as tokens, md5(input_ids) as input_ids,
+select part, split, buffer, bin, cast(row_number() over (partition by part, split, buffer
+   order by md5(concat_ws(':', '0', part, split, buffer, bin))) - 1 as int) as shuffle_pos, cast(tokens as int) as tokens, md5(input_ids) as input_ids,
    md5(labels) as labels, concat('part-', part, '-', lpad(split::varchar, 5, '0')) as shard
 from packed
 """

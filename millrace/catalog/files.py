@@ -174,7 +174,7 @@ def _packed(spark, sf_dir):
 
 @query(
     "stored_packed_rows",
-    SHORT_PACKED + "select part, split, md5(input_ids) as input_ids, md5(labels) as labels from packed",
+    SHORT_PACKED + "select cast(part as int) as part, split, md5(input_ids) as input_ids, md5(labels) as labels from packed",
 )
 def stored_packed_rows(spark, sf_dir):
     path = scratch_path(spark, "packed")
