@@ -101,11 +101,12 @@ def metadata_json(arch: str = "arch", mode: str = "mode", opts: str = "opts") ->
     return python_object(dict(zip(METADATA_KEYS, (arch, mode, opts))))
 
 
-def canonical(lines: DataFrame, raw: str = "value", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Canonical sample objects, and the lines that are not JSON objects.
+def canonical_lines(lines: DataFrame, raw: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Each non-blank line as ``canonical`` sample object, or as ``rejected`` text.
 
     Nested columns become text so that every row has one type, and an absent
-    ``asm_obj`` becomes the empty string. Blank lines are dropped.
+    ``asm_obj`` becomes the empty string. A line that is not a JSON object is
+    rejected.
     """
 
     def convert(text):
@@ -120,9 +121,14 @@ def canonical(lines: DataFrame, raw: str = "value", keep: Sequence[str] = ()) ->
 
     stripped = lines.withColumn(raw, strip(raw)).filter(F.length(raw) > 0)
     rewritten = stripped.withColumn("canonical", text_function(convert)(F.col(raw)))
-    good = rewritten.filter(F.col("canonical").isNotNull()).select(*keep, "canonical")
-    bad = rewritten.filter(F.col("canonical").isNull()).select(*keep, F.col(raw).alias("rejected"))
-    return good, bad
+    return rewritten.select(*keep, "canonical", F.when(F.col("canonical").isNull(), F.col(raw)).alias("rejected"))
+
+
+def canonical(lines: DataFrame, raw: str = "value", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Canonical sample objects, and the rejected lines."""
+    both = canonical_lines(lines, raw, keep)
+    good = both.filter(F.col("canonical").isNotNull()).drop("rejected")
+    return good, both.filter(F.col("canonical").isNull()).drop("canonical")
 
 
 def wrap_strings(document: str | Column) -> Column:

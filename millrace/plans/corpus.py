@@ -7,33 +7,49 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.jsontext import canonical_lines
+from millrace.functions.tokenizers import ByteTokenizer
 from millrace.operators import packing, prompts, sharding
 from millrace.operators.ordered import with_range_bucket
-from millrace.operators.tokens import LABEL_BUDGET, MAX_LENGTH, training_rows
+from millrace.operators.tokens import LABEL_BUDGET, MAX_LENGTH, tokenise, within_budget
 from millrace.session import cut_lineage
 from millrace.sinks.tables import write_packed
-from millrace.sources.jsonl import read_samples
+from millrace.sources.jsonl import LINE_COLUMNS, read_lines
 
 SAMPLE_SCHEMA = ", ".join(f"{name} string" for name in prompts.SOURCE_COLUMNS)
+LINE_ORDER = ["folder", "file_name", "line_no"]
 
 
 def shard_samples(samples: DataFrame, num_parts: int, bins: int) -> DataFrame:
-    """Canonical samples with ``part``, ``split`` and their place ``row_id`` in the part.
+    """Samples with ``part``, ``split`` and their place ``row_id`` in the part.
 
     The files of each folder, in name order, are cut into runs, and the rows of
-    a part, in file and line order, into percent slices.
+    a part, in file and line order, into percent slices. The lines of one input
+    split make a bucket, so a part of any size is numbered split by split.
     """
     files = samples.select("folder", "file_name").distinct()
     listed = with_range_bucket(files, "folder", "file_name")
     parts = sharding.assign_parts(listed, num_parts, order="file_name", bucket=F.col("range_bucket"))
     merged = sharding.merge_parts(parts).select("folder", "file_name", "part")
-    order = ["folder", "file_name", "line_no"]
     rows = samples.drop("part").join(merged, ["folder", "file_name"])
-    stored = with_range_bucket(rows, "part", *order)
-    sliced = sharding.assign_slices(
-        stored, bins, order=order, bucket=F.col("range_bucket"), position="row_id"
+    input_split = F.struct("folder", "file_name", "line_no.block_start")
+    return sharding.assign_slices(rows, bins, order=LINE_ORDER, bucket=input_split, position="row_id")
+
+
+def tokenised_samples(samples: DataFrame, template: str, tokenizer, max_length: int, budget: int) -> DataFrame:
+    """Token rows within the budget, and unusable samples with their text in ``rejected``."""
+    parsed = samples.withColumn("sample", F.from_json("canonical", SAMPLE_SCHEMA))
+    prompted = prompts.with_prompt(parsed.select("part", "split", "row_id", "canonical", "sample.*"), template)
+    unusable = F.col("prompt").isNull() | F.col("sourcecode").isNull()
+    flagged = prompted.select(
+        "part", "split", "row_id", "prompt", "sourcecode", F.when(unusable, F.col("canonical")).alias("rejected")
     )
-    return sliced.drop("range_bucket")
+    counted = flagged.withColumn("source_length", F.lit(1) + tokenizer.count("prompt"))
+    rejected = F.col("rejected").isNotNull()
+    kept = counted.filter(rejected | within_budget("prompt", "source_length", max_length, budget))
+    tokens = tokenise(kept, tokenizer=tokenizer, max_length=max_length)
+    columns = ["part", "split", "row_id", "input_ids", "labels", "seq_length", "rejected"]
+    return tokens.select(*columns).filter(rejected | (F.col("seq_length") > 1))
 
 
 def prepare_corpus(
@@ -53,27 +69,20 @@ def prepare_corpus(
     """Read, canonicalise, shard, prompt, tokenise, pack and store; returns the statistics.
 
     Packed rows go to ``packed`` below ``target``, and what could not be used to
-    ``rejected_lines`` and ``rejected_samples``.
+    ``rejected_lines`` and ``rejected_samples``. The canonical lines and the
+    tokens are stored once each, as several steps read them.
     """
-    good, bad = read_samples(spark, source, glob)
+    lines = cut_lineage(canonical_lines(read_lines(spark, source, glob), keep=LINE_COLUMNS), "canonical")
+    bad = lines.filter("rejected is not null").select("folder", "file_name", "rejected")
     bad.write.mode("overwrite").json(os.path.join(target, "rejected_lines"))
-    rows = shard_samples(good, num_parts, bins).select(
-        "part", "split", "row_id", "canonical", F.from_json("canonical", SAMPLE_SCHEMA).alias("sample")
-    )
-    prompted = prompts.with_prompt(rows.select("part", "split", "row_id", "canonical", "sample.*"), template)
-    usable = F.col("prompt").isNotNull() & F.col("sourcecode").isNotNull()
-    staged = cut_lineage(prompted.withColumn("usable", usable), "prompts")
-    rejected = staged.filter(~F.col("usable")).select("part", "split", "canonical")
-    rejected.write.mode("overwrite").json(os.path.join(target, "rejected_samples"))
-    tokenised = training_rows(
-        staged.filter("usable").select("part", "split", "row_id", "prompt", "sourcecode"),
-        tokenizer=tokenizer,
-        max_length=max_length,
-        budget=budget,
+    samples = shard_samples(lines.filter("canonical is not null").drop("rejected"), num_parts, bins)
+    tokenizer = tokenizer or ByteTokenizer()
+    stored = cut_lineage(tokenised_samples(samples, template, tokenizer, max_length, budget), "tokens")
+    unusable = stored.filter("rejected is not null").select("part", "split", "row_id", "rejected")
+    unusable.write.mode("overwrite").json(os.path.join(target, "rejected_samples"))
+    tokens = stored.filter("rejected is null").drop("rejected")
+    write_packed(
+        packing.pack(tokens, max_length, keep_residual=keep_residual, seed=seed), os.path.join(target, "packed")
     )
-    columns = ["part", "split", "row_id", "input_ids", "labels", "seq_length"]
-    tokens = cut_lineage(tokenised.select(*columns), "tokens")
-    packed = packing.pack(tokens, max_length, keep_residual=keep_residual, seed=seed)
-    write_packed(packed, os.path.join(target, "packed"))
     plan = packing.plan_packing(tokens.drop("input_ids", "labels"), max_length)
     return packing.packing_stats(plan, keep_residual=keep_residual)

@@ -11,6 +11,9 @@ from millrace.functions.jsontext import canonical
 from millrace.functions.text import strip
 
 
+LINE_COLUMNS = ("folder", "part", "file_name", "line_no")
+
+
 def _path_part(from_end: int) -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -from_end)
 
@@ -43,8 +46,7 @@ def read_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataF
 
 def read_samples(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """Canonical objects of a JSONL folder, and the quarantined lines."""
-    lines = read_lines(spark, folder, glob)
-    return canonical(lines, "value", keep=("folder", "part", "file_name", "line_no"))
+    return canonical(read_lines(spark, folder, glob), keep=LINE_COLUMNS)
 
 
 def read_typed(
