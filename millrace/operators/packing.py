@@ -42,6 +42,8 @@ SEGMENT = (
 ARROW_TYPES = {"bigint": pa.int64(), "boolean": pa.bool_()}
 # A run of more rows than this is ranked in buckets, by several tasks.
 HOT_RUN = 1 << 20
+# 64 buffers of 16 * 4096 tokens, ids and labels, are about 32 MB.
+BUFFERS_TOGETHER = 64
 
 
 def layout(histogram: Sequence[tuple[int, int]], max_length: int, buffer_factor: int = BUFFER_FACTOR):
@@ -185,13 +187,16 @@ def pack(
     strict: bool = False,
     ids: str = "input_ids",
     labels: str = "labels",
+    buffers_together: int = BUFFERS_TOGETHER,
 ) -> DataFrame:
     """Packed ids and labels, shuffled within each buffer.
 
     ``tokens`` is read twice, once for its lengths alone, so it should be a
     stored table or pass through ``cut_lineage``. Bins and buffers are bounded
     by ``max_length`` and the buffer size, so no group here grows with the data.
-    ``shuffle_pos`` is the row's place in its buffer.
+    ``shuffle_pos`` is the row's place in its buffer. Runs of
+    ``buffers_together`` buffers go to one task, so that writing by unit gives
+    files of that many buffers rather than one file per task and unit.
     """
     unit = list(unit)
     lengths = tokens.select(*unit, row_id, "seq_length")
@@ -207,14 +212,16 @@ def pack(
     if not keep_residual:
         keep = keep & ~F.col("residual")
     members = F.sort_array(F.collect_list(F.struct("pos", ids, labels)))
-    # Partitioned by buffer once, for both the bins and their order in it.
+    # Partitioned once, for both the bins and their order in the buffer.
+    grouped = [*unit, "_together", "buffer"]
     bins = (
         cut.filter(keep)
-        .repartition(*unit, "buffer")
-        .groupBy(*unit, "buffer", "bin")
+        .withColumn("_together", whole(F.col("buffer"), F.lit(buffers_together)))
+        .repartition(*unit, "_together")
+        .groupBy(*grouped, "bin")
         .agg(members.alias("_members"))
     )
-    in_buffer = Window.partitionBy(*unit, "buffer").orderBy(shuffle_key(seed, *unit, "buffer", "bin"))
+    in_buffer = Window.partitionBy(*grouped).orderBy(shuffle_key(seed, *unit, "buffer", "bin"))
     return bins.select(
         *unit,
         "buffer",
