@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog.bindings import CODE, RESULTS, bind
+from millrace.catalog.corpus import array_digest, bytes_of, csv, filled, packing_sql
 from millrace.catalog.registry import query
 from millrace.catalog.scoring import LEVELS
-from millrace.catalog.text import FIRST, PATTERN
+from millrace.catalog.text import FIRST, FUNCTION, PATTERN
+from millrace.functions.templates import TEMPLATES
 from millrace.operators.ordered import spread
 from millrace.plans import corpus, evaluation
 from millrace.session import scratch_path
@@ -135,7 +137,13 @@ def programs_by_sample(spark, sf_dir):
     )
 
 
-@query("programs_with_dependencies")
+@query(
+    "programs_with_dependencies",
+    f"""with c as ({CODE}) select func, opts, contains(gen, '```') as renamed,
+      case when contains(gen, '```') then md5('int g1__bench(int x) {{' || chr(10) || '}}' || chr(10) || c_test || chr(10)
+        || 'int' || replace({FUNCTION}, 'g1 (', 'g1__bench(')) end as program
+    from c""",
+)
 def programs_with_dependencies(spark, sf_dir):
     code = spread(bind(spark, sf_dir, CODE), "doc_id").withColumn("mode", F.lit("64"))
     deps = F.concat(F.lit("int g1__bench(int x) {\n}\n"), F.col("c_test"))
@@ -160,20 +168,57 @@ def run_verdicts_from_outputs(spark, sf_dir):
     return evaluation.output_verdicts(rows.select("func", "opts", "observed"), expected)
 
 
-@query("corpus_from_raw_lines")
+CORPUS_LENGTH, CORPUS_BUDGET = 2048, 1500
+CORPUS_SLOTS = {
+    "assembly": "'call ' || source",
+    "data": """concat('{"stack variables (size and relative offset)": [', n_chars, '], "read-only constants (size and value)": "',
+      lang, '", "initialized global/static data (size and initial value)": [1], ',
+      '"uninitialized global/static data (size and count)": 0}')""",
+    "graph": """concat('{"cfg_blocks (names and corresponding instructions)": ["b0"], ',
+      '"edges between two connected cfg_blocks": [[0, 1]], "cfg_block count": ', doc_id % 3, '}')""",
+}
+CORPUS_PROMPT = " ".join(
+    f"when doc_id % 3 = {blocks} then {filled(template, CORPUS_SLOTS)}"
+    for blocks, template in zip((1, 2), TEMPLATES["plain"])
+)
+
+
+@query(
+    "corpus_from_raw_lines",
+    f"""with recursive placed as (select *, row_number() over (order by source, doc_id) - 1 as row_id, count(*) over () as n
+      from documents),
+    prompted as (select row_id, 0 as part, case when round_even(n * 50 / 100.0::double, 0) <= row_id then 1 else 0 end as split,
+      text, case {CORPUS_PROMPT} end as prompt from placed),
+    encoded as (select *, 1 + strlen(prompt) as hidden,
+      list_concat([256], list_concat({bytes_of("prompt || text")}, [257])) as whole from prompted where prompt is not null),
+    kept as (select part, split, row_id, whole[1:{CORPUS_LENGTH}] as input_ids, least(len(whole), {CORPUS_LENGTH}) as seq_length,
+      list_transform(whole[1:{CORPUS_LENGTH}], lambda t, i: case when i <= hidden then -100 else t end) as labels
+      from encoded where least(hidden, {CORPUS_LENGTH}) < {CORPUS_BUDGET}),
+    {packing_sql("kept", CORPUS_LENGTH)}
+    select part, split, buffer, bin, cast(sum(k.seq_length) as int) as tokens,
+      md5(string_agg({csv("k.input_ids")}, ',' order by pos)) as input_ids,
+      md5(string_agg({csv("k.labels")}, ',' order by pos)) as labels
+    from plan join kept k using (part, split, row_id) group by part, split, buffer, bin""",
+)
 def corpus_from_raw_lines(spark, sf_dir):
-    """The whole way from raw lines to stored packed rows; checked by its own test."""
+    """The whole way from raw lines, one folder per source, to stored packed rows."""
     path, target = scratch_path(spark, "raw"), scratch_path(spark, "corpus")
     lines = bind(
         spark,
         sf_dir,
-        """select source, to_json(named_struct('func', concat('func', cast(doc_id as string)), 'arch', 'x86', 'mode', '64',
+        """select source, doc_id,
+             to_json(named_struct('func', concat('func', cast(doc_id as string)), 'arch', 'x86', 'mode', '64',
              'opts', 'O1', 'sourcecode', text, 'asm_ida_com', concat('call ', source),
              'data', named_struct('param', array(n_chars), '.rodata', lang, '.data', array(1), '.bss', 0),
              'assemgraph_com', named_struct('nodes', array('b0'), 'edges', array(array(0, 1)), 'nodenum', doc_id % 3))) as value
            from documents""",
     )
-    lines.write.partitionBy("source").text(path)
-    corpus.prepare_corpus(spark, path, target, num_parts=4, bins=2, max_length=2048, budget=1500, glob="*.txt")
+    # Files in document order, so that file and line order is source and document order.
+    ordered = lines.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id").drop("doc_id")
+    ordered.write.partitionBy("source").text(path)
+    corpus.prepare_corpus(
+        spark, path, target, num_parts=1, bins=2, max_length=CORPUS_LENGTH, budget=CORPUS_BUDGET, glob="*.txt"
+    )
     packed = read_packed(spark, f"{target}/packed")
-    return packed.select("part", "split", "buffer", "bin", F.size("input_ids").alias("tokens"))
+    tokens = F.size("input_ids").alias("tokens")
+    return packed.select("part", "split", "buffer", "bin", tokens, array_digest("input_ids"), array_digest("labels"))

@@ -169,14 +169,31 @@ def optimized_code_applied(spark, sf_dir):
     return rows.select("doc_id", "code", _digest("kept"))
 
 
-@query("conflicts_renamed")
+def renamed_call(text_sql: str, name: str) -> str:
+    """SQL for pointing calls of ``name`` at its renamed double; no two calls touch here."""
+    return f"regexp_replace({text_sql}, '(^|[^a-zA-Z0-9_]){name} *[(]', '\\1{name}__bench(', 'g')"
+
+
+@query(
+    "conflicts_renamed",
+    f"with c as ({CODE}) select doc_id, md5({renamed_call(renamed_call('gen', 'g2'), 'g7')}) as renamed from c",
+)
 def conflicts_renamed(spark, sf_dir):
     rows = _code(spark, sf_dir)
     dependencies = F.concat(F.lit("static int g2__bench (int x) {\n}\nint g7__bench(void) {\n}\n"), F.col("c_test"))
     return rows.select("doc_id", F.md5(text.rename_conflicts(dependencies, "gen")).alias("renamed"))
 
 
-@query("target_functions")
+FUNCTION = "' fn' || doc_id || '(int x) { return g1 (x)+g2(x)+g3(x)+g4(x)+g5(x)+g6(x)+g7(x)+g8(x)+g9(x); }'"
+
+
+@query(
+    "target_functions",
+    f"""with c as ({CODE}) select doc_id,
+      md5(case when contains(gen, '```') then 'int __fastcall' || {FUNCTION} else '' end) as text,
+      contains(gen, '```') as renamed, cast(case when contains(gen, '```') then 1 else 0 end as int) as candidates
+    from c""",
+)
 def target_functions(spark, sf_dir):
     rows = _code(spark, sf_dir).withColumn("decom", text.fenced_code("gen"))
     chosen = rows.select("doc_id", target_function("decom", "func").alias("chosen"))
