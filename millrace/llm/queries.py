@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.catalog.bindings import load
-from millrace.llm import decontaminate, near_dedup, quality
+from millrace.llm import bestfit, decontaminate, near_dedup, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,11 +18,21 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+@query
+def op1_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+@query
+def op3_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -33,3 +43,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.benchmark_hits(
         load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark")
     )
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.best_fit(bestfit.token_counts(load(spark, sf_dir, "documents")))
