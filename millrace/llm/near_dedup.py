@@ -3,8 +3,11 @@
 Documents with equal word sequences are folded into one representative first.
 Every representative has a MinHash signature; documents that agree on all rows
 of a band share a bucket. A bucket does not emit all its pairs: its members are
-compared with one centre, links are joined to components, and only members that
-are still apart from the bucket's largest component are compared with the rest.
+compared with one centre, the member that shares most with others, and links
+are joined to components. What a bucket still holds apart gets an exact way: the
+members' shingles are ordered by rarity, and only members of different
+components that share one of the rarest, as any two similar sets must, are
+compared. Variants of one text that are too far apart share none of these.
 
 A pair of candidates is compared a batch of hashes at a time. After each batch
 the posterior probability (uniform prior) that its similarity reaches the
@@ -18,6 +21,7 @@ the posterior bound with at most ``miss`` per batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 from math import comb
 
@@ -34,6 +38,7 @@ WORDS = 5
 BANDS = 25
 ROWS = 5
 MISS = 1e-6
+CELLS = 1 << 16
 _SHINGLES_AT_ONCE = 4096
 
 
@@ -121,12 +126,10 @@ def _plausible(pairs: DataFrame, reps: DataFrame, bands: int, rows: int, thresho
     return per_batch(signed, compare, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs whose whole sets have at least ``threshold`` percent in common."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut_lineage(docs.join(asked, "doc_id", "left_semi"), "candidate-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
+    both = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a"
     )
 
     def confirm(batch: pa.RecordBatch):
@@ -144,6 +147,71 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) ->
     return per_batch(both.select("a", "b", "text_a", "text_b"), confirm, "a long, b long").distinct()
 
 
+def _rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """How often shingles fall into each of CELLS cells, over all ``texts``; any such table orders shingles."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, cache = np.zeros(CELLS, np.int64), WordHashes()
+        for batch in batches:
+            for text in texts_of(batch, 0):
+                found = shingle_set(cache.of((text or b"").lower().split()), words)
+                np.add.at(cells, found % np.uint64(CELLS), 1)
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
+
+    rows = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()
+    cells = np.zeros(CELLS, np.int64)
+    for cell, number in rows:
+        cells[cell] = number
+    return cells
+
+
+def _prefixes(texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """shingle, rep, label, n and place for the rarest shingles of ``texts`` (rep, label, text).
+
+    A set of n shingles keeps so many that a similar set must share one of them.
+    """
+    cells = texts.sparkSession.sparkContext.broadcast(_rarity(texts, words))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for rep, label, text in zip(ids_of(batch, 0), ids_of(batch, 1), texts_of(batch, 2), strict=True):
+                found = shingle_set(cache.of((text or b"").lower().split()), words)
+                kept = len(found) + threshold * len(found) // -100 + 1
+                first = found[np.lexsort((found, cells.value[found % np.uint64(CELLS)]))][:kept]
+                for column, values in zip(
+                    rows,
+                    (first.astype(np.int64), [rep] * len(first), [label] * len(first), [len(found)] * len(first), range(1, len(first) + 1)),
+                    strict=True,
+                ):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["shingle", "rep", "label", "n", "place"])
+
+    schema = "shingle long, rep long, label long, n long, place long"
+    return texts.select("rep", "label", "text").mapInArrow(rank, schema)
+
+
+def _crossing(prefixes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of different components that may be similar: every component but a shingle's largest against the rest."""
+    sizes = prefixes.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = (
+        sizes.groupBy("shingle")
+        .agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.count(F.lit(1)).alias("labels"))
+        .filter("labels > 1")
+        .select("shingle", "main")
+    )
+    shared = cut_lineage(prefixes.join(main, "shingle"), "shared-shingles")
+    apart = shared.filter("label <> main").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "place")])
+    needed = F.expr(f"ceil({threshold} * (n + n_a) / {100 + threshold}.0)")
+    return (
+        apart.join(shared, "shingle")
+        .filter((F.col("label") != F.col("label_a")) & (1 + F.expr("least(n - place, n_a - place_a)") >= needed))
+        .select(F.least("rep", "rep_a").alias("a"), F.greatest("rep", "rep_a").alias("b"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame, threshold: int = 85, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, miss: float = MISS
 ) -> DataFrame:
@@ -163,55 +231,58 @@ def near_duplicates(
         "representatives",
     )
     buckets = cut_lineage(_banded(reps, bands, rows), "buckets")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut_lineage(buckets.join(sizes, "bucket"), "shared-buckets")
+    weights = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
     centres = cut_lineage(
-        buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last"),
+        shared.join(weights, "rep")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"), "n_shingles")).alias("top"))
+        .select("bucket", (-F.col("top.least")).alias("centre"), F.col("top.n_shingles").alias("n_centre")),
         "centres",
-    ).select("bucket", "centre")
-    sizes = reps.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"))
-    shared = buckets.join(centres, "bucket")
+    )
+    # The same kind of join at every size: the texts are dealt out once.
+    asked = shared.select(F.col("rep").alias("doc_id")).distinct()
+    texts = cut_lineage(
+        source.hint("merge").join(asked, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "candidate-texts"
+    )
 
     def link(pairs: DataFrame) -> DataFrame:
         plausible = cut_lineage(_plausible(pairs.distinct(), reps, bands, rows, threshold / 100, miss), "plausible")
-        return cut_lineage(_confirmed(plausible, source, words, threshold), "links")
+        return cut_lineage(_confirmed(plausible, texts, words, threshold), "links")
 
-    def near(n: str, m: str):
-        return F.expr(f"100 * least({n}, {m}) >= {threshold} * greatest({n}, {m})")
+    starred = shared.join(centres, "bucket").filter("rep <> centre")
+    near = F.expr(f"100 * least(n_shingles, n_centre) >= {threshold} * greatest(n_shingles, n_centre)")
+    links = link(starred.filter(near).select(F.col("centre").alias("a"), F.col("rep").alias("b")))
+    labels = component_labels(links).withColumnRenamed("node", "rep")
 
-    star = shared.filter("rep <> centre").select("centre", "rep", "n_shingles").distinct().join(sizes, "centre")
-    links = link(star.filter(near("n_shingles", "n_centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")))
-    labels = component_labels(links)
-
-    # Buckets that hold several components: all but the largest against the rest.
-    placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "centre", "n_shingles", F.coalesce("label", "rep").alias("label")
-    )
-    placed = cut_lineage(placed, "placed")
-    groups = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = cut_lineage(
-        groups.groupBy("bucket")
-        .agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.count(F.lit(1)).alias("groups"))
-        .filter("groups > 1"),
-        "open-buckets",
-    ).select("bucket", "main")
-    open_rows = placed.filter("rep <> centre").join(largest, "bucket")
-    apart = open_rows.filter("label <> main").select("bucket", F.col("rep").alias("r"), F.col("n_shingles").alias("n"), F.col("label").alias("l"))
-    crossing = (
-        apart.join(open_rows, "bucket")
-        .filter((F.col("label") != F.col("l")) & near("n", "n_shingles"))
-        .select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b"))
+    placed = cut_lineage(
+        starred.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed"
     )
-    more = link(crossing)
-    labels = component_labels(links.union(more))
+    open_buckets = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    apart = placed.join(open_buckets.select("bucket"), "bucket", "left_semi").select("rep", "label").distinct()
+    prefixes = cut_lineage(_prefixes(cut_lineage(texts.join(apart, "rep"), "open-texts"), words, threshold), "prefixes")
+    labels = component_labels(links.union(link(_crossing(prefixes, threshold)))).withColumnRenamed("node", "rep")
 
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return (
         marked.select("doc_id", "digest", "n_shingles")
         .join(reps.select("digest", "rep"), "digest", "left")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        )
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        .join(labels, "rep", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, with the columns they have; one row of each repeated id."""
+    found = cut_lineage(near_duplicates(docs), "near-duplicates")
+    copies = found.filter("not kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    rest = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut_lineage(
+        found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids"
+    )
+    if repeated.isEmpty():
+        return rest
+    again = rest.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(again)
