@@ -83,21 +83,26 @@ def _tokens(text: Column) -> Column:
     gaps = F.split(text, TOKEN_PATTERN, -1)
     near = F.lit(CONTEXT_CHARACTERS)
 
-    def step(state: Column, i: Column) -> Column:
-        gap, match = F.get(gaps, i), F.get(found, i)
-        start = state["at"] + F.length(gap)
+    def step(state: Column, part: Column) -> Column:
+        start = state["at"] + F.length(part["gap"])
         token = F.struct(
-            match.alias("value"),
+            part["match"].alias("value"),
             start.alias("start"),
-            F.right(gap, near).alias("left"),
-            F.left(F.get(gaps, i + 1), near).alias("right"),
+            F.right(part["gap"], near).alias("left"),
+            F.left(part["after"], near).alias("right"),
+        )
+        return F.struct(
+            (start + F.length(part["match"])).alias("at"), F.concat(state["tokens"], F.array(token)).alias("tokens")
         )
-        return F.struct((start + F.length(match)).alias("at"), F.concat(state["tokens"], F.array(token)).alias("tokens"))
 
     kind = "array<struct<value:string,start:bigint,left:string,right:string>>"
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("tokens"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step, lambda state: state["tokens"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(kind))
+    # Zipped, so that the text is cut once and not for every token.
+    after = F.slice(gaps, F.lit(2), F.size(gaps))
+    parts = F.filter(
+        F.arrays_zip(gaps.alias("gap"), found.alias("match"), after.alias("after")), lambda part: part["match"].isNotNull()
+    )
+    return F.aggregate(parts, empty, step, lambda state: state["tokens"])
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
