@@ -179,8 +179,9 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<sec
     stops = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text).cast("long")))
     kept = F.zip_with(starts, stops, lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int")))
     changed = F.when(F.col(spans).isNotNull(), F.array_join(kept, mark)).otherwise(text)
-    columns = {"text": changed}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col(spans).isNotNull(), F.length(changed).cast(kind)).otherwise(F.col("n_chars"))
-    return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    done = joined.select(*[changed.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col(spans))
+    if "n_chars" not in docs.columns:
+        return done.select(*docs.columns)
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    n_chars = F.when(F.col(spans).isNotNull(), size).otherwise(F.col("n_chars")).alias("n_chars")
+    return done.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
