@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.catalog.bindings import load
-from millrace.llm import bestfit, decontaminate, near_dedup, pii, quality, secrets
+import corpus_pipeline
+from millrace.llm import (
+    bestfit,
+    decontaminate,
+    langid,
+    lm,
+    near_dedup,
+    pii,
+    quality,
+    secrets,
+    transcripts,
+    urlfilter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +46,16 @@ def op3_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query
+def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 @query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,3 +71,36 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.best_fit(bestfit.token_counts(load(spark, sf_dir, "documents")))
+
+
+@query
+def op9_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def marked_turns(turns: DataFrame) -> DataFrame:
+    """``turns`` as a transcript has them: three in four open with a speaker marker in one of its spellings."""
+    draw = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(12))
+    spelt = {
+        "user": ("User: ", "### Human:\n", "Q: ", "**You**: ", "> user: ", "[Human]: "),
+        "assistant": ("Assistant: ", "### Assistant:\n", "A: ", "**AI**: ", "> bot: ", "[Model]: "),
+        "system": ("System: ", "### System:\n", "Context: ", "**Instructions**: ", "> system: ", "[System]: "),
+    }
+    marker = F.lit("")
+    for role, spellings in spelt.items():
+        chosen = F.get(F.array(*[F.lit(s) for s in spellings]), F.pmod(draw, F.lit(6)).cast("int"))
+        marker = F.when(F.col("role") == role, chosen).otherwise(marker)
+    shown = F.when(draw < 9, marker).otherwise("")
+    return turns.withColumn("text", F.concat(shown, F.coalesce("text", F.lit(""))))
+
+
+@query
+def op10_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the conversations, written as transcripts; the chain is counted on four fifths of them."""
+    turns = marked_turns(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return transcripts.parsed(turns)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
