@@ -1,7 +1,7 @@
 """Best-fit packing into bins of several permitted capacities.
 
 Pieces are placed in descending length, each into the open bin with the least
-room that still holds it. If none does, the capacity that costs least per token
+room that still holds it, the earliest of equals. If none does, the capacity that costs least per token
 it can be expected to hold is opened: its expected fill is the piece plus as many
 tokens of the remaining pieces as are short enough for the rest. At the end every
 bin is downsized to the smallest capacity that holds its contents.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ def opened_capacity(length: int, capacities: Sequence[int], cost, shorter: np.nd
 def plan_bins(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, cost=default_cost) -> Plan:
     """Places the pieces of ``histogram`` (length to their number, none longer than the largest capacity)."""
     plan, largest = Plan(), max(capacities)
-    # Open bins by room: runs of (first bin, number of bins, capacity opened).
+    # Open bins by room, earliest first: runs of (first bin, number of bins, capacity opened).
     rooms: list[list[tuple[int, int, int]]] = [[] for _ in range(largest + 1)]
     left = np.zeros(largest + 1, np.int64)
     for length, number in histogram.items():
@@ -75,7 +76,7 @@ def plan_bins(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES,
                 room += 1
             if room <= largest:
                 size = room
-                first, bins, opened = rooms[room].pop()
+                first, bins, opened = heappop(rooms[room])
             else:
                 size = opened = capacity
                 first, bins = plan.count, -(-(number - rank) // (size // length))
@@ -86,11 +87,11 @@ def plan_bins(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES,
             for at, some, pieces in ((first, full, each), (first + full, int(rest > 0), rest)):
                 if some:
                     plan.runs.append((length, rank, at, pieces, opened - size))
-                    rooms[size - pieces * length].append((at, some, opened))
+                    heappush(rooms[size - pieces * length], (at, some, opened))
                     rank += some * pieces
             used = full + (rest > 0)
             if used < bins:
-                rooms[size].append((first + used, bins - used, opened))
+                heappush(rooms[size], (first + used, bins - used, opened))
         left[length] = 0
     for room, runs in enumerate(rooms):
         for first, _, opened in runs:
