@@ -58,6 +58,17 @@ def resumed_batches(spark, sf_dir):
     return _batched(spark, sf_dir)
 
 
+@query(
+    "resumed_epochs",
+    f"""with {dealt(3, RANKS)} select row_id, part, seq_length, epoch, rank,
+      case when epoch = 1 then rank_pos - {SIZE} else rank_pos end as rank_pos,
+      case when epoch = 1 then greatest(rank_rows - {SIZE}, 0) else rank_rows end as rank_rows
+    from dealt where epoch >= 1 and (epoch > 1 or rank_pos >= {SIZE})""",
+)
+def resumed_epochs(spark, sf_dir):
+    return batches.rank_shards(_rows(spark, sf_dir, 3), RANKS, seed=SEED, start_index=SIZE, resume_epoch=1)
+
+
 @query(
     "epochs_in_digest_order",
     f"""with {dealt(3, 1)} select epoch, row_id, rank_pos as place from dealt""",

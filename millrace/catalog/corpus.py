@@ -99,6 +99,32 @@ for _name in templates.TEMPLATES:
     _register_prompt(_name)
 
 
+# Block counts that are whole as a double, no number, absent, or in no document at all.
+ODD_GRAPHS = f"""
+select s.*, case doc_id % 5 when 0 then replace(assemgraph_com, concat('"nodenum":', cast(doc_id % 6 as varchar(20))), '"nodenum":2.0')
+    when 1 then replace(assemgraph_com, concat('"nodenum":', cast(doc_id % 6 as varchar(20))), '"nodenum":"many"')
+    when 2 then replace(assemgraph_com, concat(',"nodenum":', cast(doc_id % 6 as varchar(20))), '')
+    when 3 then concat('{{"nodenum":', repeat('[', 100000)) else assemgraph_com end as odd_graph
+from ({SAMPLES}) s
+"""
+
+
+@query(
+    "odd_graphs_quarantined",
+    """select doc_id, doc_id % 5 = 0 or (doc_id % 5 = 4 and doc_id % 6 > 0) as usable,
+      doc_id % 5 = 0 or (doc_id % 5 = 4 and doc_id % 6 <> 1) as real_graph, doc_id % 5 in (1, 2, 3) as unreadable
+    from documents""",
+)
+def odd_graphs_quarantined(spark, sf_dir):
+    rows = bind(spark, sf_dir, ODD_GRAPHS)
+    prompted = prompts.with_prompt(rows, graph="odd_graph").select("doc_id", F.col("prompt").isNotNull().alias("usable"))
+    real = filters.with_real_graph(rows, "odd_graph").select("doc_id", F.lit(True).alias("real"))
+    lost = filters.unreadable_graphs(rows, "odd_graph").select("doc_id", F.lit(True).alias("lost"))
+    joined = prompted.join(real, "doc_id", "left").join(lost, "doc_id", "left")
+    flag = [F.coalesce(old, F.lit(False)).alias(new) for old, new in (("real", "real_graph"), ("lost", "unreadable"))]
+    return joined.select("doc_id", "usable", *flag)
+
+
 @query(
     "prompt_quarantine",
     f"with s as ({SAMPLES}) select opts, count(*) as quarantined from s where doc_id % 6 = 0 group by opts",

@@ -11,6 +11,7 @@ from millrace.catalog.bindings import CODE, LENGTHS, RESULTS, SAMPLES, TASKS, VE
 from millrace.catalog.corpus import PACK_LENGTH, SHORT_TOKENS, array_digest, csv, packing_sql
 from millrace.catalog.registry import query
 from millrace.catalog.scoring import LAST_RESULT
+from millrace.functions.jsontext import canonical_lines
 from millrace.operators import matching, packing, scoring
 from millrace.operators.latest import last_write
 from millrace.session import scratch_path
@@ -61,16 +62,47 @@ def rejected_lines(spark, sf_dir):
     return bad.select("part", "rejected")
 
 
+# One line in five is usable; the others hold half a surrogate pair, nest too
+# deeply to parse, are cut off, or are no object.
+ODD_LINES = """
+select doc_id, case doc_id % 5
+    when 0 then concat('{"func":"f', cast(doc_id as varchar(20)), '","data":{},"asm_obj":""}')
+    when 1 then concat('{"func":"f', cast(doc_id as varchar(20)), '","data":"', chr(92), 'ud800"}')
+    when 2 then concat('{"func":', repeat('[', 100000))
+    when 3 then concat('{"func":"f', cast(doc_id as varchar(20)))
+    else concat('["f', cast(doc_id as varchar(20)), '"]') end as value
+from documents
+"""
+
+
+@query(
+    "odd_lines_sorted_out",
+    """select doc_id, doc_id % 5 = 0 as usable,
+    case when doc_id % 5 = 0 then concat('{"func": "f', doc_id, '", "data": "{}", "asm_obj": ""}') end as canonical,
+    case doc_id % 5 when 0 then null when 1 then 28 + len(cast(doc_id as varchar)) when 2 then 100008
+      when 3 then 10 + len(cast(doc_id as varchar)) else 5 + len(cast(doc_id as varchar)) end as rejected_length
+    from documents""",
+)
+def odd_lines_sorted_out(spark, sf_dir):
+    lines = bind(spark, sf_dir, ODD_LINES)
+    both = canonical_lines(lines, keep=["doc_id"])
+    return both.select(
+        "doc_id", F.col("canonical").isNotNull().alias("usable"), "canonical", F.length("rejected").cast("bigint").alias("rejected_length")
+    )
+
+
 @query(
     "canonical_samples_stored",
-    f"""with s as ({SAMPLES}) select concat('folder=new_input_', doc_id % 4) as folder, func,
+    f"""with s as ({SAMPLES}) select concat('source=new_input_', doc_id % 4, '_a b+ü.txt') as folder, func,
       case when arch = 'x86' then 'nop' else '' end as asm_obj, arch
     from s where s.folder not in ('src9', 'src4')""",
 )
 def canonical_samples_stored(spark, sf_dir):
     good, _ = jsonl.read_samples(spark, _raw_folder(spark, sf_dir), glob="*.txt")
     path = scratch_path(spark, "canonical")
-    sinks.write_canonical(good.select("canonical", F.regexp_replace("folder", "^folder=", "").alias("folder")), path)
+    named = good.select("canonical", F.regexp_replace("folder", "^folder=", "").alias("folder"), F.lit("a b+ü.txt").alias("file_name"))
+    for _ in range(2):
+        sinks.write_canonical(named, path)
     schema = "func string, asm_obj string, arch string, data string"
     stored = jsonl.read_typed(spark, path, schema, ["func", "asm_obj", "data"], glob="*.txt")
     return stored.select("folder", "func", "asm_obj", "arch")

@@ -133,7 +133,7 @@ from nation
 )
 def programs_by_sample(spark, sf_dir):
     return evaluation.task_programs(
-        bind(spark, sf_dir, PROGRAM_TASKS), bind(spark, sf_dir, PROGRAM_RESULTS), "64", samples=20, on_missing="skip"
+        bind(spark, sf_dir, PROGRAM_TASKS), bind(spark, sf_dir, PROGRAM_RESULTS), "64", samples=20, on_missing="skip", renamed_calls=8
     )
 
 

@@ -86,7 +86,7 @@ def _eight_times(line: str) -> str:
 )
 def first_function_renamed(spark, sf_dir):
     rows = _code(spark, sf_dir).withColumn("decom", text.fenced_code("gen"))
-    renamed = rows.select("doc_id", text.rename_first_function("decom", "c_func").alias("renamed"))
+    renamed = rows.select("doc_id", text.rename_first_function("decom", "c_func", calls=8).alias("renamed"))
     return renamed.select("doc_id", _digest("renamed"))
 
 

@@ -19,9 +19,23 @@ def arrow_function(function: Callable[..., pa.Array], returns: str | DataType):
 
 
 def text_function(convert: Callable[[str], str | None]):
-    """``convert`` over a text column; null stays null."""
+    """``convert`` over a text column; null stays null.
+
+    A value that cannot be converted gives null and stops nothing: text that is
+    no document, one nested deeper than the parser goes, and a result that is
+    not valid Unicode, such as a lone surrogate.
+    """
+
+    def guarded(text: str | None) -> str | None:
+        try:
+            out = None if text is None else convert(text)
+            if out is not None and not out.isascii():
+                out.encode()
+            return out
+        except (ValueError, RecursionError):
+            return None
 
     def render(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else convert(t) for t in texts.to_pylist()], pa.string())
+        return pa.array([guarded(t) for t in texts.to_pylist()], pa.string())
 
     return arrow_function(render, "string")

@@ -12,16 +12,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace stripped from text ends, fence mark, call pattern,
-# calling conventions, and how many calls on a line are renamed.
+# calling conventions.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 FENCE = "```"
 CALL_LIKE = r"[a-zA-Z0-9_]{2,} *\("
 SPACED_CONVENTIONS = (" __fastcall ", " __cdecl ")
 BARE_CONVENTIONS = ("__fastcall", "__cdecl", "__usercall")
-RENAMED_CALLS = 8
 
 
 def _col(value: str | Column) -> Column:
@@ -80,11 +79,18 @@ def without_conventions(text: str | Column, spaced: bool = False) -> Column:
     return out
 
 
-def rename_first_function(text: str | Column, source: str | Column, name: str = "func0") -> Column:
+def _pieces(calls: int | None) -> int:
+    """Limit of a split at the first ``calls`` matches, or at all of them."""
+    return -1 if calls is None else calls + 1
+
+
+def rename_first_function(
+    text: str | Column, source: str | Column, name: str = "func0", calls: int | None = None
+) -> Column:
     """Rename the call-like names on the first line that has one.
 
-    Include lines before it that the source already has are blanked. At most
-    ``RENAMED_CALLS`` names on the line change, each to ``" name("``.
+    Include lines before it that the source already has are blanked. The names
+    on the line, or the first ``calls`` of them, each become ``" name("``.
     """
     source = _col(source)
 
@@ -92,7 +98,7 @@ def rename_first_function(text: str | Column, source: str | Column, name: str =
         return F.contains(line, F.lit("#include")) & F.contains(source, line)
 
     def renamed(line: Column) -> Column:
-        return F.array_join(F.split(line, CALL_LIKE, RENAMED_CALLS + 1), f" {name}(")
+        return F.array_join(F.split(line, CALL_LIKE, _pieces(calls)), f" {name}(")
 
     def has_calls(line: Column) -> Column:
         return ~repeated_include(line) & line.rlike(CALL_LIKE)
@@ -128,10 +134,10 @@ def rename_conflicts(dependencies: str | Column, text: str | Column) -> Column:
     )
 
 
-def repoint_include(wrapper: str | Column, path: str) -> Column:
-    """Make a C wrapper's ``extern "C"`` block include ``path``."""
+def repoint_include(wrapper: str | Column, path: str, calls: int | None = None) -> Column:
+    """Make a C wrapper's ``extern "C"`` blocks, or the first ``calls`` of them, include ``path``."""
     included = r'(?<=extern "C" \n\{\n#include ")[^\n]*?(?="\n\})'
-    return F.array_join(F.split(_col(wrapper), included, RENAMED_CALLS + 1), path)
+    return F.array_join(F.split(_col(wrapper), included, _pieces(calls)), path)
 
 
 def optimized_code(answer: str | Column) -> Column:

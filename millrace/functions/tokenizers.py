@@ -60,50 +60,3 @@ class ByteTokenizer:
             return pa.array(map(text, rows.to_pylist()), pa.string())
 
         return arrow_function(render, "string")(ids)
-
-
-_LOADED: dict[str, object] = {}
-
-
-def _load(path: str):
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
-
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
-
-
-class FileTokenizer:
-    """A trained tokenizer file, loaded once per Python worker.
-
-    ``path`` must be readable on every executor.
-    """
-
-    def __init__(self, path: str, bos: int, eos: int, pad: int, unk: int):
-        self.path, self.bos, self.eos, self.pad, self.unk = path, bos, eos, pad, unk
-
-    def encode(self, text: str | Column) -> Column:
-        path = self.path
-
-        def ids(texts: pa.Array) -> pa.Array:
-            tokenizer = _load(path)
-            encoded = tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-            return pa.array([e.ids for e in encoded], pa.list_(pa.int32()))
-
-        return arrow_function(ids, IDS)(text)
-
-    def count(self, text: str | Column) -> Column:
-        return F.size(self.encode(text))
-
-    def decode(self, ids: str | Column) -> Column:
-        path = self.path
-
-        def render(rows: pa.Array) -> pa.Array:
-            tokenizer = _load(path)
-
-            def text(row):
-                return None if row is None else tokenizer.decode(row, skip_special_tokens=False)
-
-            return pa.array(map(text, rows.to_pylist()), pa.string())
-
-        return arrow_function(render, "string")(ids)

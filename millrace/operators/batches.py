@@ -22,14 +22,18 @@ def rank_shards(
     shuffle: bool = True,
     drop_last: bool = False,
     start_index: int = 0,
+    resume_epoch: int = 0,
 ) -> DataFrame:
     """Deal the rows of each epoch to ranks, as ``rank`` and ``rank_pos``.
 
     The order is a digest of seed plus epoch and row id, or the row id itself.
     Rows wrap around to fill the last round of ranks, or with ``drop_last`` the
-    incomplete round is left out. Each rank starts at ``start_index``;
-    ``rank_rows`` is how many rows it then has.
+    incomplete round is left out. A resumed run has no rows of epochs before
+    ``resume_epoch``, starts that one at ``start_index``, and reads later ones
+    whole; ``rank_rows`` is how many rows a rank then has.
     """
+    start = F.when(F.col("epoch") == resume_epoch, start_index).otherwise(0)
+    rows = rows.filter(F.col("epoch") >= resume_epoch)
     if shuffle:
         mixed = F.concat_ws(":", (F.lit(seed) + F.col("epoch")).cast("string"), F.col(row_id).cast("string"))
         ordered = rows.withColumn("_order", F.md5(mixed))
@@ -48,8 +52,8 @@ def rank_shards(
     dealt = numbered.withColumn("_rounds", rounds).withColumn("_place", F.explode(places))
     return (
         dealt.withColumn("rank", F.pmod("_place", F.lit(ranks)).cast("int"))
-        .withColumn("rank_pos", F.floor(F.col("_place") / ranks) - start_index)
-        .withColumn("rank_rows", F.greatest(F.col("_rounds") - start_index, F.lit(0)))
+        .withColumn("rank_pos", F.floor(F.col("_place") / ranks) - start)
+        .withColumn("rank_rows", F.greatest(F.col("_rounds") - start, F.lit(0)))
         .filter(F.col("rank_pos") >= 0)
         .drop("_order", "_pos", "_n", "_rounds", "_place")
     )

@@ -16,19 +16,36 @@ def by_bit_width(df: DataFrame, bits: str, column: str = "mode") -> DataFrame:
 
 
 def node_count(graph: str | Column) -> Column:
-    return F.get_json_object(graph, "$.nodenum").cast("int")
+    """Number of blocks as a double; null where the graph has no number of them."""
+    return F.get_json_object(graph, "$.nodenum").try_cast("double")
 
 
 def with_real_graph(df: DataFrame, graph: str = "assemgraph") -> DataFrame:
-    """Drop functions whose control-flow graph is a single block."""
+    """Drop functions whose control-flow graph is a single block.
+
+    Rows without a number of blocks are in ``unreadable_graphs`` instead.
+    """
     return df.filter(node_count(graph) != 1)
 
 
+def unreadable_graphs(df: DataFrame, graph: str = "assemgraph") -> DataFrame:
+    """The rows that the graph test cannot judge, for the quarantine."""
+    return df.filter(node_count(graph).isNull())
+
+
 def with_real_data(df: DataFrame, data: str = "data") -> DataFrame:
-    """Drop functions with neither read-only nor initialised data."""
+    """Drop functions with neither read-only nor initialised data.
+
+    Rows whose text is not JSON are in ``unreadable_data`` instead.
+    """
     return df.filter(~(is_falsy(data, "$['.rodata']") & is_falsy(data, "$['.data']")))
 
 
+def unreadable_data(df: DataFrame, data: str = "data") -> DataFrame:
+    """The rows that the data test cannot judge, for the quarantine."""
+    return df.filter(F.try_parse_json(data).isNull())
+
+
 def trainable_length(df: DataFrame, ids: str = "input_ids", length: str = "seq_length") -> DataFrame:
     return df.filter((F.col(length) > 1) & (F.size(ids) > 1))
 
@@ -47,11 +64,13 @@ def within_label_budget(df: DataFrame, labels: str = "labels", budget: int = 250
 
 
 def position_range(
-    df: DataFrame, start: int, count: int, interval: int = 100, limit: int = 5000, pos: str = "pos"
+    df: DataFrame, start: int, count: int, interval: int = 100, limit: int | None = None, pos: str = "pos"
 ) -> DataFrame:
-    """Rows of ``count`` intervals from interval ``start``, cut off at ``limit``."""
-    first = start * interval
-    return df.filter((F.col(pos) >= first) & (F.col(pos) < min(first + count * interval, limit)))
+    """Rows of ``count`` intervals from interval ``start``, cut off at ``limit`` if there is one."""
+    first, last = start * interval, (start + count) * interval
+    if limit is not None:
+        last = min(last, limit)
+    return df.filter((F.col(pos) >= first) & (F.col(pos) < last))
 
 
 def generated_only(df: DataFrame, generated: str) -> tuple[DataFrame, DataFrame]:

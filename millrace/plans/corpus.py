@@ -17,7 +17,7 @@ from millrace.sinks.tables import write_packed
 from millrace.sources.jsonl import LINE_COLUMNS, read_lines
 
 SAMPLE_SCHEMA = ", ".join(f"{name} string" for name in prompts.SOURCE_COLUMNS)
-LINE_ORDER = ["folder", "file_name", "line_no"]
+LINE_ORDER = ["folder", "file_name", "path", "line_no"]
 
 
 def shard_samples(samples: DataFrame, num_parts: int, bins: int) -> DataFrame:
@@ -27,12 +27,12 @@ def shard_samples(samples: DataFrame, num_parts: int, bins: int) -> DataFrame:
     a part, in file and line order, into percent slices. The lines of one input
     split make a bucket, so a part of any size is numbered split by split.
     """
-    files = samples.select("folder", "file_name").distinct()
-    listed = with_range_bucket(files, "folder", "file_name")
-    parts = sharding.assign_parts(listed, num_parts, order="file_name", bucket=F.col("range_bucket"))
-    merged = sharding.merge_parts(parts).select("folder", "file_name", "part")
-    rows = samples.drop("part").join(merged, ["folder", "file_name"])
-    input_split = F.struct("folder", "file_name", "line_no.block_start")
+    files = samples.select("folder", "path").distinct().withColumn("directory", F.regexp_replace("path", "/[^/]*$", ""))
+    listed = with_range_bucket(files, "directory", "path")
+    parts = sharding.assign_parts(listed, num_parts, folder="directory", order="path", bucket=F.col("range_bucket"))
+    merged = sharding.merge_parts(parts).select("path", "part")
+    rows = samples.drop("part").join(merged, "path")
+    input_split = F.struct("folder", "file_name", "path", "line_no.block_start")
     return sharding.assign_slices(rows, bins, order=LINE_ORDER, bucket=input_split, position="row_id")
 
 
@@ -73,7 +73,7 @@ def prepare_corpus(
     tokens are stored once each, as several steps read them.
     """
     lines = cut_lineage(canonical_lines(read_lines(spark, source, glob), keep=LINE_COLUMNS), "canonical")
-    bad = lines.filter("rejected is not null").select("folder", "file_name", "rejected")
+    bad = lines.filter("rejected is not null").select("path", "folder", "file_name", "rejected")
     bad.write.mode("overwrite").json(os.path.join(target, "rejected_lines"))
     samples = shard_samples(lines.filter("canonical is not null").drop("rejected"), num_parts, bins)
     tokenizer = tokenizer or ByteTokenizer()

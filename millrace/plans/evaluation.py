@@ -24,13 +24,14 @@ def task_programs(
     samples: int | None = None,
     legacy: bool = False,
     on_missing: str = "error",
+    renamed_calls: int | None = None,
 ) -> DataFrame:
     """Programs to compile for each task, or for each task and sample.
 
     ``tasks`` has ``task_id, opts, c_func, c_test`` and ``results`` the generated
     lines with ``file_name`` and ``line_no``; the last line of a key counts.
     ``legacy`` only deletes fence marks instead of taking the fenced code and
-    renaming its function.
+    renaming its function, at all calls on its line or the first ``renamed_calls``.
     """
     keys = ["task_id", "opts"] if samples is None else ["task_id", "sample", "opts"]
     wanted = tasks if samples is None else matching.with_samples(tasks, samples)
@@ -40,7 +41,7 @@ def task_programs(
         cleaned = joined.withColumn("decom", text.without_fence_marks("gen"))
     else:
         fenced = joined.withColumn("decom", text.fenced_code("gen"))
-        cleaned = fenced.withColumn("decom", text.rename_first_function("decom", "c_func"))
+        cleaned = fenced.withColumn("decom", text.rename_first_function("decom", "c_func", calls=renamed_calls))
     program, bare = text.combined_program("c_func", "c_test", "decom")
     return cleaned.select(*keys, text.composite_id(*keys).alias("result_id"), bare.alias("bare"), program.alias("program"))
 

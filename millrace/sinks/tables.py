@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_canonical(samples: DataFrame, path: str, folder: str = "folder") -> None:
-    """Canonical JSON lines below one folder per source folder.
+def write_canonical(
+    samples: DataFrame, path: str, folder: str = "folder", file_name: str = "file_name", mode: str = "overwrite"
+) -> None:
+    """Canonical JSON lines, below one folder per source folder and in it per input file.
 
-    ``samples`` has ``canonical`` and ``folder``; the output name that one file
-    per input would have is available through ``canonical_name``.
+    ``samples`` has ``canonical``, the folder and the file name. The folder of an
+    input is named by ``canonical_name``; a rerun replaces what was written.
     """
-    samples.select(F.col("canonical").alias("value"), folder).write.partitionBy(folder).mode("append").option(
-        "compression", "none"
-    ).text(path)
+    rows = samples.select(F.col("canonical").alias("value"), folder, canonical_name(folder, file_name).alias("source"))
+    rows.write.partitionBy(folder, "source").mode(mode).option("compression", "none").text(path)
 
 
 def canonical_name(folder: str = "folder", file_name: str = "file_name") -> Column:

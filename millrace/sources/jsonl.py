@@ -11,26 +11,33 @@ from millrace.functions.jsontext import canonical
 from millrace.functions.text import strip
 
 
-LINE_COLUMNS = ("folder", "part", "file_name", "line_no")
+LINE_COLUMNS = ("folder", "part", "file_name", "path", "line_no")
+
+
+def _path() -> Column:
+    """Path of the file as it is on disk: the metadata column holds it as a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def _path_part(from_end: int) -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -from_end)
+    return F.element_at(F.split(_path(), "/"), -from_end)
 
 
 def read_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
     """Stripped, non-blank lines of the files below ``folder``.
 
-    Rows have ``value``, ``file_name``, ``folder``, ``part`` (the text after the
-    folder's last underscore) and ``line_no``, which grows along each file:
-    files are split between tasks at byte offsets, and the split's start leads.
+    Rows have ``value``, ``path``, ``file_name``, ``folder`` (its name), ``part``
+    (the text after the folder's last underscore) and ``line_no``, which grows
+    along each file: files are split between tasks at byte offsets, and the
+    split's start leads. Only ``path`` tells files of one name apart.
     """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
     # Task-local ids grow within a split, and the split's offset orders the splits.
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = lines.select(
         strip("value").alias("value"),
-        F.col("_metadata.file_name").alias("file_name"),
+        _path_part(1).alias("file_name"),
+        _path().alias("path"),
         _path_part(2).alias("folder"),
         F.col("_metadata.file_block_start").alias("block_start"),
         in_task.alias("in_task"),
@@ -60,7 +67,7 @@ def read_typed(
     checked = F.when(
         F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
     ).otherwise(F.col("_row"))
-    return rows.withColumn("_row", checked).select("folder", "part", "file_name", "line_no", "_row.*")
+    return rows.withColumn("_row", checked).select(*LINE_COLUMNS, "_row.*")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -69,12 +76,12 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Whole files with their name and the name of their folder."""
+    """Whole files with their name and the name of their folder; a file is one value, of at most 2 GB."""
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .text(path, wholetext=True)
-        .select("value", F.col("_metadata.file_name").alias("file_name"), _path_part(2).alias("folder"))
+        .select("value", _path_part(1).alias("file_name"), _path_part(2).alias("folder"))
     )
 
 

@@ -18,7 +18,7 @@ def read_packed(spark: SparkSession, paths: str | Sequence[str], mode: str = "tr
     only where it has that partition, and one that is not belongs to every mode.
     """
     if mode not in MODES:
-        raise ValueError(f"Unsupported mode {mode}, it must be in {tuple(MODES)}")
+        raise ValueError(f"mode is one of {', '.join(MODES)}; got {mode!r}")
     found = []
     for path in [paths] if isinstance(paths, str) else paths:
         shard = spark.read.parquet(path)

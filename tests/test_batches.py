@@ -80,3 +80,11 @@ def test_overwritten_files(spark):
     merged = sharding.merge_parts(frame.filter("folder = 'a'"), frame.filter("folder = 'b'"))
     assert merged.count() == 4
     assert [(r.part, r.file_name, r.copies, r.last_folder) for r in sharding.overwritten_files(merged).collect()] == [(0, "x", 2, "b")]
+
+
+def test_resume_reads_later_epochs_whole(spark):
+    rows = batches.with_epochs(spark.range(8).withColumnRenamed("id", "row_id"), 3)
+    out = batches.rank_shards(rows, 2, start_index=3, resume_epoch=1).collect()
+    assert sorted({row.epoch for row in out}) == [1, 2]
+    assert sum(row.epoch == 1 for row in out) == 2 and {row.row_id for row in out if row.epoch == 2} == set(range(8))
+    assert {(row.epoch, row.rank_rows) for row in out} == {(1, 1), (2, 4)}

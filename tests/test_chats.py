@@ -1,4 +1,4 @@
-"""Chat rows against a row-by-row rendering."""
+"""Chat rows against golden vectors."""
 
 import random
 
@@ -8,65 +8,71 @@ from pyspark.sql import functions as F
 from millrace.operators import conversations as chats
 
 
-def expected_row(turns, limit, system):
-    """Ids and labels of one conversation, byte tokens, marks 256 and 257."""
-    def render(pairs):
-        out = list(system.encode())
-        for role, said in pairs:
-            out += list(f"{role}: ".encode()) + [256] + (list(said.encode()) + [257] if said else [])
-        return out
-
-    turns = turns[: len(turns) // 2 * 2]
-    best = 0
-    for x in range(1, len(turns) // 2 + 1):
-        if len(render(turns[: 2 * x])) <= limit - 1:
-            best = x
-    if not best:
-        return None
-    turns = turns[: 2 * best]
-    ids = render(turns)
-    skip = turns[0][0] == "Human"
-    starts, ends = [], []
-    start_next, end_next = not skip, not skip
-    for i, token in enumerate(ids):
-        if token == 256:
-            if start_next:
-                starts.append(i)
-            start_next = not start_next
-        elif token == 257:
-            if end_next:
-                ends.append(i)
-            end_next = not end_next
-    if len(starts) != best or len(ends) != best:
-        return None
-    ids = [256] + ids
-    labels = [-100] * len(ids)
-    for s, e in zip(starts, ends):
-        labels[s + 1 : e + 2] = ids[s + 1 : e + 2]
-    return ids, labels
-
-
-@pytest.mark.parametrize("limit", [60, 150, 1000])
-def test_training_rows(spark, limit):
-    random.seed(limit)
-    talks, rows = {}, []
-    for conv in range(60):
-        count = random.randint(1, 9)
-        start = random.choice([0, 1])
-        roles = [("human", "assistant")[(start + i) % 2] if random.random() < 0.9 else random.choice(("human", "Assistant")) for i in range(count)]
-        texts = ["" if random.random() < 0.08 else random.choice("abcé") * random.randint(1, 30) for _ in range(count)]
-        talks[conv] = [(r.capitalize(), t) for r, t in zip(roles, texts)]
-        rows += [(conv, 3 * i, r, t) for i, (r, t) in enumerate(zip(roles, texts))]
+# Byte tokens, with 256 before and 257 after a text; worked out by hand.
+def said(role, words):
+    return [*f"{role}: ".encode(), 256, *words.encode(), 257]
+
+
+SYSTEM = [256, *b"S\n"]
+HUMAN, REPLY = said("Human", "hi"), said("Assistant", "yo")
+MORE, LAST = said("Human", "é"), said("Assistant", "bye now")
+ANSWER = [256, *b"yo", 257]
+TALKS = {
+    # A pair: the reply is learned from its opening to its closing mark.
+    "pair": ([("human", "hi"), ("assistant", "yo")], SYSTEM + HUMAN + REPLY, [-100] * (len(SYSTEM + HUMAN + REPLY) - 4) + ANSWER),
+    # The turn without a partner falls away.
+    "odd": ([("human", "hi"), ("assistant", "yo"), ("human", "x")], SYSTEM + HUMAN + REPLY, [-100] * (len(SYSTEM + HUMAN + REPLY) - 4) + ANSWER),
+    # The second pair would pass the limit.
+    "long": (
+        [("human", "hi"), ("assistant", "yo"), ("human", "x" * 40), ("assistant", "y")],
+        SYSTEM + HUMAN + REPLY,
+        [-100] * (len(SYSTEM + HUMAN + REPLY) - 4) + ANSWER,
+    ),
+    "two": (
+        [("human", "hi"), ("assistant", "yo"), ("human", "é"), ("assistant", "bye now")],
+        SYSTEM + HUMAN + REPLY + MORE + LAST,
+        [-100] * (len(SYSTEM + HUMAN + REPLY) - 4) + ANSWER + [-100] * (len(MORE + LAST) - 9) + [256, *b"bye now", 257],
+    ),
+    # Spans alternate from the first turn, whatever the later roles are.
+    "reply first": (
+        [("assistant", "yo"), ("human", "hi")],
+        SYSTEM + REPLY + HUMAN,
+        [-100] * (len(SYSTEM) + 11) + ANSWER + [-100] * len(HUMAN),
+    ),
+    "two replies": ([("human", "hi"), ("human", "hi")], SYSTEM + HUMAN + HUMAN, [-100] * (len(SYSTEM + HUMAN) + 7) + [256, *b"hi", 257]),
+    # An empty text has no closing mark, so the marks do not pair up.
+    "empty": ([("human", ""), ("assistant", "yo")], None, None),
+    "too long": ([("human", "x" * 90), ("assistant", "y")], None, None),
+}
+
+
+def test_training_rows(spark):
+    rows = [(conv, 3 * i, role, words) for conv, (turns, _, _) in enumerate(TALKS.values()) for i, (role, words) in enumerate(turns)]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     good, bad = chats.split_roles(chats.map_roles(frame))
     assert bad.isEmpty()
-    for row in chats.chat_training_rows(good, limit, system="SYS\n").collect():
-        expected = expected_row(talks[row.conv_id], limit, "SYS\n")
-        if expected is None:
-            assert row.input_ids is None and row.labels is None and row.seq_length is None and row.seq_category is None
-        else:
-            assert (row.input_ids, row.labels) == expected
-            assert row.seq_length == len(expected[0]) and row.seq_category == "None"
+    found = {row.conv_id: row for row in chats.chat_training_rows(good, 70, system="S\n").collect()}
+    for conv, (name, (_, ids, labels)) in enumerate(TALKS.items()):
+        row = found[conv]
+        assert (row.input_ids, row.labels) == (ids, labels), name
+        assert row.seq_length == (None if ids is None else len(ids))
+        assert row.seq_category == (None if ids is None else "None")
+
+
+@pytest.mark.parametrize("limit", [60, 150])
+def test_labels_are_ids_of_replies(spark, limit):
+    draw = random.Random(limit)
+    rows = []
+    for conv in range(40):
+        for turn in range(draw.randint(2, 9)):
+            rows.append((conv, turn, ("human", "assistant")[turn % 2], draw.choice("abcé") * draw.randint(1, 30)))
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    good, _ = chats.split_roles(chats.map_roles(frame))
+    for row in chats.chat_training_rows(good, limit).collect():
+        if row.input_ids is not None:
+            assert len(row.input_ids) == len(row.labels) <= limit
+            assert all(label in (-100, token) for token, label in zip(row.input_ids, row.labels, strict=True))
+            assert row.labels.count(257) * 2 == row.input_ids.count(257)
 
 
 def test_hot_conversation_stays_bounded(spark):

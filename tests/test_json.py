@@ -88,3 +88,15 @@ def test_target_function_column(spark):
     frame = spark.createDataFrame([(HELPER, "f"), (None, "g")], "t string, n string")
     rows = frame.select(target_function("t", "n").alias("o")).collect()
     assert rows[0].o.text == "static int f(int a) { return a; }" and rows[1].o is None
+
+
+DEEP = "[" * 100_000
+
+
+def test_values_that_cannot_be_converted_give_null(spark):
+    rows = [('{"a": "\\ud800"}',), (DEEP,), ("{",), (None,), ('{"a": 1}',)]
+    frame = spark.createDataFrame(rows, "t string")
+    raw = [row[0] for row in frame.select(jsontext.python_json("t", ascii_only=False)).collect()]
+    assert raw == [None, None, None, None, '{"a": 1}']
+    assert frame.select(jsontext.wrap_strings("t")).collect()[1][0] is None
+    assert frame.select(jsontext.same_output("t", "t")).collect()[1][0] is None

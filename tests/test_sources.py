@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from millrace.functions.tokenizers import ByteTokenizer, FileTokenizer
+from millrace.functions.tokenizers import ByteTokenizer
 from millrace.operators import matching
 from millrace.operators.tokens import tokenise
 from millrace.sinks import tables as sinks
@@ -111,17 +111,12 @@ def test_byte_tokenizer_handles_slices_and_nulls(spark):
         assert row.ids == (None if row.t is None else list(row.t.encode()))
 
 
-def test_trained_tokenizer(spark, tmp_path):
-    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
-
-    tokenizer = Tokenizer(models.BPE(unk_token="<unk>"))
-    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
-    trainer = trainers.BpeTrainer(vocab_size=300, special_tokens=["<s>", "</s>", "<unk>", "<pad>"], initial_alphabet=pre_tokenizers.ByteLevel.alphabet())
-    tokenizer.train_from_iterator(["int main(void) { return 0; }"] * 20, trainer)
-    path = str(tmp_path / "tokenizer.json")
-    tokenizer.save(path)
-    frame = spark.createDataFrame([("int main", "(void) {"), ("", "return")], "prompt string, sourcecode string")
-    for row in tokenise(frame, tokenizer=FileTokenizer(path, 0, 1, 3, 2), max_length=50).collect():
-        whole = [0] + tokenizer.encode(row.prompt + row.sourcecode).ids + [1]
-        hidden = 1 + len(tokenizer.encode(row.prompt).ids) if row.prompt else 0
-        assert row.input_ids == whole and row.labels == [-100] * hidden + whole[hidden:]
+def test_names_are_read_as_they_are_and_paths_tell_files_apart(spark, tmp_path):
+    for folder in ("x/my dir_1", "y/my dir_1"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "a+b ü%20.jsonl").write_text('{"func": "f"}\n')
+    rows = jsonl.read_lines(spark, str(tmp_path)).collect()
+    assert {(row.folder, row.part, row.file_name) for row in rows} == {("my dir_1", "1", "a+b ü%20.jsonl")}
+    assert len({row.path for row in rows}) == 2
+    texts = jsonl.read_entity_texts(spark, str(tmp_path), " ü%20.jsonl").collect()
+    assert {row.func for row in texts} == {"a+b"}

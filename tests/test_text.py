@@ -1,4 +1,3 @@
-import random
 import re
 
 import pytest
@@ -28,38 +27,35 @@ def test_fences_match_the_pattern(spark, content):
         assert one(spark, text.fenced_code("t", greedy), t=content) == expected
 
 
-def renamed(content, source, name="func0"):
-    lines = content.split("\n")
-    for i, line in enumerate(lines):
-        if "#include" in line and line in source:
-            lines[i] = ""
-        elif re.search(r"[a-zA-Z0-9_]{2,} *\(", line):
-            lines[i] = re.sub(r"[a-zA-Z0-9_]{2,} *\(", f" {name}(", line, count=8)
-            break
-    return "\n".join(lines)
+# Worked out by hand: generated text, source, and the text with the first call-like names renamed.
+RENAMED = [
+    ("int add (int x)", "", "int  func0(int x)"),
+    ("#include <a.h>\nint add(int x)\nfoo(1)", "#include <a.h>\nint z;", "\nint  func0(int x)\nfoo(1)"),
+    ("#include <b.h>\nint f(int x)\n  foo(bar(1))", "#include <a.h>", "#include <b.h>\nint f(int x)\n   func0( func0(1))"),
+    ("x = 1;\n#include <a.h>", "#include <a.h>", "x = 1;\n"),
+    ("#include XY(1)", "", "#include  func0(1)"),
+    ("foo(1)\n#include <a.h>", "#include <a.h>", " func0(1)\n#include <a.h>"),
+    ("", "", ""),
+]
+
+
+@pytest.mark.parametrize(("content", "source", "expected"), RENAMED)
+def test_first_function_renamed(spark, content, source, expected):
+    assert one(spark, text.rename_first_function("t", "s"), t=content, s=source) == expected
 
 
-def test_first_function_renamed(spark):
-    random.seed(3)
-    pieces = ["#include <a.h>", "#include <b.h>", "int f(int x)", "int add (int x)", "", "  foo(bar(baz(1)))",
-              "aa(bb(cc(dd(ee(ff(gg(hh(ii(jj(1))))))))))", "#include X(1)", "x = 1;"]
-    rows = [("\n".join(random.choices(pieces, k=random.randint(1, 6))), "#include <a.h>\nint z;") for _ in range(150)]
-    frame = spark.createDataFrame(rows, "t string, s string")
-    for row in frame.select("t", "s", text.rename_first_function("t", "s").alias("out")).collect():
-        assert row.out == renamed(row.t, row.s)
+def test_all_calls_of_the_line_or_the_first_few_are_renamed(spark):
+    line = "aa(bb(cc(dd(ee(ff(gg(hh(ii(jj(1"
+    assert one(spark, text.rename_first_function("t", "s"), t=line, s="") == " func0(" * 10 + "1"
+    assert one(spark, text.rename_first_function("t", "s", calls=8), t=line, s="") == " func0(" * 8 + "ii(jj(1"
 
 
 def test_conflicts(spark):
-    out = one(spark, text.rename_conflicts("d", "t"), d="a__bench (int x) {", t="a(1)+xa(2)")
-    assert out == "a__bench(1)+xa(2)"
-    random.seed(5)
-    pieces = ["a__bench(int) {", "int bc__bench (x, y)  {", "d__bench();", "a(1)", " bc (2)", "xa(3)", "a_(4)", "bc.a(5)", "d(6)"]
-    for _ in range(40):
-        deps, body = ("\n".join(random.choices(pieces, k=4)) for _ in range(2))
-        expected = body
-        for item in re.findall(r"(\w+)__bench[ ]*\(.*?\)[ ]*{", deps):
-            expected = re.sub(rf"(?<![a-zA-Z0-9_]){item}(?![a-zA-Z0-9_])[ ]*\(", f"{item}__bench(", expected)
-        assert one(spark, text.rename_conflicts("d", "t"), d=deps, t=body) == expected
+    deps = "a__bench(int) {\nint bc__bench (x, y)  {\nd__bench();"
+    body = "a(1) bc (2) xa(3) a_(4) bc.a(5) d(6)"
+    expected = "a__bench(1) bc__bench(2) xa(3) a_(4) bc.a__bench(5) d(6)"
+    assert one(spark, text.rename_conflicts("d", "t"), d=deps, t=body) == expected
+    assert one(spark, text.rename_conflicts("d", "t"), d="", t=body) == body
 
 
 def test_includes_hoisted(spark):
@@ -74,6 +70,7 @@ def test_includes_hoisted(spark):
 def test_repoint_include(spark):
     wrapper = 'x\nextern "C" \n{\n#include "old/path.c"\n}\ny "\n}'
     assert one(spark, text.repoint_include("w", "new$1\\2.c"), w=wrapper) == wrapper.replace("old/path.c", "new$1\\2.c")
+    assert one(spark, text.repoint_include("w", "n.c"), w="\n".join([wrapper] * 10)).count('"n.c"') == 10
 
 
 def test_optimized_code(spark):
