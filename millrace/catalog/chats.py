@@ -38,6 +38,17 @@ def chat_roles(spark, sf_dir):
     return flagged[0].unionByName(flagged[1]).select("conv_id", "turn", "speaker", "quarantined")
 
 
+@query(
+    "conversations_of_known_roles",
+    f"""with t as ({TURNS}) select conv_id, turn, conv_id in
+    (select conv_id from t where lower(role) not in ('human', 'assistant')) as quarantined from t""",
+)
+def conversations_of_known_roles(spark, sf_dir):
+    good, unsupported = chats.split_conversations(chats.map_roles(bind(spark, sf_dir, TURNS)))
+    flagged = [part.withColumn("quarantined", F.lit(flag)) for part, flag in ((good, False), (unsupported, True))]
+    return flagged[0].unionByName(flagged[1]).select("conv_id", "turn", "quarantined")
+
+
 def _rendered(start: str, end: str, ended: str = "''") -> str:
     return f"""case when pos = 0 then {SYSTEM} else '' end || speaker || ': {start}' ||
       case when text <> '' then text || '{end}' || {ended} else '' end"""

@@ -45,6 +45,12 @@ def split_roles(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mapped.filter(F.col("speaker").isNotNull()), mapped.filter(F.col("speaker").isNull())
 
 
+def split_conversations(mapped: DataFrame, conv_id: str = "conv_id") -> tuple[DataFrame, DataFrame]:
+    """Conversations in which every role is supported, and the others, whole."""
+    unsupported = mapped.filter(F.col("speaker").isNull()).select(conv_id).distinct()
+    return mapped.join(unsupported, conv_id, "left_anti"), mapped.join(unsupported, conv_id, "left_semi")
+
+
 def rendered_turn(speaker: str | Column, text: str | Column, separators: tuple[str, str], ended: str = "") -> Column:
     """``role: <bos>text<eos>``; an empty or null text leaves the slot open."""
     speaker = F.col(speaker) if isinstance(speaker, str) else speaker

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.filters import all_masked
 from millrace.operators.ordered import id_bucket, whole, with_positions
+from millrace.operators.tokens import masked_labels
 
 UNIT = ("part", "split")
 BUFFER_FACTOR = 16
@@ -40,8 +41,6 @@ SEGMENT = (
 )
 
 ARROW_TYPES = {"bigint": pa.int64(), "boolean": pa.bool_()}
-# A run of more rows than this is ranked in buckets, by several tasks.
-HOT_RUN = 1 << 20
 # 64 buffers of 16 * 4096 tokens, ids and labels, are about 32 MB.
 BUFFERS_TOGETHER = 64
 
@@ -139,7 +138,6 @@ def plan_packing(
     unit: Sequence[str] = UNIT,
     row_id: str = "row_id",
     bucket: Column | None = None,
-    hot_run: int = HOT_RUN,
 ) -> DataFrame:
     """Place every row: add ``buffer``, ``bin``, ``pos`` and ``residual``.
 
@@ -147,19 +145,15 @@ def plan_packing(
     and ``seq_length`` of at least 1; equal lengths keep ``row_id`` order. ``residual`` marks rows
     of a bin still open when its buffer filled up: the reference drops those,
     ``packed_rows`` keeps them unless told otherwise. A row longer than
-    ``max_length`` has a bin to itself and leaves the open bin alone.
+    ``max_length`` has a bin to itself and leaves the open bin alone. ``bucket``
+    cuts a run of equal lengths into tasks and must not decrease with ``row_id``.
     """
     unit = list(unit)
     run = [*unit, "seq_length"]
     bucket = bucket if bucket is not None else id_bucket(row_id)
     histogram = lengths.groupBy(*run).agg(F.count(F.lit(1)).alias("_rows"))
     segments = packing_segments(histogram, max_length, buffer_factor, unit)
-    # Only hot runs are cut into buckets; the others are one group, bucket -1.
-    # A hot run has over hot_run rows, so there are at most rows / hot_run of them.
-    hot = histogram.filter(F.col("_rows") > hot_run).select(F.struct(*run).alias("_hot"))
-    marked = lengths.join(F.broadcast(hot), F.struct(*run) == F.col("_hot"), "left")
-    split = marked.select(*lengths.columns, F.when(F.col("_hot").isNotNull(), bucket).otherwise(-1).alias("_range"))
-    placed = with_positions(split, run, [row_id], F.col("_range"), "_rank", per_key=segments)
+    placed = with_positions(lengths, run, [row_id], bucket, "_rank", per_key=segments)
     own = F.filter("segments", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["last"]))[0]
     found = placed.withColumn("_s", own).withColumn("_offset", F.col("_rank") - F.col("_s.first"))
     at = F.pmod("_offset", F.col("_s.period"))
@@ -188,22 +182,32 @@ def pack(
     ids: str = "input_ids",
     labels: str = "labels",
     buffers_together: int = BUFFERS_TOGETHER,
+    hidden: str | None = None,
+    plan: DataFrame | None = None,
 ) -> DataFrame:
     """Packed ids and labels, shuffled within each buffer.
 
-    ``tokens`` is read twice, once for its lengths alone, so it should be a
-    stored table or pass through ``cut_lineage``. Bins and buffers are bounded
+    With ``hidden``, a column of how many leading labels are masked, the labels
+    are made from the ids once a bin is together, and need not move. Without
+    ``plan``, of ``plan_packing``, the lengths are read apart, so ``tokens`` should
+    be a stored table or pass through ``cut_lineage``. Bins and buffers are bounded
     by ``max_length`` and the buffer size, so no group here grows with the data.
     ``shuffle_pos`` is the row's place in its buffer. Runs of
     ``buffers_together`` buffers go to one task, so that writing by unit gives
     files of that many buffers rather than one file per task and unit.
     """
     unit = list(unit)
-    lengths = tokens.select(*unit, row_id, "seq_length")
-    plan = plan_packing(lengths, max_length, buffer_factor, unit, row_id)
-    placed = tokens.select(*unit, row_id, ids, labels).join(plan, [*unit, row_id])
-    cut = placed.withColumn(ids, F.slice(ids, 1, max_length)).withColumn(labels, F.slice(labels, 1, max_length))
-    useless = (F.col("seq_length") > max_length) & all_masked(labels)
+    if plan is None:
+        plan = plan_packing(tokens.select(*unit, row_id, "seq_length"), max_length, buffer_factor, unit, row_id)
+    carried = [ids, hidden or labels]
+    placed = tokens.select(*unit, row_id, *carried).join(plan, [*unit, row_id])
+    cut = placed.withColumn(ids, F.slice(ids, 1, max_length))
+    if hidden is None:
+        cut = cut.withColumn(labels, F.slice(labels, 1, max_length))
+        masked = all_masked(labels)
+    else:
+        masked = F.col(hidden) >= max_length
+    useless = (F.col("seq_length") > max_length) & masked
     if strict:
         message = F.format_string("row of %d tokens has only masked labels", F.col("seq_length"))
         keep = F.when(useless, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
@@ -211,7 +215,7 @@ def pack(
         keep = ~useless
     if not keep_residual:
         keep = keep & ~F.col("residual")
-    members = F.sort_array(F.collect_list(F.struct("pos", ids, labels)))
+    members = F.sort_array(F.collect_list(F.struct("pos", *carried)))
     # Partitioned once, for both the bins and their order in the buffer.
     grouped = [*unit, "_together", "buffer"]
     bins = (
@@ -228,10 +232,15 @@ def pack(
         "bin",
         (F.row_number().over(in_buffer) - 1).alias("shuffle_pos"),
         flatten_members("_members", ids).alias(ids),
-        flatten_members("_members", labels).alias(labels),
+        (flatten_members("_members", labels) if hidden is None else _member_labels("_members", ids, hidden)).alias(labels),
     )
 
 
+def _member_labels(members: str, ids: str, hidden: str) -> Column:
+    """The members' ids joined in order, the first ``hidden`` of each masked."""
+    return F.flatten(F.transform(members, lambda member: masked_labels(member[ids], member[hidden])))
+
+
 def flatten_members(members: str, field: str) -> Column:
     """The members' arrays joined in order."""
     return F.flatten(F.transform(members, lambda member: member[field]))

@@ -37,7 +37,11 @@ def shard_samples(samples: DataFrame, num_parts: int, bins: int) -> DataFrame:
 
 
 def tokenised_samples(samples: DataFrame, template: str, tokenizer, max_length: int, budget: int) -> DataFrame:
-    """Token rows within the budget, and unusable samples with their text in ``rejected``."""
+    """Token rows within the budget, and unusable samples with their text in ``rejected``.
+
+    ``hidden`` is how many leading labels are masked. A row over the budget or of
+    one token has no ids, and the reason in ``dropped``.
+    """
     parsed = samples.withColumn("sample", F.from_json("canonical", SAMPLE_SCHEMA))
     prompted = prompts.with_prompt(parsed.select("part", "split", "row_id", "canonical", "sample.*"), template)
     unusable = F.col("prompt").isNull() | F.col("sourcecode").isNull()
@@ -45,11 +49,21 @@ def tokenised_samples(samples: DataFrame, template: str, tokenizer, max_length:
         "part", "split", "row_id", "prompt", "sourcecode", F.when(unusable, F.col("canonical")).alias("rejected")
     )
     counted = flagged.withColumn("source_length", F.lit(1) + tokenizer.count("prompt"))
-    rejected = F.col("rejected").isNotNull()
-    kept = counted.filter(rejected | within_budget("prompt", "source_length", max_length, budget))
-    tokens = tokenise(kept, tokenizer=tokenizer, max_length=max_length)
-    columns = ["part", "split", "row_id", "input_ids", "labels", "seq_length", "rejected"]
-    return tokens.select(*columns).filter(rejected | (F.col("seq_length") > 1))
+    over = F.col("rejected").isNull() & ~within_budget("prompt", "source_length", max_length, budget)
+    marked = counted.withColumn("over", over).withColumn("sourcecode", F.when(~F.col("over"), F.col("sourcecode")))
+    tokens = tokenise(marked, tokenizer=tokenizer, max_length=max_length)
+    dropped = F.when(F.col("over"), "label budget").when(F.col("seq_length") <= 1, "length")
+    hidden = F.when(F.length("prompt") == 0, 0).otherwise(F.col("source_length"))
+    return tokens.withColumn("dropped", dropped).select(
+        "part",
+        "split",
+        "row_id",
+        F.when(F.col("dropped").isNull(), F.col("input_ids")).alias("input_ids"),
+        hidden.alias("hidden"),
+        "seq_length",
+        "rejected",
+        "dropped",
+    )
 
 
 def prepare_corpus(
@@ -68,9 +82,11 @@ def prepare_corpus(
 ) -> DataFrame:
     """Read, canonicalise, shard, prompt, tokenise, pack and store; returns the statistics.
 
-    Packed rows go to ``packed`` below ``target``, and what could not be used to
-    ``rejected_lines`` and ``rejected_samples``. The canonical lines and the
-    tokens are stored once each, as several steps read them.
+    Packed rows go to ``packed`` below ``target``, what could not be used to
+    ``rejected_lines`` and ``rejected_samples``, and how many rows the label
+    budget and the length test removed to ``dropped_rows``. The canonical lines,
+    the tokens and the packing plan are stored once each, as several steps read
+    them.
     """
     lines = cut_lineage(canonical_lines(read_lines(spark, source, glob), keep=LINE_COLUMNS), "canonical")
     bad = lines.filter("rejected is not null").select("path", "folder", "file_name", "rejected")
@@ -80,9 +96,10 @@ def prepare_corpus(
     stored = cut_lineage(tokenised_samples(samples, template, tokenizer, max_length, budget), "tokens")
     unusable = stored.filter("rejected is not null").select("part", "split", "row_id", "rejected")
     unusable.write.mode("overwrite").json(os.path.join(target, "rejected_samples"))
-    tokens = stored.filter("rejected is null").drop("rejected")
-    write_packed(
-        packing.pack(tokens, max_length, keep_residual=keep_residual, seed=seed), os.path.join(target, "packed")
-    )
-    plan = packing.plan_packing(tokens.drop("input_ids", "labels"), max_length)
+    dropped = stored.filter("dropped is not null").groupBy("part", "split", "dropped").count()
+    dropped.write.mode("overwrite").json(os.path.join(target, "dropped_rows"))
+    tokens = stored.filter("rejected is null and dropped is null").drop("rejected", "dropped")
+    plan = cut_lineage(packing.plan_packing(tokens.drop("input_ids", "hidden"), max_length), "packing-plan")
+    packed = packing.pack(tokens, max_length, keep_residual=keep_residual, seed=seed, hidden="hidden", plan=plan)
+    write_packed(packed, os.path.join(target, "packed"))
     return packing.packing_stats(plan, keep_residual=keep_residual)
