@@ -200,6 +200,30 @@ def target_functions(spark, sf_dir):
     return chosen.select("doc_id", F.md5("chosen.text").alias("text"), "chosen.renamed", "chosen.candidates")
 
 
+# Two rivals, a helper, numbers set in one declaration, and on every third row an
+# opening that is never closed.
+RIVALS = """
+select doc_id, concat('int n = ', cast(doc_id as varchar(20)), ', m = 4, *p;', chr(10), 'int helper(int x) { return x; }', chr(10),
+  'int first(int x) { return helper(x); }', chr(10), 'long second(void) { if (1) { return 2; } return 0; }', chr(10),
+  case when doc_id % 3 = 0 then 'int broken(int x) { ((((' else '' end) as code
+from documents
+"""
+
+
+@query(
+    "target_functions_among_rivals",
+    f"""with c as ({RIVALS}), declared as (select doc_id, concat('int n = ', doc_id, ', m = 4, *p;', chr(10)) as d from c)
+    select doc_id, md5(d || 'long f(void) {{ if (1) {{ return 2; }} return 0; }}') as last,
+      md5(d || 'long f(void) {{ if (1) {{ return 2; }} return 0; }}') as longest, cast(2 as int) as candidates
+    from declared""",
+)
+def target_functions_among_rivals(spark, sf_dir):
+    rows = bind(spark, sf_dir, RIVALS).withColumn("name", F.lit("f"))
+    picked = [target_function("code", "name", pick).alias(pick) for pick in ("last", "longest")]
+    chosen = rows.select("doc_id", *picked)
+    return chosen.select("doc_id", *[F.md5(f"{p}.text").alias(p) for p in ("last", "longest")], "last.candidates")
+
+
 @query(
     "file_name_keys",
     f"""with s as ({SAMPLES}) select doc_id, regexp_replace(func || '_3.jsonl', '[^0-9]', '', 'g') as digits,

@@ -17,39 +17,43 @@ _IGNORED = re.compile(
     re.S | re.M,
 )
 _NAME_BEFORE_PAREN = re.compile(r"([A-Za-z_]\w*)\s*\(")
-_NUMERIC_DECLARATION = re.compile(
-    r"(?:^|(?<=[;{}(]))\s*((?:[A-Za-z_]\w*[\s*]+)+[A-Za-z_]\w*\s*=\s*[-+]?(?:0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][-+]?\d+)?)[uUlLfF]*\s*;)"
-)
+# Possessive, so that prose without a semicolon is read once.
+_DECLARATION = re.compile(r"(?:^|(?<=[;{}(]))\s*+([A-Za-z_]\w*+(?:[\s*]++[A-Za-z_]\w*+)++([^;(){}]*+);)")
+_NUMBER_SET = re.compile(r"=\s*[-+]?(?:0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][-+]?\d+)?)[uUlLfF]*\s*(?:,|$)")
+_BRACKET = re.compile(r"[(){}]")
 _BLANK = re.compile(r"[^\n]")
 _RETURN = re.compile(r"(?:return|goto|typedef)\b")
 
 RESULT = "text string, renamed boolean, candidates int"
 
 
-def _closing(code: str, start: int, left: str, right: str) -> int:
-    depth = 0
-    for mark in re.compile(f"[{re.escape(left + right)}]").finditer(code, start):
-        depth += 1 if mark.group() == left else -1
-        if depth == 0:
-            return mark.end()
-    return -1
+def _closings(code: str) -> dict[int, int]:
+    """Place after the closing bracket of every opening one that has it; parentheses and braces apart."""
+    ends, open_ = {}, {")": [], "}": []}
+    for mark in _BRACKET.finditer(code):
+        bracket = mark.group()
+        if bracket in "({":
+            open_[")" if bracket == "(" else "}"].append(mark.start())
+        elif open_[bracket]:
+            ends[open_[bracket].pop()] = mark.end()
+    return ends
 
 
 def _definitions(code: str):
     """(start, name start, name end, end) of each function body found, in order."""
-    found, position = [], 0
+    found, position, ends = [], 0, _closings(code)
     while match := _NAME_BEFORE_PAREN.search(code, position):
         position = match.end()
         if match.group(1) in KEYWORDS:
             continue
-        after = _closing(code, match.end() - 1, "(", ")")
-        if after < 0:
-            break
+        after = ends.get(match.end() - 1)
+        if after is None:
+            continue
         opening = re.compile(r"\s*\{").match(code, after)
         if not opening:
             continue
-        end = _closing(code, opening.end() - 1, "{", "}")
-        if end < 0:
+        end = ends.get(opening.end() - 1)
+        if end is None:
             continue
         before = max(code.rfind(mark, 0, match.start()) for mark in ";{}") + 1
         start = before + len(code[before : match.start()]) - len(code[before : match.start()].lstrip())
@@ -59,12 +63,12 @@ def _definitions(code: str):
 
 
 def select_function(text: str, name: str, pick: str):
-    """The chosen function renamed, after the numeric declarations of the text."""
+    """The chosen function renamed, after the declarations of the text that set a number."""
     code = _IGNORED.sub(lambda m: _BLANK.sub(" ", m.group()), text)
     out = [
         text[m.start(1) : m.end(1)]
-        for m in _NUMERIC_DECLARATION.finditer(code)
-        if not _RETURN.match(m.group(1))
+        for m in _DECLARATION.finditer(code)
+        if _NUMBER_SET.search(m.group(2)) and not _RETURN.match(m.group(1))
     ]
     definitions = _definitions(code)
     own = {d[1] for d in definitions}

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from millrace.functions import jsontext
 from millrace.functions.codescan import select_function, target_function
@@ -100,3 +101,14 @@ def test_values_that_cannot_be_converted_give_null(spark):
     assert raw == [None, None, None, None, '{"a": 1}']
     assert frame.select(jsontext.wrap_strings("t")).collect()[1][0] is None
     assert frame.select(jsontext.same_output("t", "t")).collect()[1][0] is None
+
+
+def test_declarations_with_several_names():
+    out = select_function("int a = 1, b = 2;\nint c, *d = 0x1F;\nint e = f(1);\nint g, h;\nint i(int j) { return j; }", "k", "last")
+    assert out["text"] == "int a = 1, b = 2;\nint c, *d = 0x1F;\nint k(int j) { return j; }"
+
+
+def test_broken_code_is_read_once():
+    start = time.perf_counter()
+    out = select_function("int f(int a { ((( x\n" * 20_000 + "word " * 50_000 + "\nint g(void) { return 1; }", "h", "last")
+    assert out["text"].endswith("{ return 1; }") and time.perf_counter() - start < 5
