@@ -137,6 +137,41 @@ def programs_by_sample(spark, sf_dir):
     )
 
 
+# Lines of one file for each task, some cut off; later lines of a level replace earlier ones.
+RESULT_LINES = """
+select user_id as task_id, event_id, case when event_id % 17 = 0 then '{"opts":'
+  else concat('{"opts":"', case event_type when 'click' then 'O0' when 'error' then 'O1' when 'purchase' then 'O2' else 'O3' end,
+    '","mode":"', case when event_id % 5 = 0 then '32' else '64' end, '","c_func_decompile":"```c', chr(92), 'nint gen(int x) { return ',
+    cast(event_id as varchar(20)), '; }', chr(92), 'n```"}') end as value
+from events
+"""
+
+
+@query(
+    "rates_from_result_files",
+    f"""with t as ({PROGRAM_TASKS}), r as (select user_id as task_id, event_id,
+      case event_type when 'click' then 'O0' when 'error' then 'O1' when 'purchase' then 'O2' else 'O3' end as opts
+      from events where event_id % 17 <> 0 and event_id % 5 <> 0),
+    last as (select task_id, opts, cast(max(event_id) as varchar) as id from r group by task_id, opts),
+    v as (select t.opts, contains(id, '7') as c, contains(id, '7') and contains(id, '3') as u from t join last using (task_id, opts)),
+    rates as (select l.opts, coalesce(count(*) filter (c), 0) / 6.0 as compile_rate, coalesce(count(*) filter (u), 0) / 6.0 as run_rate
+      from (select concat('O', unnest(range(4))) as opts) l left join v on v.opts = l.opts group by l.opts)
+    select opts, compile_rate, run_rate,
+      printf('64 bits opt:%s compile_rate:%.4f run_rate:%.4f', opts, compile_rate, run_rate) as line from rates""",
+)
+def rates_from_result_files(spark, sf_dir):
+    path = scratch_path(spark, "results")
+    lines = bind(spark, sf_dir, RESULT_LINES).repartition("task_id").sortWithinPartitions("task_id", "event_id")
+    lines.select("value", F.col("task_id").alias("task")).write.partitionBy("task").text(path)
+
+    def judge(programs):
+        seven, three = (F.contains("program", F.lit(digit)) for digit in "73")
+        return programs.select("opts", seven.cast("int").alias("flag_compile"), (seven & three).cast("int").alias("flag_run"))
+
+    tasks = bind(spark, sf_dir, PROGRAM_TASKS)
+    return evaluation.evaluate_files(tasks, path, judge, "64", "64 bits", "*.txt", named_by="folder", on_missing="skip")
+
+
 @query(
     "programs_with_dependencies",
     f"""with c as ({CODE}) select func, opts, contains(gen, '```') as renamed,

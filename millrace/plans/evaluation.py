@@ -6,7 +6,9 @@ table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text
@@ -15,6 +17,8 @@ from millrace.functions.jsontext import same_output
 from millrace.functions.similarity import edit_similarity
 from millrace.operators import filters, matching, scoring
 from millrace.operators.latest import last_write
+from millrace.sinks.tables import report_lines
+from millrace.sources.jsonl import read_samples
 
 
 def task_programs(
@@ -46,6 +50,49 @@ def task_programs(
     return cleaned.select(*keys, text.composite_id(*keys).alias("result_id"), bare.alias("bare"), program.alias("program"))
 
 
+def results_from_files(
+    spark: SparkSession, folder: str, glob: str = "*.jsonl", gen: str = "c_func_decompile", named_by: str = "file"
+) -> tuple[DataFrame, DataFrame]:
+    """Generated lines of a result folder as ``task_id, opts, mode, gen`` in file and line order, and the rejected lines.
+
+    The task is the digits of the file's name, or of its folder's; a line without
+    a level, a width or an answer stays, with nulls, and is no result of any task.
+    """
+    good, bad = read_samples(spark, folder, glob)
+    name = {"file": "file_name", "folder": "folder"}[named_by]
+    fields = [F.get_json_object("canonical", f"$.{key}").alias(key) for key in ("opts", "mode")]
+    results = good.select(
+        text.digits_of(name).try_cast("bigint").alias("task_id"),
+        *fields,
+        F.get_json_object("canonical", f"$.{gen}").alias("gen"),
+        F.col("path").alias("file_name"),
+        "line_no",
+    )
+    return results, bad
+
+
+def evaluate_files(
+    tasks: DataFrame,
+    folder: str,
+    judge: Callable[[DataFrame], DataFrame],
+    bits: str,
+    label: str,
+    glob: str = "*.jsonl",
+    named_by: str = "file",
+    on_missing: str = "error",
+) -> DataFrame:
+    """Rates per level, with their report line, from a folder of generated files.
+
+    ``judge`` turns programs (``task_id, opts, program`` and others) into rows with
+    ``flag_compile`` and ``flag_run``, from wherever programs are compiled and run.
+    """
+    results, _ = results_from_files(tasks.sparkSession, folder, glob, named_by=named_by)
+    programs = task_programs(tasks, results, bits, on_missing=on_missing)
+    rates = scoring.fixed_denominator_rates(judge(programs), tasks)
+    columns = [("compile_rate", "compile_rate"), ("run_rate", "run_rate")]
+    return rates.withColumn("line", report_lines(rates, label, columns))
+
+
 def answer_similarity(
     answers: DataFrame,
     bits: str,
