@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from millrace.functions.tokenizers import ByteTokenizer
 from millrace.operators import packing, prompts, sharding
 from millrace.operators.ordered import with_range_bucket
 from millrace.operators.tokens import LABEL_BUDGET, MAX_LENGTH, tokenise, within_budget
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, remove_folder
 from millrace.sinks.tables import write_packed
 from millrace.sources.jsonl import LINE_COLUMNS, read_lines
 
@@ -80,26 +81,30 @@ def prepare_corpus(
     seed: int = 0,
     glob: str = "*.jsonl",
 ) -> DataFrame:
-    """Read, canonicalise, shard, prompt, tokenise, pack and store; returns the statistics.
+    """Read, canonicalise, shard, prompt, tokenise, pack and store; returns the stored statistics.
 
     Packed rows go to ``packed`` below ``target``, what could not be used to
     ``rejected_lines`` and ``rejected_samples``, and how many rows the label
     budget and the length test removed to ``dropped_rows``. The canonical lines,
     the tokens and the packing plan are stored once each, as several steps read
-    them.
+    them, in a folder below ``target`` that is deleted at the end.
     """
-    lines = cut_lineage(canonical_lines(read_lines(spark, source, glob), keep=LINE_COLUMNS), "canonical")
+    work = os.path.join(target, f"_work-{uuid.uuid4().hex}")
+    lines = cut_lineage(canonical_lines(read_lines(spark, source, glob), keep=LINE_COLUMNS), "canonical", work)
     bad = lines.filter("rejected is not null").select("path", "folder", "file_name", "rejected")
     bad.write.mode("overwrite").json(os.path.join(target, "rejected_lines"))
     samples = shard_samples(lines.filter("canonical is not null").drop("rejected"), num_parts, bins)
     tokenizer = tokenizer or ByteTokenizer()
-    stored = cut_lineage(tokenised_samples(samples, template, tokenizer, max_length, budget), "tokens")
+    stored = cut_lineage(tokenised_samples(samples, template, tokenizer, max_length, budget), "tokens", work)
     unusable = stored.filter("rejected is not null").select("part", "split", "row_id", "rejected")
     unusable.write.mode("overwrite").json(os.path.join(target, "rejected_samples"))
     dropped = stored.filter("dropped is not null").groupBy("part", "split", "dropped").count()
     dropped.write.mode("overwrite").json(os.path.join(target, "dropped_rows"))
     tokens = stored.filter("rejected is null and dropped is null").drop("rejected", "dropped")
-    plan = cut_lineage(packing.plan_packing(tokens.drop("input_ids", "hidden"), max_length), "packing-plan")
+    plan = cut_lineage(packing.plan_packing(tokens.drop("input_ids", "hidden"), max_length), "packing-plan", work)
     packed = packing.pack(tokens, max_length, keep_residual=keep_residual, seed=seed, hidden="hidden", plan=plan)
     write_packed(packed, os.path.join(target, "packed"))
-    return packing.packing_stats(plan, keep_residual=keep_residual)
+    statistics = os.path.join(target, "statistics")
+    packing.packing_stats(plan, keep_residual=keep_residual).write.mode("overwrite").parquet(statistics)
+    remove_folder(spark, work)
+    return spark.read.parquet(statistics)

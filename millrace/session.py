@@ -52,12 +52,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this job wrote, wherever Spark keeps it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cut_lineage(df: DataFrame, name: str = "stage", folder: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or below ``folder``, and read it back.
 
     Used where a costly or sampled result feeds several branches: a lost
     executor then re-reads files instead of recomputing the branch differently.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name) if folder is None else os.path.join(folder, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
