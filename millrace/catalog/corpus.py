@@ -9,7 +9,7 @@ from millrace.catalog.registry import query
 from millrace.catalog.text import DATA_JSON, GRAPH_JSON, SAMPLES_MORE
 from millrace.functions import templates
 from millrace.operators import filters, packing, prompts, sharding
-from millrace.operators.ordered import spread
+from millrace.operators.ordered import spread, with_positions
 from millrace.operators.tokens import tokenise, training_rows
 from millrace.session import cut_lineage
 from millrace.sinks.tables import shard_name
@@ -359,12 +359,11 @@ def packing_statistics_without_residual(spark, sf_dir):
     row_number() over (partition by part, split order by seq_length, row_id) - 1 as place from v""",
 )
 def rows_by_length(spark, sf_dir):
-    """The sorted units as written, numbered through their first digits of order."""
-    from millrace.operators.ordered import id_bucket, with_positions
-
+    """The places of rows in the order in which their sorted units are written, task by task."""
     rows = packing.sort_units(bind(spark, sf_dir, LENGTHS))
-    by_length = id_bucket("seq_length", 1)
-    return with_positions(rows, ["part", "split"], ["seq_length", "row_id"], by_length, "place")
+    written = rows.withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    placed = with_positions(cut_lineage(written, "sorted-units"), ["part", "split"], ["at"], F.col("task"), "place")
+    return placed.drop("task", "at")
 
 
 PACKED = f"""

@@ -132,16 +132,16 @@ def lines_mentioning_function(spark, sf_dir):
 @query(
     "first_nonempty_text",
     f"""with c as ({CODE}), picked as (
-      select doc_id, coalesce(nullif(case when contains(gen, func) then func end, ''),
-                              nullif(case when doc_id % 10 = 0 then '' else opts end, '')) as decom from c)
-    select * from picked where decom is not null""",
+      select doc_id, coalesce(nullif(case when contains(gen, func) then gen end, ''),
+                              nullif(case when doc_id % 10 = 0 then '' else c_func end, '')) as decom from c)
+    select doc_id, md5(decom) as decom from picked where decom is not null""",
 )
 def first_nonempty_text(spark, sf_dir):
     rows = _code(spark, sf_dir)
-    mentioned = F.when(F.contains("gen", "func"), F.col("func"))
-    fallback = F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.col("opts"))
+    mentioned = F.when(F.contains("gen", "func"), F.col("gen"))
+    fallback = F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.col("c_func"))
     picked = rows.select("doc_id", text.first_nonempty(mentioned, fallback).alias("decom"))
-    return filters.present(picked, "decom")
+    return filters.present(picked, "decom").select("doc_id", _digest("decom"))
 
 
 @query(

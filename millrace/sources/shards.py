@@ -5,32 +5,35 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Run mode to stored split name.
 MODES = {"train": "train", "dev": "validation", "test": "test"}
 
 
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match, listed without reading them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [] if found is None else [str(status.getPath()) for status in found]
+
+
 def read_packed(spark: SparkSession, paths: str | Sequence[str], mode: str = "train") -> DataFrame | None:
     """Packed rows of one or many shards for a mode; ``None`` if no shard has any.
 
     Shards may be partitioned by ``dataset``; a shard that is belongs to a mode
     only where it has that partition, and one that is not belongs to every mode.
+    All shards of a kind are one scan.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}; got {mode!r}")
-    found = []
+    plain, split = [], []
     for path in [paths] if isinstance(paths, str) else paths:
-        shard = spark.read.parquet(path)
-        if "dataset" in shard.columns:
-            shard = shard.filter(F.col("dataset") == MODES[mode])
-            if shard.isEmpty():
-                continue
-            shard = shard.drop("dataset")
-        found.append(shard)
+        datasets = _folders(spark, f"{path}/dataset=*")
+        if datasets:
+            split += [folder for folder in datasets if folder.endswith(f"/dataset={MODES[mode]}")]
+        else:
+            plain.append(path)
+    found = [spark.read.parquet(*group) for group in (plain, split) if group]
     if not found:
         return None
-    joined = found[0]
-    for shard in found[1:]:
-        joined = joined.unionByName(shard)
-    return joined
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
