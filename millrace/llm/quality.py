@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.llm.words import WordHashes, characters, ids_of, texts_of, window_hashes
+from millrace.session import cut_lineage
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -147,14 +148,16 @@ def language_references(docs: DataFrame, common: float = COMMON, share: float =
 
     names = ["lang", "word", "docs", "total", "classes"]
     kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    surveyed = (
+    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
+    surveyed = cut_lineage(
         known.mapInArrow(survey, "lang string, word binary, docs long, total long, classes array<long>")
         .groupBy("lang", "word")
-        .agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)])
+        .agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), *sums),
+        "language-words",
     )
-    heads = surveyed.filter("word is null").drop("word")
-    heads = heads.crossJoin(heads.agg(F.sum("docs").alias("all_docs"))).filter(F.col("docs") >= share * F.col("all_docs"))
-    kept = {row["lang"]: row for row in heads.collect()}
+    heads = surveyed.filter("word is null")
+    labelled = heads.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    kept = {row["lang"]: row for row in heads.filter(F.col("docs") >= share * labelled).collect()}
     proposals: dict[str, set[bytes]] = {lang: set() for lang in kept}
     for row in surveyed.filter(F.col("word").isNotNull() & F.col("lang").isin(list(kept))).select("lang", "word").collect():
         proposals[row[0]].add(bytes(row[1]))
