@@ -8,7 +8,6 @@ from millrace.catalog.bindings import TURNS, bind
 from millrace.catalog.corpus import array_digest, bytes_of, csv
 from millrace.catalog.registry import query
 from millrace.operators import conversations as chats
-from millrace.operators.ordered import spread
 
 CHAT_LENGTH = 2048
 SYSTEM = "'" + chats.SYSTEM.replace("'", "''") + "'"

@@ -4,7 +4,6 @@ import pytest
 
 from millrace.functions.tokenizers import ByteTokenizer
 from millrace.operators import matching
-from millrace.operators.tokens import tokenise
 from millrace.sinks import tables as sinks
 from millrace.sources import jsonl, shards
 
