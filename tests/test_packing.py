@@ -1,6 +1,7 @@
-"""The histogram layout against a row-by-row fold of the packing rules."""
+"""The histogram layout against the packing rules, row by row."""
 
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 from hypothesis import given, settings
@@ -12,36 +13,36 @@ from millrace.operators.ordered import id_bucket
 from millrace.operators.tokens import masked_labels
 
 
+def buffers_of(lengths, capacity):
+    """Shortest runs of rows that hold ``capacity`` tokens, and what is left at the end, if only nothing."""
+    start = 0
+    for end, total in enumerate(accumulate(lengths), 1):
+        if total - sum(lengths[:start]) >= capacity:
+            yield lengths[start:end], False
+            start = end
+    yield lengths[start:], True
+
+
+def bins_of(rows, max_length):
+    """Indexes of the rows in each bin of a buffer, and the bin that stays open."""
+    bins, last = [], None
+    for at, length in enumerate(rows):
+        if length <= max_length and last is not None and sum(rows[i] for i in bins[last]) + length <= max_length:
+            bins[last].append(at)
+        else:
+            bins.append([at])
+            last = len(bins) - 1 if length <= max_length else last
+    return bins, last
+
+
 def fold(lengths, max_length, factor=16):
-    """(buffer, bin, pos, residual) per row, one row at a time."""
-    out, i, buffer, more = [], 0, 0, True
-    while more:
-        rows, total = [], 0
-        while total < max_length * factor:
-            if i == len(lengths):
-                more = False
-                break
-            rows.append(lengths[i])
-            total += lengths[i]
-            i += 1
-        placed, opened, current, used, pos = [], 0, None, 0, 0
-        for length in rows:
-            if length > max_length:
-                placed.append([buffer, opened, 0, False])
-                opened += 1
-            elif current is not None and used + length <= max_length:
-                used, pos = used + length, pos + 1
-                placed.append([buffer, current, pos, False])
-            else:
-                current, used, pos = opened, length, 0
-                opened += 1
-                placed.append([buffer, current, 0, False])
-        if more:
-            for length, place in zip(rows, placed):
-                place[3] = length <= max_length and place[1] == current
-        out += [tuple(place) for place in placed]
-        buffer += 1
-    return out
+    """(buffer, bin, pos, residual) per row: the rules of the packing, buffer by buffer."""
+    places = []
+    for buffer, (rows, ended) in enumerate(buffers_of(lengths, max_length * factor)):
+        bins, last = bins_of(rows, max_length)
+        own = {at: (buffer, b, pos, b == last and not ended) for b, held in enumerate(bins) for pos, at in enumerate(held)}
+        places += [own[at] for at in range(len(rows))]
+    return places
 
 
 def laid_out(lengths, max_length, factor=16):
