@@ -61,7 +61,7 @@ def observation(line: Column) -> Column:
 
 
 def numbered_lines(turns: DataFrame) -> DataFrame:
-    """One row for every line of ``turns`` (conv_id, turn, text and others), with its place ``line`` of ``lines`` in the conversation.
+    """One row for every line of ``turns`` (conv_id, turn, text and others), the ``line`` of ``lines`` in the conversation.
 
     A null text is one empty line. Null ids are one conversation; null turns come first.
     """
@@ -139,7 +139,8 @@ def fit(lines: DataFrame) -> Chain:
         emits[state, seen] += number
     before = known.select("conversation", (F.col("line") + 1).alias("line"), F.col("state").alias("previous"))
     moves = np.full((STATES + 1, STATES), SMOOTHING)
-    moved = known.join(before, ["conversation", "line"], "left").groupBy("previous", "state", (F.col("line") == 0).alias("first")).count()
+    moved = known.join(before, ["conversation", "line"], "left").withColumn("first", F.col("line") == 0)
+    moved = moved.groupBy("previous", "state", "first").count()
     for previous, state, first, number in moved.collect():
         if first:
             moves[START, state] += number
@@ -232,7 +233,8 @@ def parse_transcripts(lines: DataFrame, chain: Chain) -> DataFrame:
     The segments of a conversation, in line order, are its canonical form: each
     turn opened by its role and closed by an end mark, speaker markers removed.
     """
-    found = decode(lines.select("conversation", "line", "seen"), chain).withColumn("opens", (F.col("state") % 2 == 0).cast("long"))
+    found = decode(lines.select("conversation", "line", "seen"), chain)
+    found = found.withColumn("opens", (F.col("state") % 2 == 0).cast("long"))
     counted = with_positions(
         cut_lineage(found, "states"),
         ["conversation"],
