@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from millrace.llm import (
     langid,
     lm,
     near_dedup,
+    oracles,
     pii,
     quality,
     secrets,
@@ -26,8 +28,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(function: Callable[[SparkSession, str], DataFrame]):
+def query(function: Callable[[SparkSession, str], DataFrame], oracle: str | None = None):
     QUERIES[function.__name__] = function
+    if oracle is not None:
+        ORACLES[function.__name__] = oracle.strip()
     return function
 
 
@@ -56,16 +60,17 @@ def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-@query
+@partial(query, oracle=oracles.NEAR_DEDUP)
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query
+@partial(query, oracle=oracles.DECONTAMINATION)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.benchmark_hits(
+    hits = decontaminate.benchmark_hits(
         load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark")
     )
+    return hits.drop("items")
 
 
 @query
