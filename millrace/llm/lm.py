@@ -1,8 +1,8 @@
 """Language-model scores of documents: unigram counts and a gated recurrent model over them.
 
 Tokens are lower-cased words and one end a document. Counts cover all training
-documents. The ``FREQUENT`` commonest tokens go to every task; the rest are
-looked up by a join, in which no key is frequent. The recurrent model knows the
+documents. The commonest tokens, at most ``FREQUENT``, go to every task; the rest
+are looked up by a join, in which no key is frequent. The recurrent model knows the
 commonest ``VOCABULARY`` tokens and one id for all others, whose probability is
 shared out by their counts. Its weights are averages of copies that each read one
 part of a share of the training documents, which grows with the input.
@@ -73,6 +73,25 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def frequent_tokens(counts: DataFrame, most: int | None = None) -> list[tuple[int, int]]:
+    """The commonest tokens and their counts, commonest first, at most ``most`` (FREQUENT).
+
+    Counts are cut into levels of a sixteenth of a power of two, and whole levels
+    taken from the top while there is room, so no task or driver sorts them all.
+    """
+    most = FREQUENT if most is None else most
+    level = F.floor(F.log2("c") * 16)
+    lowest, held = None, 0
+    for at, number in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += number
+        if held > most:
+            break
+        lowest = at
+    if lowest is None:
+        return []
+    return sorted(map(tuple, counts.filter(level >= lowest).collect()), key=lambda row: (-row[1], row[0]))
+
+
 class Lexicon:
     """The frequent tokens: their counts, and the model's id of the commonest; other tokens are rare."""
 
@@ -241,8 +260,7 @@ def score_documents(docs: DataFrame, share: int = TRAIN_SHARE) -> DataFrame:
     training = source.filter(_training(F.col("doc_id")))
     counts = cut_lineage(token_counts(training), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
-    lexicon = spark.sparkContext.broadcast(Lexicon([tuple(row) for row in top], total, distinct))
+    lexicon = spark.sparkContext.broadcast(Lexicon(frequent_tokens(counts), total, distinct))
     known = lexicon.value
     weights = spark.sparkContext.broadcast(_trained(training, lexicon, share))
     scored = cut_lineage(_scored(source, lexicon, weights), "scored")
