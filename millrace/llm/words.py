@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+ROWS_AT_ONCE = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -56,9 +57,11 @@ def characters(text: bytes, without: bytes = b"") -> int:
     return len(text.translate(None, _CONTINUATION + without))
 
 
-def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
-    """A text column as UTF-8 bytes."""
-    return batch.column(column).cast(pa.binary()).to_pylist()
+def texts_of(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
+    """A text column as UTF-8 bytes, a few rows at a time, so that a batch is not held twice."""
+    values = batch.column(column).cast(pa.binary())
+    for start in range(0, len(values), ROWS_AT_ONCE):
+        yield from values.slice(start, ROWS_AT_ONCE).to_pylist()
 
 
 def ids_of(batch: pa.RecordBatch, column: int) -> list:
