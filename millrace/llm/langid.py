@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from millrace.llm.words import fold_remainder, ids_of
+from millrace.session import cut_lineage
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -146,7 +147,10 @@ def _survey(training: DataFrame) -> tuple[dict[str, int], np.ndarray]:
             ["lang", "bucket", "n"],
         )
 
-    counted = training.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(
+        training.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")),
+        "ngram-documents",
+    )
     total = counted.filter("lang is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # At most 1 / LANGUAGE_SHARE languages and BUCKETS buckets.
     rows = counted.filter(F.col("lang").isNull() | (F.col("n") >= LANGUAGE_SHARE * total)).collect()
