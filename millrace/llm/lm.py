@@ -5,7 +5,7 @@ documents. The commonest tokens, at most ``FREQUENT``, go to every task; the res
 are looked up by a join, in which no key is frequent. The recurrent model knows the
 commonest ``VOCABULARY`` tokens and one id for all others, whose probability is
 shared out by their counts. Its weights are averages of copies that each read one
-part of a share of the training documents, which grows with the input.
+part of the training documents; together they read them all.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from millrace.session import cut_lineage
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 1 << 17
 VOCABULARY = 1022
-TRAIN_SHARE = 4
+TRAIN_SHARE = 1
 HELD_WORDS = 400_000
 TRAIN_TOKENS = 500_000
 SCORE_TOKENS = 2_000_000
@@ -252,8 +252,9 @@ def score_documents(docs: DataFrame, share: int = TRAIN_SHARE) -> DataFrame:
     give a row, and each counts in training. A null id counts as empty text in
     the fold. Without training documents all counts are 0, and the model's
     probabilities are those of an unread model. An empty table gives an empty
-    result. One in ``share`` training documents, by the hash of its id, trains the
-    recurrent model; counts cover all. No other columns are read.
+    result. All training documents train the recurrent model, unless ``share`` is
+    more than 1: then one in so many, by the hash of its id. Counts cover all. No
+    other columns are read.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")

@@ -85,6 +85,20 @@ def test_score_odd_rows_and_empty(odd, nothing):
     assert lm.score_documents(nothing).count() == 0
 
 
+def test_every_training_document_reaches_the_recurrent_model(spark, monkeypatch):
+    trained, learned = lm._trained, []
+
+    def spy(*arguments):
+        learned.append(trained(*arguments))
+        return learned[-1]
+
+    monkeypatch.setattr(lm, "_trained", spy)
+    ids = [None, *[i for i in range(1, 8) if crc32(str(i).encode()) % 7 != 2][:4]]
+    for doc_id in ids:
+        lm.score_documents(spark.createDataFrame([(doc_id, "one two " * 50)], "doc_id long, text string"))
+    assert len(learned) == len(ids) and all(weights is not None for weights in learned)
+
+
 def stream(seed, texts=60, words=50):
     """Texts in which every word tells the next."""
     draw = np.random.default_rng(seed)
