@@ -38,6 +38,9 @@ WORDS = 5
 BANDS = 25
 ROWS = 5
 MISS = 1e-6
+# Near copies in general, where no contract names a threshold; a pair at 0.8 shares no band with probability 6e-7.
+GENERAL_THRESHOLD = 80
+GENERAL_BANDS = 36
 CELLS = 1 << 16
 _SHINGLES_AT_ONCE = 4096
 
@@ -274,9 +277,9 @@ def near_duplicates(
     )
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, threshold: int = GENERAL_THRESHOLD, bands: int = GENERAL_BANDS) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with the columns they have; one row of each repeated id."""
-    found = cut_lineage(near_duplicates(docs), "near-duplicates")
+    found = cut_lineage(near_duplicates(docs, threshold, bands=bands), "near-duplicates")
     copies = found.filter("not kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
     rest = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     repeated = cut_lineage(

@@ -1,6 +1,7 @@
 from collections import Counter
 from itertools import combinations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import lowered, prose, words_of  # noqa: F401
@@ -79,6 +80,19 @@ def test_only_one_row_of_an_id_and_no_copy_stays(odd):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 5, 6, 8] and ids.count(None) == 2
 
 
+def test_stage_against_brute_force_at_the_general_threshold(spark, documents, texts):
+    base, own = prose(5, 200).split(), dict(texts)
+    for doc, changes in ((900_001, 0), (900_002, 3), (900_003, 4), (900_004, 6)):
+        changed = list(base)
+        for at in range(changes):
+            changed[20 + 30 * at] = f"new{doc}x{at}"
+        own[doc] = " ".join(changed)
+    wanted = {doc for doc, row in expected(own, 80).items() if row[2]}
+    assert wanted != {doc for doc, row in expected(own, 85).items() if row[2]}
+    frame = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    assert {row["doc_id"] for row in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == wanted
+
+
 def test_empty(nothing):
     assert near_duplicates(nothing).count() == 0 and without_copies(nothing).count() == 0
 

@@ -42,3 +42,12 @@ def test_nothing_else_imports_the_subpackage():
         "    if not m.name.startswith('millrace.llm'): importlib.import_module(m.name)\n"
     )
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(corpus_pipeline.__file__), check=False).returncode == 0
+
+
+def test_the_flow_drops_near_copies_from_four_fifths(spark, documents):
+    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    left = quality.without_rejected(documents)
+    kept = {r["doc_id"] for r in near_dedup.near_duplicates(left, 80).filter("kept").collect()}
+    left = decontaminate.without_contaminated(left.filter(left.doc_id.isin(kept)), benchmark)
+    wanted = bestfit.best_fit(bestfit.token_counts(secrets.redacted(left))).collect()
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, wanted))
