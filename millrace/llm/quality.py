@@ -7,7 +7,8 @@ overall has it in at least one batch, so one pass proposes the words and a
 second counts them exactly; nothing depends on how the rows are dealt out.
 
 A document is compared with every reference by Jensen-Shannon distance (base 2)
-and judged by the nearest. Short documents make noisy histograms and are passed.
+and judged by the nearest. Short documents make noisy histograms and are passed, and
+so are documents in a language with too few words for a reference of its own.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
 
 COMMON = 0.002
-LANGUAGE_SHARE = 0.01
+# Fewer words make a reference that strays from its language by more than WORD_NOISE / sqrt(REFERENCE_WORDS) = 0.04.
+REFERENCE_WORDS = 2000
+MOST_LANGUAGES = 1000
 GUARD_CHARACTERS = 200
 GUARD_WORDS = 40
 # A histogram of n draws strays from its source by about 1 / sqrt(n).
@@ -123,11 +126,11 @@ class Reference:
         return js_distance(classes, self.classes), js_distance(counts, self.shares)
 
 
-def language_references(docs: DataFrame, common: float = COMMON, share: float = LANGUAGE_SHARE) -> list[Reference]:
-    """References of the languages that label at least ``share`` of the documents with text.
+def language_references(docs: DataFrame, common: float = COMMON, least: int = REFERENCE_WORDS) -> list[Reference]:
+    """References of the languages whose documents hold at least ``least`` words, whatever their share.
 
-    At most ``1 / share`` languages of at most ``1 / common`` words each, so the
-    result fits the driver whatever the input.
+    At most ``MOST_LANGUAGES`` languages, more raise an error, of at most ``1 / common``
+    words each, so the result fits the driver whatever the input.
     """
     known = docs.filter("lang is not null and text is not null").select("lang", "text")
 
@@ -156,8 +159,9 @@ def language_references(docs: DataFrame, common: float = COMMON, share: float =
         "language-words",
     )
     heads = surveyed.filter("word is null")
-    labelled = heads.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    kept = {row["lang"]: row for row in heads.filter(F.col("docs") >= share * labelled).collect()}
+    kept = {row["lang"]: row for row in heads.filter(F.col("total") >= least).limit(MOST_LANGUAGES + 1).collect()}
+    if len(kept) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages have {least} words")
     proposals: dict[str, set[bytes]] = {lang: set() for lang in kept}
     for row in surveyed.filter(F.col("word").isNotNull() & F.col("lang").isin(list(kept))).select("lang", "word").collect():
         proposals[row[0]].add(bytes(row[1]))
@@ -201,13 +205,14 @@ def nearest(text: bytes, references: list[Reference]) -> tuple[str | None, float
     return best
 
 
-def judge(text: bytes | None, references: list[Reference], cache: WordHashes) -> tuple:
-    """The row of measurements and verdicts of one text."""
+def judge(text: bytes | None, label: str | None, references: list[Reference], cache: WordHashes) -> tuple:
+    """The row of measurements and verdicts of one text; ``label`` is its language if known."""
     text = text or b""
     counts = base_counts(text, cache)
     failed = counts[0] < MIN_WORDS or 100 * counts[4] > REPEAT_PERCENT * counts[0]
     lang, by_class, by_word = None, None, None
-    if counts[0] >= GUARD_WORDS and counts[1] >= GUARD_CHARACTERS:
+    comparable = label is None or any(reference.lang == label for reference in references)
+    if comparable and counts[0] >= GUARD_WORDS and counts[1] >= GUARD_CHARACTERS:
         lang, by_class, by_word = nearest(text, references)
     allowed = MAX_WORD_DISTANCE + WORD_NOISE / max(1, counts[0]) ** 0.5
     diverges = by_class is not None and (by_class > MAX_CLASS_DISTANCE or by_word > allowed)
@@ -224,9 +229,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the distances for every row of ``docs`` (doc_id, text, lang).
 
     A null text counts as empty: no words, so base_failed. Distances are null
-    below the length guards or without references, and such documents pass the
-    method. Languages are only used to build references: rows without one are
-    judged like the rest. Repeated rows each give a row; an empty table an empty
+    below the length guards and where the document's language has no reference,
+    and such documents pass the method. Rows without a language are judged by the
+    nearest reference like the rest. Repeated rows each give a row; an empty table an empty
     result. No other columns are read.
     """
     references = language_references(docs)
@@ -237,21 +242,22 @@ def quality_report(docs: DataFrame) -> DataFrame:
         cache = WordHashes()
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 2
         for batch in batches:
-            rows = [judge(text, references, cache) for text in texts_of(batch, 1)]
+            rows = [judge(t, label, references, cache) for t, label in zip(texts_of(batch, 1), ids_of(batch, 2), strict=True)]
             columns = [pa.array([row[i] for row in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *fields.fieldNames()])
 
-    return docs.select("doc_id", "text").mapInArrow(report, f"doc_id {kind}, {RESULT}")
+    return docs.select("doc_id", "text", "lang").mapInArrow(report, f"doc_id {kind}, {RESULT}")
 
 
 def without_rejected(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns they have."""
     references = language_references(docs)
-    at = docs.columns.index("text")
+    at, by = docs.columns.index("text"), docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            yield batch.filter(pa.array([judge(text, references, cache)[6] for text in texts_of(batch, at)], pa.bool_()))
+            judged = [judge(t, label, references, cache) for t, label in zip(texts_of(batch, at), ids_of(batch, by), strict=True)]
+            yield batch.filter(pa.array([row[6] for row in judged], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

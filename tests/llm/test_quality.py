@@ -70,3 +70,16 @@ def test_odd_rows_and_empty(odd, nothing):
             assert (row["n_words"], row["base_failed"], row["kept"], row["class_distance"]) == (0, True, False, None)
     assert without_rejected(odd).columns == odd.columns
     assert quality_report(nothing).count() == 0 and without_rejected(nothing).count() == 0
+
+
+def test_languages_of_a_small_share_are_not_rejected(spark):
+    draw = np.random.default_rng(6)
+    stock = {lang: [f"{lang}{chr(97 + i)}{chr(97 + i % 7)}" for i in range(20)] for lang in ("big", "small", "tiny")}
+    rows = []
+    for lang, number in (("big", 6000), ("small", 40), ("tiny", 2)):
+        rows += [(len(rows) + i, " ".join(draw.choice(stock[lang], 80)), lang) for i in range(number)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    report = quality_report(frame).collect()
+    assert all(row["kept"] for row in report) and without_rejected(frame).count() == len(rows)
+    assert {row["reference_lang"] for row in report[6000:6040]} == {"small"}
+    assert [(row["reference_lang"], row["word_distance"]) for row in report[6040:]] == [(None, None)] * 2
