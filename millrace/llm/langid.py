@@ -27,7 +27,8 @@ BUCKETS = 1 << 15
 ORDERS = 3
 FOLDS = 5
 SAMPLE = 1000
-LANGUAGE_SHARE = 0.001
+# Every language with a labelled training text is a class; more than these are an error.
+MOST_LANGUAGES = 1000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
 UNKNOWN = "und"
@@ -151,14 +152,13 @@ def _survey(training: DataFrame) -> tuple[dict[str, int], np.ndarray]:
         training.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")),
         "ngram-documents",
     )
-    total = counted.filter("lang is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # At most 1 / LANGUAGE_SHARE languages and BUCKETS buckets.
-    rows = counted.filter(F.col("lang").isNull() | (F.col("n") >= LANGUAGE_SHARE * total)).collect()
+    langs = counted.filter("lang is not null").select("lang", "n").limit(MOST_LANGUAGES + 1).collect()
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages label documents")
     frequency = np.zeros(BUCKETS)
-    for row in rows:
-        if row["lang"] is None:
-            frequency[row["bucket"]] = row["n"]
-    return {row["lang"]: row["n"] for row in rows if row["lang"] is not None}, frequency
+    for bucket, n in counted.filter("lang is null").select("bucket", "n").collect():
+        frequency[bucket] = n
+    return dict(map(tuple, langs)), frequency
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -166,6 +166,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     Learns from rows with a language whose id is not in fold 0. About ``sample``
     documents of each language, chosen by the hash of their ids, reach the fit.
+    Every language is a class, however small its share; more than
+    ``MOST_LANGUAGES`` raise an error.
     """
     training = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder(F.col("doc_id")) != 0))
     langs, frequency = _survey(training.select("lang", "text"))

@@ -30,6 +30,17 @@ def test_language_of_odd_rows(spark, odd, nothing):
     assert tuple(langid.identify(unlabelled).first())[2:] == ("und", 0.0)
 
 
+def test_a_small_language_beside_a_large_one_is_learned(spark, monkeypatch):
+    rows = [(i, f"the river and the stone {i} walks over the house", "en") for i in range(20_000)]
+    rows += [(50_000 + i, "żółć gęślą jaźń chrząszcz brzmi w trzcinie", "pl") for i in range(16)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(frame, 20).filter("doc_id >= 50000").collect()
+    assert len(found) == 16 and {row["lang_pred"] for row in found} == {"pl"}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 language"):
+        langid.train(frame)
+
+
 def test_prediction_reads_the_text_only(documents):
     model = langid.train(documents)
     shifted = documents.selectExpr("doc_id + 100000 as doc_id", "text", "'xx' as lang")
