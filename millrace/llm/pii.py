@@ -2,7 +2,7 @@
 
 Valid e-mail addresses, IP addresses, card numbers and telephone numbers are the
 seeds. The words beside a seed are lexical patterns; the same words beside other
-tokens with digits or ``@`` connect patterns and instances in a graph. Each round
+tokens with digits, ``@``, ``(at)`` or ``[at]`` connect patterns and instances in a graph. Each round
 scores a pattern by the share of its instances known to be of one kind, and an
 instance by the patterns it stands in (noisy or). Patterns with enough
 support and confidence name the unseen identifiers beside them, which then
@@ -28,8 +28,9 @@ CARD_PATTERN = r"[0-9](?:[\x20-]?+[0-9]){12}(?:[\x20-]?+[0-9])*+"
 PHONE_PATTERN = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-# A run without spaces that holds a digit or @, with the digit groups that follow it.
-TOKEN_PATTERN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9()+.-]++(?!\S))*+"
+SPELT_AT = r"(?i:\(at\)|\[at\])"
+# A run without spaces that holds a digit or @, with the digit groups that follow it, or one with a spelt @.
+TOKEN_PATTERN = rf"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9()+.-]++(?!\S))*+|\S*?{SPELT_AT}\S*+)"
 EDGE_MARKS = r"^[\"'(\[<{,;:.!?]++|[\"')\]>},;:.!?]++$"
 CONTEXT_CHARACTERS = 80
 
@@ -78,7 +79,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Tokens with a digit or @: value, start, and the text on both sides."""
+    """Tokens with a digit, @ or a spelt @: value, start, and the text on both sides."""
     found = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
     gaps = F.split(text, TOKEN_PATTERN, -1)
     near = F.lit(CONTEXT_CHARACTERS)
@@ -180,7 +181,7 @@ def personal_data(
         "doc_id",
         F.xxhash64(text).alias("text_hash"),
         base_spans(text).alias("base"),
-        F.when(text.rlike("[0-9@]"), _tokens(text)).alias("tokens"),
+        F.when(text.rlike(f"[0-9@]|{SPELT_AT}"), _tokens(text)).alias("tokens"),
     )
     found = cut_lineage(searched, "pii-spans")
     occurrences = cut_lineage(_occurrences(found), "pii-tokens")

@@ -134,3 +134,12 @@ def test_main_paths_run_no_python(odd):
     for frame in (pii.personal_data(odd), secrets.find_secrets(odd)):
         plan = frame._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_addresses_with_a_spelt_at_are_discovered(spark):
+    names = "ann ben cleo dan eve finn gus hana ian judy kim leo".split()
+    rows = [(i, f"please contact {name}@example.org today") for i, name in enumerate(names)]
+    rows += [(100, "please contact jane(at)example.com today"), (101, "please contact Joe[AT]example.com.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {row["doc_id"]: [tuple(span) for span in row["found"]] for row in pii.personal_data(frame).collect()}
+    assert found[100] == [(0, 15, 34)] and found[101] == [(0, 15, 33)]
