@@ -13,7 +13,7 @@ def test_stages_apply_their_operators_to_what_was_kept(spark, documents):
     left = documents
     kept = {r["doc_id"] for r in quality.quality_report(left).filter("kept").collect()}
     left = left.filter(left.doc_id.isin(kept))
-    kept = {r["doc_id"] for r in near_dedup.near_duplicates(left).filter("kept").collect()}
+    kept = {r["doc_id"] for r in near_dedup.near_duplicates(left, near_dedup.GENERAL_THRESHOLD, bands=near_dedup.GENERAL_BANDS).filter("kept").collect()}
     left = left.filter(left.doc_id.isin(kept))
     hit = {r["doc_id"] for r in decontaminate.benchmark_hits(left, benchmark).filter("contaminated").collect()}
     left = left.filter(~left.doc_id.isin(hit)) if hit else left
