@@ -12,7 +12,10 @@ from millrace.catalog.bindings import load
 import corpus_pipeline
 from millrace.llm import (
     bestfit,
+    collocations,
     decontaminate,
+    fim,
+    hashtree,
     langid,
     lm,
     near_dedup,
@@ -24,6 +27,8 @@ from millrace.llm import (
     urlfilter,
 )
 
+SHARDS = 40
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -106,6 +111,22 @@ def op10_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.parsed(turns)
 
 
+@partial(query, oracle=oracles.HASH_TREE)
+def op11_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return hashtree.assigned(documents, hashtree.even_tree(SHARDS), hashtree.even_tree(SHARDS + 1, built=SHARDS))
+
+
+@partial(query, oracle=oracles.FILL_IN_MIDDLE)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@partial(query, oracle=oracles.COLLOCATIONS)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

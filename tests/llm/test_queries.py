@@ -13,4 +13,4 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_dealt_operator_has_one_query():
     numbers = [int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in QUERIES
