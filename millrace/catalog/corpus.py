@@ -8,7 +8,7 @@ from millrace.catalog.bindings import LENGTHS, SAMPLES, bind
 from millrace.catalog.registry import query
 from millrace.catalog.text import DATA_JSON, GRAPH_JSON, SAMPLES_MORE
 from millrace.functions import templates
-from millrace.operators import filters, packing, prompts, sharding
+from millrace.operators import filters, ordered_packing, packing, prompts, sharding
 from millrace.operators.ordered import spread, with_positions
 from millrace.operators.tokens import tokenise, training_rows
 from millrace.session import cut_lineage
@@ -279,11 +279,11 @@ def labels_all_masked(spark, sf_dir):
     return _short_tokens(spark, sf_dir).select("row_id", filters.all_masked("labels").alias("masked"))
 
 
-def packing_sql(source: str, max_length: int) -> str:
-    """Rule-by-rule fold over the rows of each unit, for checking."""
+def packing_sql(source: str, max_length: int, order: str = "seq_length, row_id") -> str:
+    """Rule-by-rule fold over the rows of each unit in ``order``, for checking."""
     capacity = max_length * packing.BUFFER_FACTOR
     return f"""
-ranked as (select *, row_number() over (partition by part, split order by seq_length, row_id) as rn from {source}),
+ranked as (select *, row_number() over (partition by part, split order by {order}) as rn from {source}),
 fold as (
   select part, split, rn, row_id, seq_length, cast(0 as bigint) as buffer, cast(seq_length as bigint) as held,
          cast(0 as bigint) as bin, cast(0 as bigint) as pos,
@@ -334,6 +334,26 @@ STATS = """select part, split, count(*) as input_rows, count(*) filter (pos = 0)
   round(count(*) filter (pos = 0) / count(*), 6) as ratio"""
 
 
+@query(
+    "packing_plan_in_order",
+    f"with recursive v as ({LENGTHS}), {packing_sql('v', PACK_LENGTH, 'row_id')} "
+    "select row_id, part, split, seq_length, buffer, bin, pos, residual from plan",
+)
+def packing_plan_in_order(spark, sf_dir):
+    return ordered_packing.plan_in_order(bind(spark, sf_dir, LENGTHS), PACK_LENGTH)
+
+
+@query(
+    "packing_statistics_in_order",
+    f"""with recursive v as (select row_id, 0 as part, 0 as split, seq_length from ({LENGTHS})),
+    {packing_sql('v', PACK_LENGTH, 'row_id')} {STATS} from plan group by rollup (part, split)""",
+)
+def packing_statistics_in_order(spark, sf_dir):
+    """All rows as one unit, in the order of their ids."""
+    rows = bind(spark, sf_dir, f"select row_id, 0 as part, 0 as split, seq_length from ({LENGTHS})")
+    return packing.packing_stats(ordered_packing.plan_in_order(rows, PACK_LENGTH))
+
+
 @query(
     "packing_statistics",
     f"with recursive {LENGTH_PLAN} {STATS} from plan group by rollup (part, split)",
