@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from millrace.catalog.bindings import LENGTHS, bind
 from millrace.catalog.corpus import array_digest
 from millrace.catalog.registry import query
-from millrace.operators import batches
+from millrace.operators import batches, permutation
+from millrace.operators.ordered import id_bucket, with_positions
+from millrace.session import cut_lineage
 
 RANKS, SIZE, SEED = 7, 12, 42
 
@@ -89,6 +91,74 @@ def resume_offsets(spark, sf_dir):
     return offsets.select("*", batches.epoch_start(offsets, F.lit(1)).alias("start_of_epoch_1"))
 
 
+def permuted_sql(epochs: int, ranks: int, drop_last: bool = False) -> str:
+    """The rounds of the permutation, one a step; a row outside goes on with round 0."""
+    keys = ", ".join(
+        f"({epoch}, {turn}, {a}, {b}, {c})"
+        for epoch in range(epochs)
+        for turn, (a, b, c) in enumerate(permutation.round_keys(SEED, epoch))
+    )
+
+    def mixed(side: str) -> str:
+        linear = f"(({side} % {permutation.PRIME} * a + b) % {permutation.PRIME})"
+        return f"(({linear} * {linear} + c) % {permutation.PRIME})"
+
+    rounds = f"floor(n / {ranks}.0)" if drop_last else f"ceil(n / {ranks}.0)"
+    return f"""
+keys(epoch, turn, a, b, c) as (values {keys}),
+v as (select row_id, part, row_number() over (order by row_id) - 1 as number, count(*) over () as n from ({LENGTHS})),
+sized as (select *, cast(floor(sqrt(n - 1)) as bigint) + 1 as height from v),
+walk as (
+  select e.epoch, number, n, height, cast(ceil(n / height) as bigint) as width, number // cast(ceil(n / height) as bigint) as x,
+    number % cast(ceil(n / height) as bigint) as y, 0 as turn from sized cross join (select distinct epoch from keys) e
+  union all
+  select w.epoch, number, n, height, width, case when k.turn % 2 = 0 then (x + {mixed("y")}) % height else x end,
+    case when k.turn % 2 = 1 then (y + {mixed("x")}) % width else y end, k.turn + 1
+  from walk w join keys k on k.epoch = w.epoch
+    and k.turn = case when w.turn = {permutation.ROUNDS} and x * width + y >= n then 0 else w.turn end),
+placed as (select epoch, number, n, x * width + y as p from walk where turn = {permutation.ROUNDS} and x * width + y < n),
+wrapped as (select *, p as place from placed union all select *, p + n from placed),
+dealt as (select v.row_id, v.part, v.number as row_number, cast(epoch as int) as epoch, cast(place % {ranks} as int) as rank,
+  place // {ranks} as rank_pos, cast({rounds} as bigint) as rank_rows
+  from wrapped join (select row_id, part, number from v) v using (number) where place < {rounds} * {ranks})
+"""
+
+
+def _numbered(spark, sf_dir):
+    """The rows with their stored numbers, and how many they are."""
+    rows = bind(spark, sf_dir, LENGTHS).select("row_id", "part")
+    stored = cut_lineage(with_positions(rows, [], ["row_id"], id_bucket("row_id"), "row_number"), "numbered-rows")
+    return stored, stored.count()
+
+
+@query("permuted_shards", f"with recursive {permuted_sql(2, RANKS)} select * from dealt")
+def permuted_shards(spark, sf_dir):
+    rows, count = _numbered(spark, sf_dir)
+    return permutation.permuted_shards(rows, count, RANKS, 2, seed=SEED)
+
+
+@query(
+    "permuted_epochs_resumed",
+    f"""with recursive {permuted_sql(3, RANKS, True)} select row_id, part, row_number, epoch, rank,
+      case when epoch = 1 then rank_pos - {SIZE} else rank_pos end as rank_pos,
+      case when epoch = 1 then greatest(rank_rows - {SIZE}, 0) else rank_rows end as rank_rows
+    from dealt where epoch >= 1 and (epoch > 1 or rank_pos >= {SIZE})""",
+)
+def permuted_epochs_resumed(spark, sf_dir):
+    rows, count = _numbered(spark, sf_dir)
+    return permutation.permuted_shards(rows, count, RANKS, 3, seed=SEED, drop_last=True, start_index=SIZE, resume_epoch=1)
+
+
+@query(
+    "rows_left_of_a_rank",
+    f"with recursive {permuted_sql(1, RANKS)} select row_id, row_number, rank_pos from dealt where rank = 3 and rank_pos >= {SIZE}",
+)
+def rows_left_of_a_rank(spark, sf_dir):
+    rows, count = _numbered(spark, sf_dir)
+    left = permutation.numbers_left(spark, count, RANKS, 3, 0, SEED, SIZE)
+    return rows.join(left, "row_number").select("row_id", "row_number", "rank_pos")
+
+
 def padded_sql(side: str, width: str) -> str:
     def filled(values: str, pad: str) -> str:
         gap = f"list_transform(range({width} - len({values})), lambda i: {pad})"
