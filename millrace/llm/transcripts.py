@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.arrow import arrow_function
-from millrace.operators.ordered import whole, with_positions
+from millrace.operators.ordered import whole, with_positions, with_range_bucket
 from millrace.session import cut_lineage
 
 ROLES = ("system", "user", "assistant")
@@ -63,19 +63,26 @@ def observation(line: Column) -> Column:
 def numbered_lines(turns: DataFrame) -> DataFrame:
     """One row for every line of ``turns`` (conv_id, turn, text and others), the ``line`` of ``lines`` in the conversation.
 
-    A null text is one empty line. Null ids are one conversation; null turns come first.
+    A null text is one empty line. Null ids are one conversation; null turns come
+    first. Texts of one turn follow each other whole, in the order of a hash; equal
+    texts of one turn in no fixed order. A turn of many lines, or many texts of one
+    turn, are numbered in blocks of a range each.
     """
     others = [name for name in turns.columns if name not in ("conv_id", "turn", "text")]
     split = turns.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conversation"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
+        F.xxhash64("text").alias("_text"),
+        # Tells equal texts apart.
+        F.monotonically_increasing_id().alias("_row"),
         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "text"),
         "conv_id",
         *others,
     )
-    return with_positions(
-        split, ["conversation"], ["turn", "at", "text"], whole(F.col("turn"), F.lit(TURN_BUCKET)), position="line", count="lines"
-    )
+    order = ["turn", "_text", "_row", "at"]
+    ranged = with_range_bucket(split, "conversation", *order)
+    placed = with_positions(ranged, ["conversation"], order, F.col("range_bucket"), position="line", count="lines")
+    return placed.drop("_text", "_row", "range_bucket")
 
 
 @dataclass
@@ -263,8 +270,8 @@ def parsed(turns: DataFrame, folds: int = 5) -> DataFrame:
     conv_id, line, turn, role (as given), held_out, found_turn, found_role and
     segment. The chain is counted on conversations whose id's crc32 is not 0
     modulo ``folds``; roles serve nothing else, so they may be null or unknown.
-    Texts may be null (one empty line); null ids are one conversation; repeated
-    rows are lines of their own, in the order of their text. Without labelled
+    Texts may be null (one empty line); null ids are one conversation; texts of
+    one turn follow each other whole. Without labelled
     lines all paths are equally likely and the first states win. An empty table
     gives an empty result. Other columns are not read.
     """

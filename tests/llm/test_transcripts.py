@@ -75,3 +75,48 @@ def test_odd_rows_and_empty(spark):
     found = transcripts.parsed(frame)
     assert found.count() == 8 and not found.filter("found_role is null or segment is null").count()
     assert transcripts.parsed(frame.limit(0)).count() == 0
+
+
+def test_texts_of_one_turn_stay_whole(spark):
+    texts = ["alpha one\nalpha two", "beta one\nbeta two", "same\nlines", "same\nlines", None]
+    rows = [(1, 0, "user", text) for text in texts] + [(1, 1, "user", "last"), (None, None, None, "x\ny"), (None, None, None, "z\nw")]
+    lines = transcripts.numbered_lines(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    by_conversation = {}
+    for row in sorted(lines, key=lambda r: r["line"]):
+        by_conversation.setdefault(row["conv_id"], []).append(row["text"])
+    assert sorted(r["line"] for r in lines if r["conv_id"] == 1) == list(range(10))
+    joined = "\n".join(by_conversation[1]) + "\n"
+    for text in texts[:2]:
+        assert text in joined
+    assert joined.count("same\nlines\n") == 2 and by_conversation[1][-1] == "last" and "" in by_conversation[1]
+    assert "\n".join(by_conversation[None]) in ("x\ny\nz\nw", "z\nw\nx\ny")
+
+
+def test_a_turn_of_many_lines_is_many_tasks(spark):
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    frame = spark.createDataFrame([(1, 0, "user", text)], SCHEMA)
+    # Ranges of a few kilobytes would be joined again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = transcripts.numbered_lines(frame).withColumn("task", F.spark_partition_id())
+        assert lines.groupBy("task").count().filter("count > 50000").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert lines.filter(F.col("text") != F.concat(F.lit("line "), F.col("line").cast("string"))).count() == 0
+
+
+def test_unmarked_lines_of_held_out_conversations(spark):
+    turns = marked_turns(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    lines = transcripts.numbered_lines(turns).select("conv_id", "line", transcripts.marker_of(F.col("text")).alias("marker"))
+    found = transcripts.parsed(turns).filter("held_out").join(lines, ["conv_id", "line"]).filter("marker = 0").collect()
+    # No marker tells: the chain and the lengths alone decide.
+    assert len(found) > 50 and np.mean([row["role"] == row["found_role"] for row in found]) > 0.6
+
+
+def test_markers_against_the_role(spark):
+    talk = [(0, "user", "User: ask"), (1, "assistant", "Assistant: reply"), (2, "user", "User: more"), (3, "assistant", "Assistant: done")]
+    train = [(c, *turn) for c in range(2, 60) for turn in talk]
+    # The last turn is labelled user but marked as the assistant's: the marker is what a reader sees.
+    asked = [(1, 0, "user", "User: ask"), (1, 1, "user", "Assistant: reply")]
+    rows = transcripts.parsed(spark.createDataFrame(asked + train, SCHEMA)).filter("conv_id = 1").orderBy("line").collect()
+    assert [row["found_role"] for row in rows] == ["user", "assistant"] and [row["role"] for row in rows] == ["user", "user"]
