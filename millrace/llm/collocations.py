@@ -14,74 +14,80 @@ exactly, by their words.
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from millrace.llm.words import texts_of, window_hashes
+from millrace.llm.words import window_hashes
 from millrace.session import cut_lineage
 
 LEAST, LONGEST, FIRST_ROWS = 100, 5, 2000
 OVERLAP = LONGEST - 1
-EVERY = 16
+EVERY = 32
 NO_LANGUAGE = "und"
-BREAKS = re.compile(rb"[.,;:!?\n\x0b\x0c\r][ \t.,;:!?\n\x0b\x0c\r]*")
-# A break character, so no word: stands between pieces.
-BREAK = b"."
-HELD_CHUNKS = 100_000
-HELD_PHRASES = 300_000
-HELD_WORDS = 200_000
-# Counters of the sieve for each length of phrase: a power of two, about one for each word up to the most.
+# What ends a piece, as a run with blanks; in the stream of words a break stands for it, which is no word itself.
+BREAKS = r"[.,;:!?\n\x0B\f\r][ \t.,;:!?\n\x0B\f\r]*"
+BREAK = "."
+TEXT_BYTES = 4_000_000
+# Counters of the sieve for each length, as a power of two: about one for each word of the dictionary, within bounds.
 SIEVE_LEAST, SIEVE_MOST = 16, 23
-SIEVE_BLOCK = 1 << 14
+SIEVE_BLOCK = 1 << 18
+COPIES = 8
 FANOUT = 64
 SALTS = 16
-_MIX = np.uint64(0xD6E8FEB86659FD93)
+_MIX, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+_DRAWS = np.random.default_rng(13).integers(0, 1 << 64, 256, np.uint64)
 
 
-def stream_of(text: bytes | None) -> list[bytes]:
-    """The lower-cased words of ``text``, with a break between pieces."""
-    return BREAKS.sub(b" . ", (text or b"").lower()).split()
+def streams(texts: pa.Array) -> pa.ListArray:
+    """The lower-cased words of each text, with a break between pieces; null for a text without any."""
+    marked = pc.replace_substring_regex(pc.ascii_lower(texts), BREAKS, f" {BREAK} ")
+    marked = pc.ascii_trim(marked, " \t")
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(marked, ""), pa.scalar(None, pa.string()), marked))
 
 
-class Numbers(dict):
-    """Number of a word, in order of arrival, and the hash of each."""
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column side by side, and where each value begins, with their end."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data, (offsets - offsets[0]).astype(np.int64)
 
-    def __init__(self):
-        super().__init__()
-        self.words: list[bytes] = []
-        self.hashes = np.zeros(1 << 10, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self.words)
-        self.words.append(word)
-        if at == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[at] = xxh3_64_intdigest(word)
-        return at
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each of some words, none empty: its bytes' draws weighted by powers of their places."""
+    data, offsets = bytes_of(words)
+    lengths = np.diff(offsets)
+    powers = np.multiply.accumulate(np.full(int(lengths.max(initial=0)), _MIX))
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], lengths)
+    sums = np.add.reduceat(_DRAWS[data] * powers[place], offsets[:-1]) if len(words) else np.zeros(0, np.uint64)
+    return (sums ^ sums >> _SHIFT) * _MIX
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def full(self) -> bool:
-        return len(self.words) > HELD_WORDS
+def chunk_bounds(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and number of own places of each chunk of streams that lie side by side between ``bounds``."""
+    windows = window_hashes(hashes, OVERLAP)
+    cuts = np.flatnonzero(windows % np.uint64(EVERY) == 0)
+    ends = bounds[np.searchsorted(bounds, cuts, "right")]
+    starts = np.union1d(bounds[:-1][np.diff(bounds) > 0], cuts[cuts + OVERLAP <= ends])
+    following = np.append(starts[1:], len(hashes))
+    ends = bounds[np.searchsorted(bounds, starts, "right")]
+    return starts, np.minimum(following + OVERLAP, ends), np.minimum(following, ends) - starts
 
 
-def chunk_bounds(hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Start, end and number of own places of each chunk of a stream of word hashes."""
-    windows = window_hashes(hashes, OVERLAP)
-    starts = np.flatnonzero(windows % np.uint64(EVERY) == 0).tolist()
-    starts = [0, *[start for start in starts if start]]
-    for start, following in zip(starts, starts[1:], strict=False):
-        yield start, following + OVERLAP, following - start
-    yield starts[-1], len(hashes), len(hashes) - starts[-1]
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """``texts`` in runs of about ``TEXT_BYTES``, with the place of the first."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + TEXT_BYTES, "right")))
+        yield start, texts.slice(start, end - start)
+        start = end
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -89,72 +95,85 @@ def dictionary(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        numbers = Numbers()
-
-        def flush() -> pa.RecordBatch:
-            langs, own, chunks = zip(*held, strict=True) if held else ((), (), ())
-            columns = [pa.array(langs, pa.string()), pa.array(own, pa.int64()), pa.array(chunks, pa.binary())]
-            rows = pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.int64())], names)
-            held.clear()
-            return rows
-
-        names = ["lang", "own", "chunk", "n"]
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
-                words = stream_of(text)
-                if not words:
+            for first, texts in slices(batch.column(1)):
+                lists = streams(texts)
+                words = lists.flatten()
+                if not len(words):
                     continue
-                if numbers.full():
-                    numbers = Numbers()
-                own_numbers = numbers.of(words)
-                for start, end, own in chunk_bounds(numbers.hashes[own_numbers]):
-                    held[name, own, b" ".join(words[start:end])] += 1
-                if len(held) > HELD_CHUNKS:
-                    yield flush()
-        yield flush()
+                bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                starts, ends, own = chunk_bounds(hashes_of(words), bounds)
+                rows = first + np.searchsorted(bounds, starts, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(own), joined(words, starts, ends - starts)], ["lang", "own", "chunk"]
+                )
 
-    rows = docs.select(lang.alias("lang"), "text").mapInArrow(parse, "lang string, own long, chunk binary, n long")
-    return rows.groupBy("lang", "own", "chunk").agg(F.sum("n").alias("n"))
+    rows = docs.select(lang.alias("lang"), "text").mapInArrow(parse, "lang string, own long, chunk string")
+    return rows.groupBy("lang", "own", "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Places:
     """The words of many chunks side by side, and what may begin at each place."""
 
-    def __init__(self, batch: pa.RecordBatch, numbers: Numbers):
+    def __init__(self, batch: pa.RecordBatch):
         langs = batch.column(0).dictionary_encode()
         self.langs = langs.dictionary.to_pylist()
-        own, counts = (batch.column(i).to_numpy() for i in (1, 3))
-        chunks = [chunk.split(b" ") for chunk in batch.column(2).to_pylist()]
-        lengths = np.array([len(chunk) for chunk in chunks], np.int64)
-        self.words = [word for chunk in chunks for word in chunk]
-        self.numbers = numbers.of(self.words)
-        hashes = numbers.hashes[self.numbers]
-        starts = np.cumsum(lengths) - lengths
-        chunk_of = np.repeat(np.arange(len(chunks)), lengths)
+        own, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3))
+        chunks = pc.split_pattern(batch.column(2), " ")
+        self.words = chunks.flatten()
+        self.hashes = hashes_of(self.words)
+        lengths = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        chunk_of = np.repeat(np.arange(len(lengths)), lengths)
         at = np.arange(len(self.words))
-        self.lang = langs.indices.to_numpy()[chunk_of]
+        self.lang = langs.indices.to_numpy(zero_copy_only=False)[chunk_of]
         self.count = counts[chunk_of]
-        self.owned = at - starts[chunk_of] < own[chunk_of]
-        breaks = np.append(np.flatnonzero(self.numbers == numbers[BREAK]), len(self.words))
+        self.owned = at - (ends - lengths)[chunk_of] < own[chunk_of]
+        breaks = np.append(pc.indices_nonzero(pc.equal(self.words, BREAK)).to_numpy().astype(np.int64), len(at))
         following = breaks[np.searchsorted(breaks, at)]
         # Words from here to the next break or the end of the chunk.
-        self.room = np.minimum(following, (starts + lengths)[chunk_of]) - at
-        marks = np.array([hash_of_name(name) for name in self.langs], np.uint64)
-        self.hashes, self.marks = hashes, marks[self.lang]
-
-    def of_length(self, size: int) -> np.ndarray:
-        """Places where ``size`` words of one piece begin."""
-        return np.flatnonzero(self.room >= size)
-
-    def keys(self, size: int, at: np.ndarray, bits: int) -> np.ndarray:
-        """The sieve's counter for the phrases at ``at``."""
-        mixed = (window_hashes(self.hashes, size)[at] ^ self.marks[at]) * _MIX
-        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def hash_of_name(name: str) -> int:
-    return xxh3_64_intdigest(name.encode())
+        self.room = np.minimum(following, ends[chunk_of]) - at
+        self.marks = np.array([xxh3_64_intdigest(name) for name in self.langs], np.uint64)[self.lang]
+        self.numbers: np.ndarray | None = None
+
+    def by_length(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length up to LONGEST: the places where as many words of one piece begin, and the hashes of all windows."""
+        hashed = self.hashes ^ self.marks
+        for size in range(1, LONGEST + 1):
+            if size > 1:
+                hashed = hashed[:-1] ^ self.hashes[size - 1 :]
+            hashed = hashed * _MIX
+            hashed ^= hashed >> _SHIFT
+            yield size, np.flatnonzero(self.room >= size), hashed
+
+    def sums(self, size: int, at: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place and the total count of each phrase of ``size`` words at the places ``at``.
+
+        Places are grouped by hash and compared with the first of their group; one
+        that differs stands alone.
+        """
+        if self.numbers is None:
+            self.numbers = self.words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        _, first, group = np.unique(hashed[at], return_index=True, return_inverse=True)
+        likened = at[first][group]
+        same = self.lang[at] == self.lang[likened]
+        for i in range(size):
+            same &= self.numbers[at + i] == self.numbers[likened + i]
+        totals = np.zeros(len(first), np.int64)
+        np.add.at(totals, group[same], self.count[at[same]])
+        return np.append(at[first], at[~same]), np.append(totals, self.count[at[~same]])
+
+
+def joined(words: pa.Array, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The runs of ``words`` at ``starts``, each as one text."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(places))), " ")
+
+
+def counter(hashed: np.ndarray, bits: int) -> np.ndarray:
+    """The sieve's counter for a hash."""
+    return (hashed >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def sieve_bits(words: int) -> int:
@@ -162,30 +181,27 @@ def sieve_bits(words: int) -> int:
 
 
 def _sieve(chunks: DataFrame, bits: int, least: int) -> np.ndarray:
-    """For each length from 2 on, which counters reach ``least``; sums stop there or at 255, so a counter is one byte."""
+    """For each length, which counters reach ``least``; sums stop there or at 255, so a counter is one byte."""
     width, least = min(SIEVE_BLOCK, 1 << bits), min(least, 255)
     names, schema = ["level", "block", "copy", "counts"], "level int, block int, copy int, counts binary"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((LONGEST - 1, 1 << bits), np.uint32)
-        numbers, room = Numbers(), 0
+        held = np.zeros((LONGEST, 1 << bits), np.uint32)
+        added = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if numbers.full():
-                numbers = Numbers()
-            places = Places(batch, numbers)
-            room += len(places.words)
-            if room * least >= 1 << 31:
+            places = Places(batch)
+            added += len(places.words)
+            if added * least >= 1 << 31:
                 np.minimum(held, least, out=held)
-                room = len(places.words)
-            for level in range(LONGEST - 1):
-                at = places.of_length(level + 2)
+                added = len(places.words)
+            clipped = np.minimum(places.count, least).astype(np.uint32)
+            for size, at, hashed in places.by_length():
                 at = at[places.owned[at]]
-                counts = np.minimum(places.count[at], least).astype(np.uint32)
-                np.add.at(held[level], places.keys(level + 2, at, bits), counts)
-        rows = np.minimum(held, least).astype(np.uint8).reshape(LONGEST - 1, -1, width)
-        copy = TaskContext.get().partitionId() % FANOUT
+                np.add.at(held[size - 1], counter(hashed[at], bits), clipped[at])
+        rows = np.minimum(held, least).astype(np.uint8).reshape(LONGEST, -1, width)
+        copy = TaskContext.get().partitionId() % COPIES
         levels, blocks = np.nonzero(rows.any(axis=2))
         for start in range(0, len(levels), 64):
             some = list(zip(levels[start : start + 64].tolist(), blocks[start : start + 64].tolist(), strict=True))
@@ -217,10 +233,10 @@ def _sieve(chunks: DataFrame, bits: int, least: int) -> np.ndarray:
 
     some = chunks.select("lang", "own", "chunk", "n").mapInArrow(sums, schema)
     some = some.groupBy("level", "block", "copy").applyInArrow(partial, schema)
-    packed = np.zeros((LONGEST - 1, (1 << bits) // width, width // 8), np.uint8)
+    packed = np.zeros((LONGEST, (1 << bits) // width, width // 8), np.uint8)
     for found in some.groupBy("level", "block").applyInArrow(final, schema).collect():
         packed[found["level"], found["block"]] = np.frombuffer(found["counts"], np.uint8)
-    return packed.reshape(LONGEST - 1, -1)
+    return packed.reshape(LONGEST, -1)
 
 
 def phrase_counts(chunks: DataFrame, bits: int, least: int = LEAST) -> DataFrame:
@@ -229,58 +245,37 @@ def phrase_counts(chunks: DataFrame, bits: int, least: int = LEAST) -> DataFrame
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = shared.value
-        held: dict = defaultdict(int)
-        singles: dict = defaultdict(int)
-        numbers, names = Numbers(), ["lang", "phrase", "size", "f"]
-
-        def passes(level: int, keys: np.ndarray) -> np.ndarray:
-            return (reached[level, keys >> 3] >> (7 - (keys & 7)).astype(np.uint8)) & 1 == 1
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, words, size, n) for (lang, words, size), n in held.items()]
-            rows += [(lang, numbers.words[word], 1, n) for (lang, word), n in singles.items()]
-            totals: dict = defaultdict(int)
-            for (lang, _), n in singles.items():
-                totals[lang] += n
-            rows += [(lang, b"", 0, n) for lang, n in totals.items()]
-            held.clear()
-            singles.clear()
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            types = pa.string(), pa.binary(), pa.int32(), pa.int64()
-            arrays = [pa.array(values, kind) for values, kind in zip(columns, types, strict=True)]
-            arrays[1] = arrays[1].cast(pa.string())
-            return pa.RecordBatch.from_arrays(arrays, names)
+
+        def passes(size: int, keys: np.ndarray) -> np.ndarray:
+            return (reached[size - 1, keys >> 3] >> (7 - (keys & 7)).astype(np.uint8)) & 1 == 1
+
+        def rows(langs: pa.Array, phrases: pa.Array, size: int, f: np.ndarray) -> pa.RecordBatch:
+            columns = [langs, phrases, pa.array(np.full(len(f), size), pa.int32()), pa.array(f, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            places = Places(batch, numbers)
-            at = places.of_length(1)
-            at = at[places.owned[at]]
-            codes, inverse = np.unique(places.lang[at].astype(np.int64) << 40 | places.numbers[at], return_inverse=True)
-            sums = np.zeros(len(codes), np.int64)
-            np.add.at(sums, inverse, places.count[at])
-            for code, n in zip(codes.tolist(), sums.tolist(), strict=True):
-                singles[places.langs[code >> 40], code & ((1 << 40) - 1)] += n
+            places = Places(batch)
+            langs = pa.array(places.langs, pa.string())
             before = np.ones(len(places.words) + 1, bool)
-            for size in range(2, LONGEST + 1):
-                at = places.of_length(size)
-                at = at[before[at] & before[at + 1]]
-                at = at[passes(size - 2, places.keys(size, at, bits))]
+            for size, at, hashed in places.by_length():
+                if size == 1:
+                    own = at[places.owned[at]]
+                    totals = np.zeros(len(langs), np.int64)
+                    np.add.at(totals, places.lang[own], places.count[own])
+                    yield rows(langs, pa.array([""] * len(langs)), 0, totals)
+                # A phrase is as rare as its parts.
+                at = at[before[at] & before[at + 1]] if size > 1 else at
+                at = at[passes(size, counter(hashed[at], bits))]
                 before = np.zeros(len(places.words) + 1, bool)
                 before[at] = True
-                at = at[places.owned[at]]
-                words, langs = places.words, places.langs
-                found = zip(at.tolist(), places.lang[at].tolist(), places.count[at].tolist(), strict=True)
-                for start, lang, n in found:
-                    held[langs[lang], b" ".join(words[start : start + size]), size] += n
-            if len(held) > HELD_PHRASES or numbers.full():
-                yield flush()
-                numbers = Numbers()
-        yield flush()
-
-    rows = chunks.select("lang", "own", "chunk", "n").mapInArrow(count, "lang string, phrase string, size int, f long")
-    totals = rows.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
+                starts, f = places.sums(size, at[places.owned[at]], hashed)
+                phrases = joined(places.words, starts, np.full(len(starts), size))
+                yield rows(langs.take(pa.array(places.lang[starts])), phrases, size, f)
+
+    found = chunks.select("lang", "own", "chunk", "n").mapInArrow(count, "lang string, phrase string, size int, f long")
+    totals = found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
     return totals.filter((F.col("f") >= least) | (F.col("size") == 0))
 
 
@@ -334,7 +329,10 @@ def scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def first_of_each(phrases: DataFrame, rows: int = FIRST_ROWS) -> DataFrame:
-    """``phrases`` with rank, the first ``rows`` of each language; each of ``FANOUT`` parts of a language is cut to as many before they meet."""
+    """``phrases`` with rank, the first ``rows`` of each language.
+
+    Each of ``FANOUT`` parts of a language is cut to as many before they meet.
+    """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(FANOUT))
     near = phrases.withColumn("part", part)

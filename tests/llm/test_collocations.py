@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import lowered
 
@@ -74,12 +75,10 @@ def test_drawn_texts_many_copies_and_small_sieve(spark, monkeypatch):
         assert sorted(map(tuple, co.collocations(frame, 20).collect())) == wanted
 
 
-def test_held_rows_are_flushed(spark, documents, monkeypatch):
+def test_texts_a_few_at_a_time(spark, documents, monkeypatch):
     rows = [(r["text"], r["lang"]) for r in documents.limit(60).collect()]
     frame = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
-    monkeypatch.setattr(co, "HELD_CHUNKS", 10)
-    monkeypatch.setattr(co, "HELD_PHRASES", 10)
-    monkeypatch.setattr(co, "HELD_WORDS", 10)
+    monkeypatch.setattr(co, "TEXT_BYTES", 1000)
     assert sorted(map(tuple, co.collocations(frame, 10).collect())) == plainly(rows, 10, 2000)
 
 
@@ -91,17 +90,24 @@ def test_thresholds_beyond_a_byte(spark):
 
 def test_chunks_cover_every_place_once_and_depend_on_content_only():
     draw = random.Random(3)
-    words = [str(draw.randrange(500)).encode() for _ in range(4000)]
-    numbers = co.Numbers()
-    ids = numbers.of(words)
-    bounds = list(co.chunk_bounds(numbers.hashes[ids]))
-    assert np.concatenate([np.arange(start, start + own) for start, _, own in bounds]).tolist() == list(range(4000))
-    assert all(end >= min(4000, start + own + 4) for start, end, own in bounds)
-    shifted = numbers.of([b"before", b"it", *words])
-    again = {tuple(shifted[s:e].tolist()) for s, e, _ in co.chunk_bounds(numbers.hashes[shifted])}
-    assert len({tuple(ids[s:e].tolist()) for s, e, _ in bounds} - again) <= 1
-    copies = [tuple(w[s:e]) for w in [words + words] for s, e, _ in co.chunk_bounds(numbers.hashes[numbers.of(w)])]
-    assert len(set(copies)) < 0.6 * len(copies)
+    words = [str(draw.randrange(500)) for _ in range(4000)]
+
+    def chunks(*texts):
+        stream = [word for text in texts for word in text]
+        bounds = np.concatenate([[0], np.cumsum([len(text) for text in texts])])
+        starts, ends, own = co.chunk_bounds(co.hashes_of(pa.array(stream, pa.string())), bounds)
+        assert np.concatenate([np.arange(s, s + o) for s, o in zip(starts, own)]).tolist() == list(range(len(stream)))
+        for start, end, of in zip(starts, ends, own):
+            last = bounds[np.searchsorted(bounds, start, "right")]
+            assert end == min(last, start + of + 4) and (end == last or start + of in starts)
+        return [(o, *stream[s:e]) for s, e, o in zip(starts, ends, own)]
+
+    alone = chunks(words)
+    assert 60 < len(alone) < 250
+    # Only the first chunk knows what stands before a text.
+    assert len(set(alone) - set(chunks(["before", "it", *words]))) <= 1
+    assert set(chunks(words, [], ["x"], words)) == set(alone) | {(1, "x")}
+    assert len(set(chunks([*words, *words]))) <= len(alone) + 3
 
 
 def test_products_beyond_64_bits(spark):
