@@ -17,10 +17,10 @@ HIDDEN = 16
 CLASS_SIZE = 32
 WINDOW = 16
 LEAST_WINDOWS = 16
-TRAIN_LANES = 96
+TRAIN_LANES = 384
 SCORE_LANES = 512
 SCORE_TOKENS = 16384
-LEARNING_RATE = 0.01
+LEARNING_RATE = 0.02
 WARM_UP = 20
 # The largest logit whose exponential a float32 sum of a class still holds.
 MOST_LOGIT = 80.0
@@ -95,6 +95,14 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chosen - np.log(sums), x, sums
 
 
+def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each of ``rows`` to the row of ``table`` at its place: sorted by place, summed in runs, added once."""
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    begins = np.flatnonzero(np.diff(places, prepend=-1))
+    table[places[begins]] += np.add.reduceat(rows[order], begins, axis=0)
+
+
 class Model:
     """Word ids below ``vocabulary``; id 0 also stands before the first word of a text."""
 
@@ -251,6 +259,7 @@ class Trainer:
         h, p = self.model.hidden, self.model.parameters
         later = np.zeros((0, h), np.float32)
         at = len(back)
+        ids, outers = [], []
         for (old, last, fresh, reset, update, new, inner), own in zip(reversed(trail), reversed(states), strict=True):
             at -= len(own)
             grad = back[at : at + len(own)].copy()
@@ -261,10 +270,12 @@ class Trainer:
             outer = np.concatenate([d_reset, d_update, d_new], axis=1)
             hidden = np.concatenate([d_reset, d_update, d_new * reset], axis=1)
             gradients["gate_bias"] += outer.sum(axis=0)
-            np.add.at(gradients["inputs"], last, outer)
+            ids.append(last)
+            outers.append(outer)
             gradients["recurrent"] += old.T @ hidden
             later = grad * update + hidden @ p["recurrent"].T
             later[fresh] = 0
+        add_rows(gradients["inputs"], np.concatenate(ids), np.concatenate(outers))
 
     def _update(self, gradients: dict, tokens: int) -> None:
         self.updates += 1
