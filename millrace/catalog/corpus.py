@@ -9,7 +9,7 @@ from millrace.catalog.registry import query
 from millrace.catalog.text import DATA_JSON, GRAPH_JSON, SAMPLES_MORE
 from millrace.functions import templates
 from millrace.operators import filters, ordered_packing, packing, prompts, sharding
-from millrace.operators.ordered import spread, with_positions
+from millrace.operators.ordered import sketch_bucket, spread, with_positions
 from millrace.operators.tokens import tokenise, training_rows
 from millrace.session import cut_lineage
 from millrace.sinks.tables import shard_name
@@ -65,6 +65,22 @@ def percent_slices_of_sixty(spark, sf_dir):
     return sharding.assign_slices(bind(spark, sf_dir, LENGTHS).select("row_id", "part"), bins=60)
 
 
+SPARSE = f"""select case when row_id % 3 = 0 then row_id else row_id * 1000000007 end as row_id, part from ({LENGTHS})"""
+
+
+@query(
+    "percent_slices_of_sparse_ids",
+    f"""with v as ({SPARSE}), placed as (select *, row_number() over (partition by part order by row_id) - 1 as pos,
+      count(*) over (partition by part) as n from v)
+    select row_id, part, pos, cast(len(list_filter([0, 25, 50, 75], lambda s: round_even(n * s / 100.0, 0) <= pos)) - 1 as int)
+      as split from placed""",
+)
+def percent_slices_of_sparse_ids(spark, sf_dir):
+    """Ids in one dense cluster and far apart, in buckets of a sketch."""
+    rows = bind(spark, sf_dir, SPARSE)
+    return sharding.assign_slices(rows, bucket=sketch_bucket(rows, "row_id", 100), position="pos")
+
+
 def _sql(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.filters import IGNORE_INDEX
-from millrace.operators.ordered import digest_bucket, id_bucket, with_positions
+from millrace.operators.ordered import digest_bucket, sketch_bucket, with_positions
 
 
 def with_epochs(rows: DataFrame, epochs: int) -> DataFrame:
@@ -39,7 +39,7 @@ def rank_shards(
         ordered = rows.withColumn("_order", F.md5(mixed))
         order, bucket = ["_order", row_id], digest_bucket("_order")
     else:
-        ordered, order, bucket = rows.withColumn("_order", F.col(row_id)), ["_order"], id_bucket("_order")
+        ordered, order, bucket = rows.withColumn("_order", F.col(row_id)), ["_order"], sketch_bucket(rows, row_id)
     numbered = with_positions(ordered, ["epoch"], order, bucket, "_pos", count="_n")
     n = F.col("_n")
     if drop_last:

@@ -11,12 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.arrow import arrow_function
 from millrace.session import cut_lineage
 
 ID_BUCKET_ROWS = 1 << 20
+# Above this many, buckets get larger than asked for; the sketch then holds ten times as many values.
+MOST_BUCKETS = 1 << 13
 
 
 def with_range_bucket(df: DataFrame, *order: str, bucket: str = "range_bucket") -> DataFrame:
@@ -39,6 +44,30 @@ def id_bucket(column: str | Column, width: int = ID_BUCKET_ROWS) -> Column:
     return whole(F.col(column) if isinstance(column, str) else column, F.lit(width))
 
 
+def sketch_bucket(df: DataFrame, column: str, rows: int = ID_BUCKET_ROWS) -> Column:
+    """Bucket of an integer column of ``df``, in its order, of about ``rows`` rows each however the values lie.
+
+    Bounds come from a quantile sketch that tasks fill and merge, exact to a tenth
+    of a bucket; ``with_positions`` then counts the buckets exactly. So ids that
+    are hashes, sparse or in one dense cluster make as many buckets as there are
+    rows for. Counts ``df`` and reads the column once more, so ``df`` should be
+    cheap to read again. Only equal values cannot be parted; null stays null.
+    """
+    count = df.filter(F.col(column).isNotNull()).count()
+    buckets = min(MOST_BUCKETS, -(-count // rows))
+    if buckets <= 1:
+        return F.when(F.col(column).isNotNull(), 0)
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = np.unique(df.agg(F.percentile_approx(column, shares, 10 * buckets)).first()[0])
+
+    def place(values: pa.Array) -> pa.Array:
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        places = np.searchsorted(bounds, values.fill_null(0).to_numpy(zero_copy_only=False), "left")
+        return pa.array(places.astype(np.int32), pa.int32(), mask=~known)
+
+    return arrow_function(place, "int")(F.col(column))
+
+
 def digest_bucket(column: str | Column, digits: int = 4) -> Column:
     """Bucket of a hex digest: its leading digits, uniform and in digest order."""
     col = F.col(column) if isinstance(column, str) else column

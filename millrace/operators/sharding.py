@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import id_bucket, with_positions
+from millrace.operators.ordered import sketch_bucket, with_positions
 
 
 def assign_parts(
@@ -23,7 +23,7 @@ def assign_parts(
     Late parts can be empty, unlike with ``ntile``.
     """
     numbered = with_positions(
-        files, [folder], [order], bucket if bucket is not None else id_bucket(order), "_pos", count="_files"
+        files, [folder], [order], bucket if bucket is not None else sketch_bucket(files, order), "_pos", count="_files"
     )
     per_part = F.ceil(F.col("_files") / num_parts)
     return numbered.withColumn("part", F.floor(F.col("_pos") / per_part).cast("int")).drop("_pos", "_files")
@@ -71,7 +71,7 @@ def assign_slices(
     ``position`` names a column for the row's place in its part.
     """
     columns = [order] if isinstance(order, str) else list(order)
-    by = bucket if bucket is not None else id_bucket(columns[0])
+    by = bucket if bucket is not None else sketch_bucket(rows, columns[0])
     numbered = with_positions(rows, [part], columns, by, "_pos", count="_rows")
     if position:
         numbered = numbered.withColumn(position, F.col("_pos"))

@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators.latest import last_write
-from millrace.operators.ordered import digest_bucket, id_bucket, with_positions
+from millrace.operators.ordered import digest_bucket, id_bucket, sketch_bucket, with_positions
 
 
 def test_positions_equal_windows_on_a_hot_key(spark):
@@ -37,3 +37,25 @@ def test_null_key_is_an_error(spark):
     frame = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
     with pytest.raises(Exception, match="null key or bucket"):
         with_positions(frame, ["k"], ["n"], id_bucket("n")).collect()
+
+
+def test_sketched_buckets_are_even_however_ids_lie(spark):
+    hashed, dense, strided = F.xxhash64("id"), F.col("id"), F.col("id") * 1_000_000_007
+    ids = F.when(F.col("id") % 3 == 0, dense).when(F.col("id") % 3 == 1, hashed).otherwise(strided)
+    for column in (hashed, dense, strided, ids):
+        frame = spark.range(50_000).select(column.alias("n"))
+        sizes = frame.groupBy(sketch_bucket(frame, "n", 1000).alias("b")).agg(F.count("n").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+        sizes = sizes.orderBy("b").collect()
+        assert 40 <= len(sizes) <= 50 and max(r["rows"] for r in sizes) <= 2000
+        assert all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:]))
+
+
+def test_positions_over_sketched_buckets(spark):
+    frame = spark.range(2000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("n"))
+    seen = with_positions(frame, ["k"], ["n"], sketch_bucket(frame, "n", 50))
+    wanted = frame.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("n")) - 1)
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, wanted.collect()))
+    assert frame.limit(0).select(sketch_bucket(frame.limit(0), "n")).count() == 0
+    with pytest.raises(Exception, match="null key or bucket"):
+        holed = spark.createDataFrame([(1, None), (1, 5)], "k int, n long")
+        with_positions(holed, ["k"], ["n"], sketch_bucket(holed, "n")).collect()
