@@ -15,6 +15,7 @@ from millrace.functions.jsontext import canonical_lines
 from millrace.operators import matching, packing, scoring
 from millrace.operators.latest import last_write
 from millrace.session import scratch_path
+from millrace.sinks import runs
 from millrace.sinks import tables as sinks
 from millrace.sources import jsonl, shards
 
@@ -269,6 +270,29 @@ def stored_generations(spark, sf_dir):
     return spark.read.schema("task_id bigint, opts string, c_func string, c_func_decompile string").json(path)
 
 
+@query(
+    "generations_of_repeated_runs",
+    f"""with {LAST_RESULT}, t as ({TASKS}), joined as (select t.task_id, t.opts, t.c_func, l.gen as c_func_decompile
+    from t left join last_result l on l.task_id = t.task_id and l.opts = t.opts and t.task_id % 3 <> 0)
+    select *, c_func_decompile is not null as generated from joined""",
+)
+def generations_of_repeated_runs(spark, sf_dir):
+    """Two runs, one of them three times, and the inputs that no text was generated for."""
+    path = scratch_path(spark, "generation-runs")
+    results = last_write(bind(spark, sf_dir, RESULTS), ["task_id", "opts"], ["file_name", "line_no"])
+    generated = results.select("task_id", "opts", F.col("gen").alias("c_func_decompile")).filter("task_id % 3 <> 0")
+    tasks = bind(spark, sf_dir, TASKS).select("task_id", "opts", "c_func")
+    missing = {}
+    for run, rest in (("even", 0), ("odd", 1), ("even", 0), ("even", 0)):
+        asked = tasks.filter(f"task_id % 2 = {rest}")
+        missing[run] = runs.append_generated_run(asked, generated, ["task_id", "opts"], path, run)
+    stored = runs.read_runs(spark, path, "task_id bigint, opts string, c_func string, c_func_decompile string")
+    found = stored.withColumn("generated", F.lit(True))
+    for left in missing.values():
+        found = found.unionByName(left.withColumn("generated", F.lit(False)), allowMissingColumns=True)
+    return found
+
+
 @query(
     "stored_stage_texts",
     f"with c as ({CODE}) select func, opts, md5(c_test || chr(10) || c_func) as text from c",
