@@ -1,12 +1,16 @@
 """Personal data: fixed patterns, and contexts learned from what they find.
 
 Valid e-mail addresses, IP addresses, card numbers and telephone numbers are the
-seeds. The words beside a seed are lexical patterns; the same words beside other
-tokens with digits, ``@``, ``(at)`` or ``[at]`` connect patterns and instances in a graph. Each round
-scores a pattern by the share of its instances known to be of one kind, and an
-instance by the patterns it stands in (noisy or). Patterns with enough
-support and confidence name the unseen identifiers beside them, which then
-support further patterns. All of it is DataFrame work over (pattern, instance)
+seeds. What stands around a seed makes lexical patterns: the words beside it, a word
+and the shape of the next (so that ``call Ann:`` and ``call Bob:`` are one), the first
+word of its line, and a key such as ``tel:`` before it. The same
+patterns around other tokens with digits, ``@``, ``(at)`` or ``[at]`` connect patterns
+and instances in a graph. What is before a token also counts apart for the instances that have the
+form of one kind, so that house numbers do not speak against a telephone's context.
+Each round scores a pattern by the share of its instances known to be of one kind, and
+an instance by the patterns it stands in (noisy or). Patterns with enough support and
+confidence name the unseen identifiers in them, which then support further patterns,
+until a round changes nothing. All of it is DataFrame work over (pattern, instance)
 rows; no pattern or instance is gathered in one place.
 """
 
@@ -31,10 +35,14 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SPELT_AT = r"(?i:\(at\)|\[at\])"
 # A run without spaces that holds a digit or @, with the digit groups that follow it, or one with a spelt @.
 TOKEN_PATTERN = rf"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9()+.-]++(?!\S))*+|\S*?{SPELT_AT}\S*+)"
-EDGE_MARKS = r"^[\"'(\[<{,;:.!?]++|[\"')\]>},;:.!?]++$"
+LEAD_MARKS = r"^[\"'(\[<{,;:.!?]*+"
+END_MARKS = r"[\"')\]>},;:.!?]++$"
+# A name and a colon or equals sign before a value, but not the start of a URL.
+KEY = r"([A-Za-z][A-Za-z_.-]*+[:=]++)(?!/)[\"'(\[<{]*+"
 CONTEXT_CHARACTERS = 80
 
-ROUNDS = 2
+# Scores only grow from round to round; they are stable when their sum grows by no more than this.
+STABLE = 1e-3
 MIN_SUPPORT = 3.0
 MIN_CONFIDENCE = 0.8
 # Shapes that an unseen instance of each kind must have.
@@ -106,40 +114,81 @@ def _tokens(text: Column) -> Column:
     return F.aggregate(parts, empty, step, lambda state: state["tokens"])
 
 
-def _occurrences(found: DataFrame) -> DataFrame:
-    """One row for every token: where it is, its value without edge marks, its kind if it is a seed, and its patterns."""
-    token = found.select("doc_id", "text_hash", F.explode("tokens").alias("t"))
-    lead = F.length(F.regexp_extract("t.value", r"^[\"'(\[<{,;:.!?]++", 0))
-    value = F.regexp_replace("t.value", EDGE_MARKS, "")
-    last = F.lower(F.regexp_extract("t.left", r"(\S++)\s*$", 1))
-    before = F.lower(F.regexp_extract("t.left", r"(\S++)\s++\S++\s*$", 1))
-    after = F.lower(F.regexp_extract("t.right", r"^\s*(\S++)", 1))
-    spans = base_spans(F.col("value"))
-    patterns = F.array(
+def _shape(word: Column) -> Column:
+    """Runs of small letters, capitals and digits as one sign each; other characters stay."""
+    for signs, sign in ((r"[\p{L}&&[^\p{Lu}]]+", "a"), (r"\p{Lu}+", "A"), ("[0-9]+", "9")):
+        word = F.regexp_replace(word, signs, sign)
+    return word
+
+
+def _patterns(left: Column, right: Column, at_start: Column, key: Column, kinds: Column) -> Column:
+    """The patterns of a token: words alone for all, what is before it once more for each kind whose form it has."""
+    word = F.regexp_extract(left, r"(\S++)\s*$", 1)
+    last = F.lower(word)
+    before = F.lower(F.regexp_extract(left, r"(\S++)\s++\S++\s*$", 1))
+    after = F.lower(F.regexp_extract(right, r"^\s*(\S++)", 1))
+    begun = at_start | F.contains(left, F.lit("\n"))
+    line = F.regexp_extract(left, r"([^\n]*+)$", 1)
+    first = F.lower(F.regexp_extract(line, r"^\s*(\S++)", 1))
+    both = (last != "") & (before != "")
+    ahead = [
         F.when(last != "", F.concat(F.lit("left "), last)),
-        F.when((last != "") & (before != ""), F.concat_ws(" ", F.lit("left"), before, last)),
-        F.when(after != "", F.concat(F.lit("right "), after)),
+        F.when(both, F.concat_ws(" ", F.lit("left"), before, last)),
+    ]
+    general = [
+        F.when(both, F.concat_ws(" ", F.lit("skip"), before, _shape(word))),
+        F.when(begun & (first != ""), F.concat(F.lit("line "), first)),
+        F.when(key != "", F.concat(F.lit("key "), F.lower(key))),
+    ]
+    words = F.filter(F.array(*ahead, F.when(after != "", F.concat(F.lit("right "), after))), lambda p: p.isNotNull())
+    contexts = F.filter(F.array(*ahead, *general), lambda p: p.isNotNull())
+    of_kind = F.transform(kinds, lambda kind: F.transform(contexts, lambda p: F.concat(kind, F.lit("|"), p)))
+    return F.concat(words, F.flatten(of_kind))
+
+
+def _occurrences(found: DataFrame) -> DataFrame:
+    """One row for every token: where it is, its value without key and edge marks, its kind if it is a seed, and its patterns."""
+    token = found.select("doc_id", "text_hash", F.explode("tokens").alias("t")).select(
+        "*",
+        F.regexp_extract("t.value", rf"{LEAD_MARKS}(?:{KEY})?+", 0).alias("head"),
+        F.regexp_extract("t.value", rf"{LEAD_MARKS}{KEY}", 1).alias("key"),
+    )
+    lead = F.length("head")
+    value = F.regexp_replace(F.substr(F.col("t.value"), lead + 1), END_MARKS, "")
+    token = token.select("*", lead.alias("lead"), value.alias("value")).withColumn(
+        "seed", F.get(base_spans(F.col("value")), F.lit(0))["kind"]
+    )
+    forms = F.array(
+        *[F.when((F.col("seed") == k) | F.col("value").rlike(shape), KINDS[k]) for k, shape in sorted(SHAPES.items())]
     )
+    at_start = F.col("t.start") == F.length("t.left")
     return token.select(
         "doc_id",
         "text_hash",
-        (F.col("t.start") + lead).alias("start"),
-        value.alias("value"),
-        F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"),
-    ).withColumn("seed", F.get(spans, F.lit(0))["kind"])
+        (F.col("t.start") + F.col("lead")).alias("start"),
+        "value",
+        "seed",
+        _patterns(
+            F.col("t.left"), F.col("t.right"), at_start, F.col("key"), F.filter(forms, lambda f: f.isNotNull())
+        ).alias("patterns"),
+    )
 
 
-def _discovered(occurrences: DataFrame, rounds: int, support: float, confidence: float) -> DataFrame:
+def _discovered(occurrences: DataFrame, rounds: int | None, support: float, confidence: float) -> DataFrame:
     """value and kind of the unseen instances that trusted patterns name."""
     edges = cut_lineage(occurrences.select("value", "seed", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     known = edges.filter("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    new = known.limit(0)
-    for _ in range(rounds):
-        scored = edges.join(known.union(new), "value", "left")
-        # An instance may be scored for several kinds, so patterns count their instances apart.
-        sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
+    # An instance may be scored for several kinds, so patterns count their instances apart.
+    sizes = cut_lineage(
+        edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).filter(F.col("instances") >= support), "pii-sizes"
+    )
+    shape = F.lit(False)
+    for kind, pattern in SHAPES.items():
+        shape = shape | ((F.col("kind") == kind) & F.col("value").rlike(pattern))
+    new, before, done = known.limit(0), 0.0, 0
+    while rounds is None or done < rounds:
         trusted = (
-            scored.filter("kind is not null")
+            edges.join(known.union(new), "value")
             .groupBy("pattern", "kind")
             .agg(F.sum("score").alias("support"))
             .filter(F.col("support") >= support)
@@ -147,9 +196,6 @@ def _discovered(occurrences: DataFrame, rounds: int, support: float, confidence:
             .withColumn("trust", F.col("support") / F.col("instances"))
             .filter(F.col("trust") >= confidence)
         )
-        shape = F.lit(False)
-        for kind, pattern in SHAPES.items():
-            shape = shape | ((F.col("kind") == kind) & F.col("value").rlike(pattern))
         new = cut_lineage(
             edges.filter("seed is null")
             .join(trusted.select("pattern", "kind", "trust"), "pattern")
@@ -159,16 +205,22 @@ def _discovered(occurrences: DataFrame, rounds: int, support: float, confidence:
             .filter(F.col("score") >= confidence),
             "pii-instances",
         )
+        done += 1
+        total = new.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        if total <= before + STABLE:
+            break
+        before = total
     return new.groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("best")).select(
         "value", (-F.col("best.col2")).alias("kind")
     )
 
 
 def personal_data(
-    docs: DataFrame, rounds: int = ROUNDS, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE
+    docs: DataFrame, rounds: int | None = None, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
     """doc_id, base (spans of the fixed patterns) and found (all spans, by kind and start) for every row of ``docs``.
 
+    Rounds go on until the scores are stable, or for ``rounds`` of them.
     ``support`` is the least sum of instance scores behind a pattern, and
     ``confidence`` the least share of its instances, and the least score of a new
     instance. An instance that several kinds claim gets the kind of the highest
