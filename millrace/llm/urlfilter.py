@@ -24,6 +24,8 @@ TREES = 20
 DEPTH = 4
 # Labels that a suffix without any counts for, half of them blocked.
 PRIOR = 10.0
+# Suffix statistics of a labelled URL come from the labelled URLs of the other folds.
+FOLDS = 5
 
 
 class Rule(NamedTuple):
@@ -107,6 +109,35 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
     }
 
 
+def with_suffix_statistics(described: DataFrame, key: str) -> DataFrame:
+    """``described`` (``key``, url, ruled) with f_<key>_rate and f_<key>_count of its value of ``key``.
+
+    The share of blocked URLs and the number of labelled ones, all of them for a
+    URL without label. A labelled URL counts those of the other folds only, so
+    that its own verdict is in none of its features; folds go by the URL, so a
+    repeated one is in one fold. Its number is scaled to all folds.
+    """
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    blocked = (F.col("ruled") == "block").cast("double")
+    sums = [
+        F.array(*[F.sum(F.when(fold == i, value).otherwise(0.0)) for i in range(FOLDS)]).alias(name)
+        for name, value in (("_bad", blocked), ("_all", F.lit(1.0)))
+    ]
+    statistics = described.filter("ruled is not null").groupBy(key).agg(*sums)
+
+    def counted(name: str) -> Column:
+        total = F.aggregate(F.col(name), F.lit(0.0), lambda sum, part: sum + part)
+        own = F.when(F.col("ruled").isNotNull(), F.get(F.col(name), fold)).otherwise(0.0)
+        return F.coalesce(total - own, F.lit(0.0))
+
+    scale = F.when(F.col("ruled").isNotNull(), FOLDS / (FOLDS - 1)).otherwise(1.0)
+    return described.join(statistics, key, "left").select(
+        *described.columns,
+        ((counted("_bad") + PRIOR / 2) / (counted("_all") + PRIOR)).alias(f"f_{key}_rate"),
+        F.log1p(counted("_all") * scale).alias(f"f_{key}_count"),
+    )
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of blocking, by the trees) for every row of ``pages`` (page_id, url).
 
@@ -114,7 +145,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, trees: int = TRE
     Without labelled URLs everything without a rule is allowed; with labels of
     one verdict it gets that verdict; score is then null. A score of a half
     blocks. Repeated rows and ids each give a row; an empty table an empty
-    result. Suffix statistics cover all labelled rows. No other columns are read.
+    result. Suffix statistics cover all labelled rows, for a labelled row those of
+    the other folds. No other columns are read.
     """
     names = F.array(*[F.lit(rule.name) for rule in rules])
     verdicts = F.array(*[F.lit(rule.verdict) for rule in rules])
@@ -123,6 +155,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, trees: int = TRE
     features = lexical_features(F.col("url"), F.col("host"), F.col("path"))
     described = parts.select(
         "page_id",
+        "url",
         "host",
         "path",
         F.get(names, F.col("at")).alias("rule"),
@@ -136,13 +169,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, trees: int = TRE
     blocked = (F.col("ruled") == "block").cast("double")
     totals = described.filter("ruled is not null").agg(F.count(F.lit(1)), F.coalesce(F.sum(blocked), F.lit(0.0))).first()
     for key in ("suffix", "top"):
-        statistics = (
-            described.filter("ruled is not null")
-            .groupBy(key)
-            .agg(F.sum(blocked).alias("bad"), F.count(F.lit(1)).cast("double").alias("all"))
-            .select(key, ((F.col("bad") + PRIOR / 2) / (F.col("all") + PRIOR)).alias(f"f_{key}_rate"), F.log1p("all").alias(f"f_{key}_count"))
-        )
-        described = described.join(statistics, key, "left").na.fill({f"f_{key}_rate": 0.5, f"f_{key}_count": 0.0})
+        described = with_suffix_statistics(described, key)
     if totals[1] in (0, totals[0]):
         only = "block" if totals[1] else "allow"
         judged = described.withColumn("score", F.lit(None).cast("double")).withColumn("judged", F.lit(only))
