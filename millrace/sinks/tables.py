@@ -39,6 +39,17 @@ def write_packed(packed: DataFrame, path: str, part: str = "part", split: str =
     packed.withColumn("shard", shard_name(part, split)).write.mode("overwrite").partitionBy(part, split).parquet(path)
 
 
+def write_merged(lines: DataFrame, path: str, name: str, order: Sequence[str]) -> None:
+    """The lines (``value``) of many small files in as many files as there are tasks, each after its file's name and a tab.
+
+    A file for each name costs a folder listing and an open file for every one
+    of them, however few lines it has. All lines of a name go to one merged file,
+    in ``order``. A name holds no tab and no line break; ``read_lines`` reads this with ``merged``.
+    """
+    placed = lines.repartition(name).sortWithinPartitions(name, *order)
+    placed.select(F.concat(F.col(name), F.lit("\t"), F.col("value")).alias("value")).write.text(path)
+
+
 def report_lines(metrics: DataFrame, label: str, columns: Sequence[tuple[str, str]], key: str = "opts") -> Column:
     """Report text of a metric row: level, then each value with four decimals.
 

@@ -23,20 +23,30 @@ def _path_part(from_end: int) -> Column:
     return F.element_at(F.split(_path(), "/"), -from_end)
 
 
-def read_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
+def read_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl", merged: bool = False) -> DataFrame:
     """Stripped, non-blank lines of the files below ``folder``.
 
     Rows have ``value``, ``path``, ``file_name``, ``folder`` (its name), ``part``
     (the text after the folder's last underscore) and ``line_no``, which grows
     along each file: files are split between tasks at byte offsets, and the
     split's start leads. Only ``path`` tells files of one name apart.
+
+    ``merged`` reads files of ``write_merged``, where a line begins with the name
+    of the file it is from and a tab: that is its ``file_name``, and ``path`` and
+    ``line_no`` are its place in the merged file. A line without a tab is one of
+    the merged file itself.
     """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
     # Task-local ids grow within a split, and the split's offset orders the splits.
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    name, value = _path_part(1), F.col("value")
+    if merged:
+        tab = F.instr("value", "\t")
+        name = F.when(tab > 0, F.substring_index("value", "\t", 1)).otherwise(name)
+        value = F.substr("value", tab + 1)
     placed = lines.select(
-        strip("value").alias("value"),
-        _path_part(1).alias("file_name"),
+        strip(value).alias("value"),
+        name.alias("file_name"),
         _path().alias("path"),
         _path_part(2).alias("folder"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -51,9 +61,11 @@ def read_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataF
     )
 
 
-def read_samples(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+def read_samples(
+    spark: SparkSession, folder: str, glob: str = "*.jsonl", merged: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Canonical objects of a JSONL folder, and the quarantined lines."""
-    return canonical(read_lines(spark, folder, glob), keep=LINE_COLUMNS)
+    return canonical(read_lines(spark, folder, glob, merged), keep=LINE_COLUMNS)
 
 
 def read_typed(
