@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 from pyspark.sql.types import DataType
 
+# Text that a result several times its size is made from at once.
+SLICE_BYTES = 1 << 20
+
 
 def arrow_function(function: Callable[..., pa.Array], returns: str | DataType):
     """``function`` over whole Arrow columns.
@@ -18,6 +24,30 @@ def arrow_function(function: Callable[..., pa.Array], returns: str | DataType):
     return F.arrow_udf(function, returns).asNondeterministic()
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Runs of rows of a text column with at most ``most`` bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start, before = 0, 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield texts.slice(start, end - start)
+        start, before = end, int(ends[end - 1])
+
+
+def sliced_function(function: Callable[[pa.Array], pa.Array], returns: str | DataType):
+    """``function`` over slices of a text column, for results larger than their text.
+
+    Each slice's result is sent before the next is made, so a worker holds its
+    batch of texts and one slice's result, whatever number of rows a batch has.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from map(function, slices(texts))
+
+    return F.arrow_udf(run, returns, ArrowUDFType.SCALAR_ITER).asNondeterministic()
+
+
 def text_function(convert: Callable[[str], str | None]):
     """``convert`` over a text column; null stays null.
 

@@ -1,6 +1,7 @@
 """Tokenizers: a text column in, an array of ids out.
 
-A tokenizer has ``encode`` and ``count`` over Columns and the special ids. The
+A tokenizer has ``encode`` and ``count`` over Columns and the special ids.
+``encode`` is told how many leading ids are ``needed``, and may give more. The
 special tokens are added by the callers as ids, and text is always encoded
 between two of them, so lengths add up across special tokens for every tokenizer.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from millrace.functions.arrow import arrow_function
+from millrace.functions.arrow import arrow_function, sliced_function
 
 IDS = ArrayType(IntegerType())
 
@@ -27,9 +28,10 @@ def _byte_ids(texts: pa.Array) -> pa.Array:
     binary = texts.cast(pa.large_binary())
     offsets = pa.Array.from_buffers(pa.int64(), len(binary) + 1, [None, binary.buffers()[1]], offset=binary.offset)
     data = binary.buffers()[2]
-    count = offsets[-1].as_py()
-    values = pa.Array.from_buffers(pa.uint8(), count, [None, data]) if count else pa.array([], pa.uint8())
-    lists = pa.LargeListArray.from_arrays(offsets, values.cast(pa.int32()))
+    first = offsets[0].as_py()
+    count = offsets[-1].as_py() - first
+    values = pa.Array.from_buffers(pa.uint8(), count, [None, data], offset=first) if count else pa.array([], pa.uint8())
+    lists = pa.LargeListArray.from_arrays(pc.subtract(offsets, first), values.cast(pa.int32()))
     if binary.null_count:
         lists = pc.if_else(binary.is_valid(), lists, pa.scalar(None, lists.type))
     return lists.cast(pa.list_(pa.int32()))
@@ -40,8 +42,10 @@ class ByteTokenizer:
 
     bos, eos, pad, unk = 256, 257, 258, 259
 
-    def encode(self, text: str | Column) -> Column:
-        return arrow_function(_byte_ids, IDS)(text)
+    def encode(self, text: str | Column, needed: int | None = None) -> Column:
+        # A character is a byte or more.
+        text = _col(text) if needed is None else F.substring(_col(text), 1, needed)
+        return sliced_function(_byte_ids, IDS)(text)
 
     def count(self, text: str | Column) -> Column:
         return F.octet_length(_col(text))

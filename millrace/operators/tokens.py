@@ -34,7 +34,7 @@ def tokenise(
     """
     tokenizer = tokenizer or ByteTokenizer()
     sequence = F.concat(F.col(prompt), F.col(target))
-    encoded = rows.withColumn("_encoded", tokenizer.encode(sequence))
+    encoded = rows.withColumn("_encoded", tokenizer.encode(sequence, max_length))
     if "source_length" not in rows.columns:
         encoded = encoded.withColumn("source_length", F.lit(1) + tokenizer.count(prompt))
     # The cut comes first, so that no later array is longer than max_length.
