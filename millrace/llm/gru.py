@@ -141,26 +141,33 @@ class Model:
             at += size
         return self
 
-    def _step(self, table: np.ndarray, state: np.ndarray, before: np.ndarray):
-        """Next state from the states and the ids of the words before; also what the backward pass needs."""
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """What an id and a state give to reset, update and new state: one block of rows for each, so that all lie together."""
         h = self.hidden
-        inner = state @ self.parameters["recurrent"]
-        outer = table.take(before, axis=0)
-        gates = outer[:, : 2 * h]
-        gates += inner[:, : 2 * h]
+        inputs = self.parameters["inputs"] + self.parameters["gate_bias"]
+        return tuple(
+            np.ascontiguousarray(part.reshape(-1, 3, h).transpose(1, 0, 2)) for part in (inputs, self.parameters["recurrent"])
+        )
+
+    def _step(self, table: np.ndarray, recurrent: np.ndarray, state: np.ndarray, before: np.ndarray):
+        """Next state from the states and the ids of the words before; also what the backward pass needs."""
+        inner = np.matmul(state, recurrent)
+        outer = table.take(before, axis=1)
+        gates, new = outer[:2], outer[2]
+        gates += inner[:2]
         _sigmoid(gates)
-        reset, update, new = gates[:, :h], gates[:, h:], outer[:, 2 * h :]
-        new += reset * inner[:, 2 * h :]
+        reset, update = gates
+        new += reset * inner[2]
         np.tanh(new, out=new)
         following = state - new
         following *= update
         following += new
-        return following, reset, update, new, inner[:, 2 * h :]
+        return following, reset, update, new, inner[2]
 
     def _window(self, lanes: Lanes, start: int, end: int, state: np.ndarray, last: np.ndarray, keep: bool):
         """Runs steps ``start`` to ``end``; lanes that have ended fall away from the right."""
         trail, states = [], []
-        table = self.parameters["inputs"] + self.parameters["gate_bias"]
+        table, recurrent = self._gates()
         active_at = np.searchsorted(-lanes.lengths, -np.arange(start, end), "left")
         for step in range(start, end):
             active = int(active_at[step - start])
@@ -170,7 +177,7 @@ class Model:
                 state = np.where(fresh[:, None], np.float32(0), state)
                 last = np.where(fresh, 0, last)
             old = state
-            state, *parts = self._step(table, state, last)
+            state, *parts = self._step(table, recurrent, state, last)
             if keep:
                 trail.append((old, last, fresh, *parts))
             states.append(state)
@@ -180,29 +187,43 @@ class Model:
     def _scores(self, hidden: np.ndarray, words: np.ndarray, gradients: dict | None):
         """Log probability of each word after each state; adds to ``gradients`` and gives the states' if asked."""
         p = self.parameters
+        # By class, so that a class is one run of rows; the last of a row's inputs is a one, for the bias.
+        order = np.argsort((words // self.size).astype(np.int16), kind="stable")
+        words = words.take(order)
+        inputs = np.ones((len(words), self.hidden + 1), hidden.dtype)
+        inputs[:, :-1] = hidden.take(order, axis=0)
         group, inside = words // self.size, words % self.size
-        result, chances, sums = _log_softmax_at(hidden @ p["class_weights"] + p["class_bias"], group)
-        back = None
-        if gradients is not None:
-            chances /= sums[:, None]
-            chances[np.arange(len(words)), group] -= 1
-            gradients["class_weights"] += hidden.T @ chances
-            gradients["class_bias"] += chances.sum(axis=0)
-            back = chances @ p["class_weights"].T
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[c] : bounds[c + 1]]
-            states = hidden.take(own, axis=0)
-            found, chances, sums = _log_softmax_at(states @ p["word_weights"][c] + p["word_bias"][c], inside[own])
-            result[own] += found
-            if gradients is not None:
-                chances /= sums[:, None]
-                chances[np.arange(len(own)), inside[own]] -= 1
-                gradients["word_weights"][c] += states.T @ chances
-                gradients["word_bias"][c] += chances.sum(axis=0)
-                back[own] += chances @ p["word_weights"][c].T
-        return result, back
+        bounds = np.searchsorted(group, np.arange(self.classes + 1))
+        runs = [(c, slice(bounds[c], bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
+        logits = np.empty((len(words), self.size), hidden.dtype)
+        weights = np.concatenate([p["word_weights"], p["word_bias"][:, None]], axis=1)
+        for c, own in runs:
+            np.matmul(inputs[own], weights[c], out=logits[own])
+        found, chances, sums = _log_softmax_at(logits, inside)
+        logits = inputs @ np.concatenate([p["class_weights"], p["class_bias"][None]])
+        by_class, class_chances, class_sums = _log_softmax_at(logits, group)
+        result = np.empty_like(found)
+        result[order] = found + by_class
+        if gradients is None:
+            return result, None
+        rows = np.arange(len(words))
+        class_chances /= class_sums[:, None]
+        class_chances[rows, group] -= 1
+        gradient = inputs.T @ class_chances
+        gradients["class_weights"] += gradient[:-1]
+        gradients["class_bias"] += gradient[-1]
+        back = class_chances @ p["class_weights"].T
+        chances /= sums[:, None]
+        chances[rows, inside] -= 1
+        own_back, gradient = np.empty_like(back), np.zeros_like(weights)
+        for c, own in runs:
+            np.matmul(inputs[own].T, chances[own], out=gradient[c])
+            np.matmul(chances[own], p["word_weights"][c].T, out=own_back[own])
+        gradients["word_weights"] += gradient[:, :-1]
+        gradients["word_bias"] += gradient[:, -1]
+        unsorted = np.empty_like(back)
+        unsorted[order] = back + own_back
+        return result, unsorted
 
     def log_probabilities(self, texts: list[np.ndarray], lanes: int = SCORE_LANES, tokens: int = SCORE_TOKENS) -> np.ndarray:
         """Natural log probability of every text, as a whole; about ``tokens`` words a window."""
@@ -256,26 +277,41 @@ class Trainer:
         return int(dealt.lengths.sum())
 
     def _backward(self, trail: list, states: list[np.ndarray], back: np.ndarray, gradients: dict) -> None:
-        h, p = self.model.hidden, self.model.parameters
+        h = self.model.hidden
+        _, recurrent = self.model._gates()
+        onward = np.ascontiguousarray(recurrent.transpose(0, 2, 1))
+        old, last, _, reset, update, new, inner = (np.concatenate(part) for part in zip(*trail, strict=True))
+        # What the gradient of a state is multiplied with, for all steps at once.
+        keep = 1 - update
+        to_update = (old - new) * update * keep
+        to_new = keep * (1 - new * new)
+        to_reset = inner * reset * (1 - reset)
+        # Rows of reset, update and new state, and the last of them before its reset.
+        hidden = np.empty((3, len(back), h), back.dtype)
+        fresh_new = np.empty_like(back)
         later = np.zeros((0, h), np.float32)
         at = len(back)
-        ids, outers = [], []
-        for (old, last, fresh, reset, update, new, inner), own in zip(reversed(trail), reversed(states), strict=True):
+        for (_, _, fresh, *_), own in zip(reversed(trail), reversed(states), strict=True):
+            here = slice(at - len(own), at)
             at -= len(own)
-            grad = back[at : at + len(own)].copy()
+            grad = back[here]
             grad[: len(later)] += later
-            d_update = grad * (old - new) * update * (1 - update)
-            d_new = grad * (1 - update) * (1 - new * new)
-            d_reset = d_new * inner * reset * (1 - reset)
-            outer = np.concatenate([d_reset, d_update, d_new], axis=1)
-            hidden = np.concatenate([d_reset, d_update, d_new * reset], axis=1)
-            gradients["gate_bias"] += outer.sum(axis=0)
-            ids.append(last)
-            outers.append(outer)
-            gradients["recurrent"] += old.T @ hidden
-            later = grad * update + hidden @ p["recurrent"].T
-            later[fresh] = 0
-        add_rows(gradients["inputs"], np.concatenate(ids), np.concatenate(outers))
+            d_new, step = fresh_new[here], hidden[:, here]
+            np.multiply(grad, to_new[here], out=d_new)
+            np.multiply(d_new, to_reset[here], out=step[0])
+            np.multiply(grad, to_update[here], out=step[1])
+            np.multiply(d_new, reset[here], out=step[2])
+            later = grad * update[here]
+            for gate in range(3):
+                later += step[gate] @ onward[gate]
+            if fresh.any():
+                later[fresh] = 0
+        by_gate = gradients["recurrent"].reshape(h, 3, h)
+        for gate in range(3):
+            by_gate[:, gate] += old.T @ hidden[gate]
+        rows = np.concatenate([hidden[0], hidden[1], fresh_new], axis=1)
+        gradients["gate_bias"] += np.ones(len(rows), rows.dtype) @ rows
+        add_rows(gradients["inputs"], last, rows)
 
     def _update(self, gradients: dict, tokens: int) -> None:
         self.updates += 1
