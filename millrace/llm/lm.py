@@ -1,7 +1,7 @@
 """Language-model scores of documents: unigram counts and a gated recurrent model over them.
 
-Tokens are lower-cased words and one end a document. Counts cover all training
-documents. The commonest tokens, at most ``FREQUENT``, go to every task; the rest
+Tokens are lower-cased words and one end a document, split and hashed for whole
+columns of texts; a word is its 64-bit hash. Counts cover all training documents. The commonest tokens, at most ``FREQUENT``, go to every task; the rest
 are looked up by a join, in which no key is frequent. The recurrent model knows the
 commonest ``VOCABULARY`` tokens and one id for all others, whose probability is
 shared out by their counts. Its weights are averages of copies that each read one
@@ -10,41 +10,67 @@ part of the training documents; together they read them all.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from millrace.llm.collocations import bytes_of, slices
 from millrace.llm.gru import Model, Trainer
-from millrace.llm.words import texts_of
 from millrace.session import cut_lineage
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 1 << 17
 VOCABULARY = 1022
 TRAIN_SHARE = 1
-HELD_WORDS = 400_000
+COUNT_TOKENS = 4_000_000
 TRAIN_TOKENS = 500_000
-SCORE_TOKENS = 2_000_000
+SCORE_TOKENS = 4_000_000
 BLOCK = 4096
 FANOUT = 64
-# No word is white space.
-END = b"\n"
-FIRST, OTHER = 0, 1
+# Longer words, in bytes, are hashed one by one.
+LONG_WORD = 64
+_MIX, _LENGTH, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        values = (values ^ values >> _SHIFT) * _MIX
+    return values ^ values >> _SHIFT
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END]
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A signed 64-bit hash of each word: eight bytes of all words at once, then the next eight of those that go on."""
+    data, offsets = bytes_of(words)
+    lengths, at = np.diff(offsets), offsets[:-1]
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    hashes = _mixed((eights[at] & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _LENGTH)
+    for done in range(8, LONG_WORD, 8):
+        on = np.flatnonzero((lengths > done) & (lengths <= LONG_WORD))
+        hashes[on] = _mixed(hashes[on] ^ eights[at[on] + done] & _FIRST_BYTES[np.minimum(lengths[on] - done, 8)])
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        hashes[i] = xxh3_64_intdigest(words[i].as_buffer())
+    return hashes.view(np.int64)
 
-def _signed(word: bytes) -> int:
-    value = xxh3_64_intdigest(word)
-    return value - (1 << 64) if value >> 63 else value
+
+# No word is white space.
+END = int(word_hashes(pa.array(["\n"]))[0])
+FIRST, OTHER = 0, 1
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens (64-bit hashes) of some texts side by side, each text's end behind its words, and how many each text has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), pa.scalar(None, pa.string()), trimmed))
+    numbers = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.insert(word_hashes(lists.flatten()), np.cumsum(numbers), END), numbers + 1
 
 
 def _training(doc_id: Column) -> Column:
@@ -55,20 +81,22 @@ def token_counts(training: DataFrame) -> DataFrame:
     """token (64-bit hash) and c over all of ``training`` (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, waiting = [], 0
 
         def flush() -> pa.RecordBatch:
-            hashes = pa.array([_signed(word) for word in held], pa.int64())
-            numbers = pa.array(list(held.values()), pa.int64())
+            tokens, numbers = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([hashes, numbers], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(numbers, pa.int64())], ["token", "n"])
 
         for batch in batches:
-            for text in texts_of(batch, 0):
-                held.update(tokens_of(text))
-                if len(held) > HELD_WORDS:
+            for _, texts in slices(batch.column(0)):
+                held.append(tokens_of(texts)[0])
+                waiting += len(held[-1])
+                if waiting > COUNT_TOKENS:
                     yield flush()
-        yield flush()
+                    waiting = 0
+        if held:
+            yield flush()
 
     return training.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
@@ -98,14 +126,15 @@ class Lexicon:
     def __init__(self, rows: list[tuple[int, int]], total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.counts = np.array([c for _, c in rows], np.int64)
-        self.places = {token: at for at, (token, _) in enumerate(rows)}
-        end = _signed(END)
-        known = [token for token, _ in rows[:VOCABULARY] if token != end]
+        tokens = np.array([token for token, _ in rows], np.int64)
         self.ids = np.full(len(rows) + 1, OTHER, np.int32)
-        if end in self.places:
-            self.ids[self.places[end]] = FIRST
-        for at, token in enumerate(known):
-            self.ids[self.places[token]] = at + 2
+        self.ids[:-1][tokens == END] = FIRST
+        known = np.flatnonzero(tokens[:VOCABULARY] != END)
+        self.ids[known] = np.arange(len(known)) + 2
+        self.order = np.argsort(tokens)
+        self.tokens = tokens[self.order]
+        modelled = self.ids[self.order] != OTHER
+        self.model_tokens, self.model_ids = self.tokens[modelled], self.ids[self.order][modelled]
         inside = self.ids[:-1] != OTHER
         self.other_total = total - int(self.counts[inside].sum())
         self.other_distinct = distinct - int(inside.sum())
@@ -116,22 +145,21 @@ class Lexicon:
     def model(self) -> Model:
         return Model(self.model_counts)
 
+    def places_of(self, tokens: np.ndarray) -> np.ndarray:
+        """Place of each token among the frequent ones, or -1."""
+        return _found(self.tokens, self.order, tokens, -1)
 
-class Places(dict):
-    """Place of a word among the frequent tokens, or -1, remembered while there is room."""
+    def ids_of(self, tokens: np.ndarray) -> np.ndarray:
+        """The model's id of each token."""
+        return _found(self.model_tokens, self.model_ids, tokens, OTHER)
 
-    def __init__(self, lexicon: Lexicon):
-        super().__init__()
-        self.lexicon = lexicon
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        value = self[word] = self.lexicon.places.get(_signed(word), -1)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
+    """The value of each of ``wanted`` by sorted ``keys``, or ``missing``."""
+    if not len(keys):
+        return np.full(len(wanted), missing, values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], values.dtype.type(missing))
 
 
 def _trained(training: DataFrame, lexicon, share: int) -> np.ndarray | None:
@@ -140,14 +168,16 @@ def _trained(training: DataFrame, lexicon, share: int) -> np.ndarray | None:
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon.value
-        places, trainer, held, waiting, read = Places(known), Trainer(known.model()), [], 0, 0
+        trainer, held, waiting, read = Trainer(known.model()), [], 0, 0
         for batch in batches:
-            for text in texts_of(batch, 1):
-                held.append(known.ids[places.of(tokens_of(text))])
-                waiting += len(held[-1])
-                if waiting > TRAIN_TOKENS:
-                    read += trainer.read(held)
-                    held, waiting = [], 0
+            for _, texts in slices(batch.column(1)):
+                tokens, numbers = tokens_of(texts)
+                for own in np.split(known.ids_of(tokens), np.cumsum(numbers)[:-1]):
+                    held.append(own)
+                    waiting += len(own)
+                    if waiting > TRAIN_TOKENS:
+                        read += trainer.read(held)
+                        held, waiting = [], 0
         read += trainer.read(held) if held else 0
         packed = trainer.model.packed()
         starts = range(0, len(packed), BLOCK)
@@ -188,55 +218,60 @@ def _scored(docs: DataFrame, lexicon, weights) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon.value
-        places, model = Places(known), known.model()
+        model = known.model()
         if weights.value is not None:
             model.unpack(weights.value)
         logs = np.append(np.log10(known.counts + 1.0), 0.0)
         row = TaskContext.get().partitionId() << 40
 
-        def finish(ids: list, rows: list) -> pa.RecordBatch:
+        def finish(ids: list, parts: list) -> pa.RecordBatch:
             nonlocal row
             chances = model.log_probabilities(ids) / np.log(10)
-            columns = list(zip(*rows, strict=True))
-            numbers = pa.array(range(row, row + len(rows)), pa.int64())
-            row += len(rows)
+            doc_ids, *numbers, rare = zip(*parts, strict=True)
+            rows = np.arange(row, row + len(ids))
+            row += len(ids)
             return pa.RecordBatch.from_arrays(
                 [
-                    numbers,
-                    pa.concat_arrays(columns[0]),
-                    *(pa.array(c, pa.int64()) for c in columns[1:4]),
-                    *(pa.array(c, pa.float64()) for c in columns[4:6]),
+                    pa.array(rows, pa.int64()),
+                    pa.concat_arrays(doc_ids),
+                    *(pa.array(np.concatenate(part)) for part in numbers),
                     pa.array(chances, pa.float64()),
-                    pa.array(columns[6], pa.list_(pa.int64())),
+                    pa.concat_arrays(rare),
                 ],
                 names,
             )
 
-        ids, rows, held = [], [], 0
+        ids, parts, held = [], [], 0
         for batch in batches:
-            for at, text in enumerate(texts_of(batch, 1)):
-                words = tokens_of(text)
-                place = places.of(words)
-                own = known.ids[place]
-                rare = np.flatnonzero(place < 0)
-                ids.append(own)
-                rows.append(
+            for first, texts in slices(batch.column(1)):
+                tokens, numbers = tokens_of(texts)
+                ends = np.cumsum(numbers)
+                place = known.places_of(tokens)
+                own, given = known.ids[place], logs[place]
+                is_rare, is_other = place < 0, own == OTHER
+
+                def by_text(values: np.ndarray, begins: np.ndarray = ends - numbers) -> np.ndarray:
+                    return np.add.reduceat(values, begins)
+
+                n_rare = by_text(is_rare.astype(np.int64))
+                parts.append(
                     (
-                        batch.column(0).slice(at, 1),
-                        len(words),
-                        int((own == OTHER).sum()),
-                        len(words) - len(rare),
-                        logs[place].sum(),
-                        logs[place[own == OTHER]].sum(),
-                        [_signed(words[i]) for i in rare],
+                        batch.column(0).slice(first, len(texts)),
+                        numbers,
+                        by_text(is_other.astype(np.int64)),
+                        numbers - n_rare,
+                        by_text(given),
+                        by_text(np.where(is_other, given, 0.0)),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), pa.array(tokens[is_rare])),
                     )
                 )
-                held += len(words)
+                ids += np.split(own, ends[:-1])
+                held += len(tokens)
                 if held > SCORE_TOKENS:
-                    yield finish(ids, rows)
-                    ids, rows, held = [], [], 0
-        if rows:
-            yield finish(ids, rows)
+                    yield finish(ids, parts)
+                    ids, parts, held = [], [], 0
+        if ids:
+            yield finish(ids, parts)
 
     return docs.mapInArrow(
         score,

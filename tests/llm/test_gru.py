@@ -1,8 +1,11 @@
 """The recurrent model works on all words of a window at once, and its scores are a plain softmax's."""
 
+import sys
+
 import numpy as np
+import pyarrow as pa
 
-from millrace.llm import gru
+from millrace.llm import gru, lm
 
 
 def test_softmax_runs_do_not_grow_with_the_classes(monkeypatch):
@@ -44,3 +47,29 @@ def test_scores_and_gradients_are_those_of_one_class_after_another():
         assert abs(found[at] - score) < 1e-5 and np.allclose(back[at], own, atol=1e-5)
     for name in wanted:
         assert np.allclose(gradients[name], wanted[name], atol=1e-4), name
+
+
+def test_tokens_are_split_and_hashed_as_columns():
+    odd = ["Two  words\x0band\ttwo\r\nWORDS", None, "", " \n\x0c ", "\x1c żółć Ż\x00 ż", "Ab" * 40, "ab" * 40 + " " + "ab" * 39, "a a\x00 aaaaaaaa aaaaaaaab"]
+    texts = [*odd, *(" ".join(f"{size * 'x'}{i}" for i in range(50)) for size in range(70))]
+    tokens, numbers = lm.tokens_of(pa.array(["cut off", *texts]).slice(1))
+    wanted = [[*(text or "").encode().lower().split(), b"\n"] for text in texts]
+    assert numbers.tolist() == list(map(len, wanted))
+    flat = [word for own in wanted for word in own]
+    assert len(set(tokens.tolist())) == len(set(flat)) == len(set(zip(tokens.tolist(), flat, strict=True)))
+    assert tokens[np.cumsum(numbers) - 1].tolist() == [lm.END] * len(texts)
+
+
+def test_calls_do_not_grow_with_the_words():
+    def calls(words):
+        texts, seen = pa.array([" ".join(f"w{i}" for i in range(words))]), []
+        sys.setprofile(lambda frame, event, _: seen.append(event) if "call" in event else None)
+        try:
+            tokens, _ = lm.tokens_of(texts)
+            lexicon.places_of(tokens), lexicon.ids_of(tokens)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    lexicon = lm.Lexicon([(lm.END, 5), (7, 3)], 9, 3)
+    assert calls(20_000) == calls(200)
