@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from millrace.catalog.bindings import LENGTHS, SAMPLES, bind
 from millrace.catalog.registry import query
 from millrace.catalog.text import DATA_JSON, GRAPH_JSON, SAMPLES_MORE
 from millrace.functions import templates
+from millrace.functions.arrow import pieced_function
 from millrace.operators import filters, ordered_packing, packing, prompts, sharding
 from millrace.operators.ordered import sketch_bucket, spread, with_positions
 from millrace.operators.tokens import tokenise, training_rows
@@ -212,8 +216,17 @@ def _prompted(spark, sf_dir):
     return usable
 
 
+def _joined_ids(ids: pa.Array) -> pa.Array:
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    # Each distinct id is rendered once.
+    known = ids.flatten().dictionary_encode()
+    texts = known.dictionary.cast(pa.string()).take(known.indices)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), texts), ",")
+    return pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.string())) if ids.null_count else joined
+
+
 def array_digest(name: str):
-    return F.md5(F.array_join(name, ",").cast("binary")).alias(name)
+    return F.md5(pieced_function(_joined_ids, "string")(name).cast("binary")).alias(name)
 
 
 @query(

@@ -13,6 +13,8 @@ from pyspark.sql.types import DataType
 
 # Text that a result several times its size is made from at once.
 SLICE_BYTES = 1 << 20
+# Rows of at most a few thousand ids whose results are made at once.
+ROWS_AT_ONCE = 256
 
 
 def arrow_function(function: Callable[..., pa.Array], returns: str | DataType):
@@ -48,6 +50,18 @@ def sliced_function(function: Callable[[pa.Array], pa.Array], returns: str | Dat
     return F.arrow_udf(run, returns, ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
+def pieced_function(function: Callable[..., pa.Array], returns: str | DataType, rows: int = ROWS_AT_ONCE):
+    """``function`` over runs of ``rows`` rows of Arrow columns, each result sent before the next is made."""
+
+    def run(batches: Iterator[pa.Array | tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            for start in range(0, len(columns[0]), rows):
+                yield function(*(column.slice(start, rows) for column in columns))
+
+    return F.arrow_udf(run, returns, ArrowUDFType.SCALAR_ITER).asNondeterministic()
+
+
 def text_function(convert: Callable[[str], str | None]):
     """``convert`` over a text column; null stays null.
 

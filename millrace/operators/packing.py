@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.filters import all_masked
+from millrace.functions.tokenizers import ID_BYTES, joined_members
+from millrace.operators.filters import IGNORE_INDEX, all_masked
 from millrace.operators.ordered import id_bucket, whole, with_positions
 from millrace.operators.tokens import masked_labels
 
@@ -188,7 +189,8 @@ def pack(
     """Packed ids and labels, shuffled within each buffer.
 
     With ``hidden``, a column of how many leading labels are masked, the labels
-    are made from the ids once a bin is together, and need not move. Without
+    are made from the ids once a bin is together, and need not move; the ids may
+    then be packed, as ``tokenise_packed`` has them, and become arrays at the end. Without
     ``plan``, of ``plan_packing``, the lengths are read apart, so ``tokens`` should
     be a stored table or pass through ``cut_lineage``. Bins and buffers are bounded
     by ``max_length`` and the buffer size, so no group here grows with the data.
@@ -200,8 +202,11 @@ def pack(
     if plan is None:
         plan = plan_packing(tokens.select(*unit, row_id, "seq_length"), max_length, buffer_factor, unit, row_id)
     carried = [ids, hidden or labels]
+    packed = dict(tokens.dtypes)[ids] == "binary"
+    if packed and hidden is None:
+        raise ValueError("packed ids need the column of how many labels are masked")
     placed = tokens.select(*unit, row_id, *carried).join(plan, [*unit, row_id])
-    cut = placed.withColumn(ids, F.slice(ids, 1, max_length))
+    cut = placed.withColumn(ids, F.substring(ids, 1, ID_BYTES * max_length) if packed else F.slice(ids, 1, max_length))
     if hidden is None:
         cut = cut.withColumn(labels, F.slice(labels, 1, max_length))
         masked = all_masked(labels)
@@ -226,11 +231,13 @@ def pack(
         .agg(members.alias("_members"))
     )
     in_buffer = Window.partitionBy(*grouped).orderBy(shuffle_key(seed, *unit, "buffer", "bin"))
+    place = [*unit, "buffer", "bin", (F.row_number().over(in_buffer) - 1).alias("shuffle_pos")]
+    if packed:
+        both = joined_members(F.col(f"_members.{ids}"), F.col(f"_members.{hidden}"), IGNORE_INDEX)
+        joined = bins.select(*place, "_members").withColumn("_joined", both)
+        return joined.select(*unit, "buffer", "bin", "shuffle_pos", F.col("_joined.ids").alias(ids), F.col("_joined.labels").alias(labels))
     return bins.select(
-        *unit,
-        "buffer",
-        "bin",
-        (F.row_number().over(in_buffer) - 1).alias("shuffle_pos"),
+        *place,
         flatten_members("_members", ids).alias(ids),
         (flatten_members("_members", labels) if hidden is None else _member_labels("_members", ids, hidden)).alias(labels),
     )

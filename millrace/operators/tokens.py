@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.tokenizers import ByteTokenizer
+from millrace.functions.tokenizers import ID_BYTES, ByteTokenizer, encode_packed, packed_ids
 from millrace.operators.filters import IGNORE_INDEX, trainable_length
 
 MAX_LENGTH = 4096
@@ -49,6 +49,21 @@ def tokenise(
     )
 
 
+def tokenise_packed(
+    rows: DataFrame,
+    prompt: str = "prompt",
+    target: str = "sourcecode",
+    tokenizer=None,
+    max_length: int = MAX_LENGTH,
+) -> DataFrame:
+    """Add ``input_ids``, packed, and ``seq_length``, as ``tokenise`` has them."""
+    tokenizer = tokenizer or ByteTokenizer()
+    body = encode_packed(tokenizer, F.concat(F.col(prompt), F.col(target)), max_length)
+    first, last = F.lit(packed_ids(tokenizer.bos)), F.lit(packed_ids(tokenizer.eos))
+    encoded = rows.withColumn("input_ids", F.substring(F.concat(first, body, last), 1, ID_BYTES * max_length))
+    return encoded.withColumn("seq_length", (F.octet_length("input_ids") / ID_BYTES).cast("int"))
+
+
 def within_budget(prompt: str, source_length: str, max_length: int, budget: int) -> Column:
     """Whether fewer than ``budget`` labels are masked.
 

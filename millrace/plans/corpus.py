@@ -12,7 +12,7 @@ from millrace.functions.jsontext import canonical_lines
 from millrace.functions.tokenizers import ByteTokenizer
 from millrace.operators import packing, prompts, sharding
 from millrace.operators.ordered import with_range_bucket
-from millrace.operators.tokens import LABEL_BUDGET, MAX_LENGTH, tokenise, within_budget
+from millrace.operators.tokens import LABEL_BUDGET, MAX_LENGTH, tokenise_packed, within_budget
 from millrace.session import cut_lineage, remove_folder
 from millrace.sinks.tables import write_packed
 from millrace.sources.jsonl import LINE_COLUMNS, read_lines
@@ -40,7 +40,7 @@ def shard_samples(samples: DataFrame, num_parts: int, bins: int) -> DataFrame:
 def tokenised_samples(samples: DataFrame, template: str, tokenizer, max_length: int, budget: int) -> DataFrame:
     """Token rows within the budget, and unusable samples with their text in ``rejected``.
 
-    ``hidden`` is how many leading labels are masked. A row over the budget or of
+    ``input_ids`` are packed, ``hidden`` is how many leading labels are masked. A row over the budget or of
     one token has no ids, and the reason in ``dropped``.
     """
     parsed = samples.withColumn("sample", F.from_json("canonical", SAMPLE_SCHEMA))
@@ -52,7 +52,7 @@ def tokenised_samples(samples: DataFrame, template: str, tokenizer, max_length:
     counted = flagged.withColumn("source_length", F.lit(1) + tokenizer.count("prompt"))
     over = F.col("rejected").isNull() & ~within_budget("prompt", "source_length", max_length, budget)
     marked = counted.withColumn("over", over).withColumn("sourcecode", F.when(~F.col("over"), F.col("sourcecode")))
-    tokens = tokenise(marked, tokenizer=tokenizer, max_length=max_length)
+    tokens = tokenise_packed(marked, tokenizer=tokenizer, max_length=max_length)
     dropped = F.when(F.col("over"), "label budget").when(F.col("seq_length") <= 1, "length")
     hidden = F.when(F.length("prompt") == 0, 0).otherwise(F.col("source_length"))
     return tokens.withColumn("dropped", dropped).select(

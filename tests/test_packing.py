@@ -1,5 +1,6 @@
 """The histogram layout against the packing rules, row by row."""
 
+import json
 from collections import Counter
 from itertools import accumulate
 
@@ -8,9 +9,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from millrace.functions.arrow import arrow_function
+from millrace.functions.tokenizers import ByteTokenizer, _packed, packed_ids
 from millrace.operators import packing
 from millrace.operators.ordered import id_bucket
-from millrace.operators.tokens import masked_labels
+from millrace.operators.tokens import masked_labels, tokenise, tokenise_packed
+from millrace.plans.corpus import tokenised_samples
 
 
 def buffers_of(lengths, capacity):
@@ -116,6 +120,44 @@ def test_labels_can_be_made_after_packing(spark):
         assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
+def test_packed_ids_are_packed_as_arrays_are(spark):
+    rows = [(i, 0, i % 2, 1 + i % 9, list(range(300 * i, 300 * i + 1 + i % 9)), i % 11) for i in range(200)]
+    schema = "row_id bigint, part int, split int, seq_length int, input_ids array<int>, hidden int"
+    frame = spark.createDataFrame(rows, schema)
+    whole = frame.withColumn("input_ids", arrow_function(_packed, "binary")("input_ids"))
+    for limit in (6, 12):
+        one, two = (packing.pack(ids, limit, buffer_factor=4, hidden="hidden") for ids in (frame, whole))
+        assert one.dtypes == two.dtypes
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    with pytest.raises(ValueError, match="masked"):
+        packing.pack(whole, 6)
+
+
+def test_packed_tokens_are_those_of_arrays(spark):
+    class Arrays:
+        bos, eos = 70_000, 70_001
+        encode, count = ByteTokenizer().encode, ByteTokenizer().count
+
+    texts = [("p", "tail"), ("", ""), ("é", "żółć" * 9), ("x" * 30, "y"), (None, "y"), ("x", None), ("x" * 14, ""), ("x" * 13, "")]
+    frame = spark.createDataFrame(texts, "prompt string, sourcecode string").coalesce(1)
+    for tokenizer in (ByteTokenizer(), Arrays()):
+        wanted = tokenise(frame, tokenizer=tokenizer, max_length=16).select("input_ids", "seq_length").collect()
+        for row, own in zip(tokenise_packed(frame, tokenizer=tokenizer, max_length=16).collect(), wanted, strict=True):
+            assert row.input_ids == (None if own.input_ids is None else packed_ids(*own.input_ids))
+            assert row.seq_length == (None if own.input_ids is None else own.seq_length)
+
+
+def test_corpus_flow_carries_packed_ids(spark):
+    graph = '{"nodes":["b0"],"edges":[[0,1]],"nodenum":1}'
+    data = '{"param":[1],".rodata":"a",".data":[1],".bss":0}'
+    line = {"sourcecode": "int f;", "asm_ida_com": "call f", "assemgraph_com": graph, "data": data}
+    frame = spark.createDataFrame([(0, 0, 0, json.dumps(line))], "part int, split int, row_id bigint, canonical string")
+    stored = tokenised_samples(frame, "plain", ByteTokenizer(), 4096, 2500)
+    assert dict(stored.dtypes)["input_ids"] == "binary"
+    row = stored.first()
+    assert len(row.input_ids) == 4 * row.seq_length and row.dropped is None and row.rejected is None
+
+
 def test_oversize_rows(spark):
     rows = [(0, 0, 0, 5, list(range(5)), [-100] * 5), (1, 0, 0, 6, list(range(6)), [-100] * 4 + [4, 5]),
             (2, 0, 0, 7, list(range(7)), [1] * 7)]
