@@ -87,13 +87,14 @@ def metadata_json(arch: str = "arch", mode: str = "mode", opts: str = "opts") ->
     return python_object(dict(zip(METADATA_KEYS, (arch, mode, opts))))
 
 
-def canonical_lines(lines: DataFrame, raw: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+def canonical_lines(lines: DataFrame, raw: str = "value", keep: Sequence[str] = (), stripped: bool = False) -> DataFrame:
     """Each non-blank line as ``canonical`` sample object, or as ``rejected`` text.
 
     Nested columns become text so that every row has one type, and an absent
     ``asm_obj`` becomes the empty string. A line that is not a JSON object is
     rejected, as is one that is nested too deeply to parse, and one that holds
-    half of a surrogate pair, which no text column can.
+    half of a surrogate pair, which no text column can. Lines that are ``stripped``
+    and not blank, as ``read_lines`` gives them, are taken as they are.
     """
 
     def convert(text):
@@ -106,14 +107,17 @@ def canonical_lines(lines: DataFrame, raw: str = "value", keep: Sequence[str] =
         row.setdefault("asm_obj", "")
         return json.dumps(row, ensure_ascii=False)
 
-    stripped = lines.withColumn(raw, strip(raw)).filter(F.length(raw) > 0)
-    rewritten = stripped.withColumn("canonical", text_function(convert)(F.col(raw)))
+    if not stripped:
+        lines = lines.withColumn(raw, strip(raw)).filter(F.length(raw) > 0)
+    rewritten = lines.withColumn("canonical", text_function(convert)(F.col(raw)))
     return rewritten.select(*keep, "canonical", F.when(F.col("canonical").isNull(), F.col(raw)).alias("rejected"))
 
 
-def canonical(lines: DataFrame, raw: str = "value", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def canonical(
+    lines: DataFrame, raw: str = "value", keep: Sequence[str] = (), stripped: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Canonical sample objects, and the rejected lines."""
-    both = canonical_lines(lines, raw, keep)
+    both = canonical_lines(lines, raw, keep, stripped)
     good = both.filter(F.col("canonical").isNotNull()).drop("rejected")
     return good, both.filter(F.col("canonical").isNull()).drop("canonical")
 

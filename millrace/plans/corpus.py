@@ -90,7 +90,7 @@ def prepare_corpus(
     them, in a folder below ``target`` that is deleted at the end.
     """
     work = os.path.join(target, f"_work-{uuid.uuid4().hex}")
-    lines = cut_lineage(canonical_lines(read_lines(spark, source, glob), keep=LINE_COLUMNS), "canonical", work)
+    lines = cut_lineage(canonical_lines(read_lines(spark, source, glob), keep=LINE_COLUMNS, stripped=True), "canonical", work)
     bad = lines.filter("rejected is not null").select("path", "folder", "file_name", "rejected")
     bad.write.mode("overwrite").json(os.path.join(target, "rejected_lines"))
     samples = shard_samples(lines.filter("canonical is not null").drop("rejected"), num_parts, bins)

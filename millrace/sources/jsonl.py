@@ -65,7 +65,7 @@ def read_samples(
     spark: SparkSession, folder: str, glob: str = "*.jsonl", merged: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Canonical objects of a JSONL folder, and the quarantined lines."""
-    return canonical(read_lines(spark, folder, glob, merged), keep=LINE_COLUMNS)
+    return canonical(read_lines(spark, folder, glob, merged), keep=LINE_COLUMNS, stripped=True)
 
 
 def read_typed(

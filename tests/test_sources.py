@@ -119,3 +119,12 @@ def test_names_are_read_as_they_are_and_paths_tell_files_apart(spark, tmp_path):
     assert len({row.path for row in rows}) == 2
     texts = jsonl.read_entity_texts(spark, str(tmp_path), " ü%20.jsonl").collect()
     assert {row.func for row in texts} == {"a+b"}
+
+
+def test_lines_of_samples_are_stripped_once(spark, tmp_path, capsys):
+    (tmp_path / "a.jsonl").write_text('\u3000 {"func": "f"}\t\n \u2003 \n{"func"  \n', "utf-8")
+    good, bad = jsonl.read_samples(spark, str(tmp_path))
+    assert [row.canonical for row in good.collect()] == ['{"func": "f", "asm_obj": ""}']
+    assert [row.rejected for row in bad.collect()] == ['{"func"']
+    good.explain()
+    assert capsys.readouterr().out.count("trim(") == 1
